@@ -1,4 +1,5 @@
 """All registered queries (importing the modules fills the registry)."""
 
 from tickflow.plans import market_queries  # noqa: F401
+from tickflow.plans import source_queries  # noqa: F401
 from tickflow.plans.registry import REGISTRY, Query  # noqa: F401
