@@ -2,4 +2,5 @@
 
 from tickflow.plans import market_queries  # noqa: F401
 from tickflow.plans import source_queries  # noqa: F401
+from tickflow.plans import event_queries  # noqa: F401
 from tickflow.plans.registry import REGISTRY, Query  # noqa: F401
