@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import date, datetime
+from decimal import Decimal
 
 import duckdb
 import pandas as pd
@@ -31,6 +32,8 @@ def _norm(v):
         return v.replace(tzinfo=None)
     if isinstance(v, date):
         return v
+    if isinstance(v, Decimal):
+        return float(v)
     if hasattr(v, "item") and not isinstance(v, (list, tuple, dict)):
         try:
             return _norm(v.item())
@@ -69,16 +72,19 @@ def _close(a, b, rel=1e-9):
 
 def compare(spark_df, con, sql: str) -> dict:
     """Column names, row count, exact and tolerant row multiset equality."""
-    s_pdf = spark_df.toPandas()
-    d_pdf = con.execute(sql).df()
-    s_cols, d_cols = sorted(s_pdf.columns), sorted(d_pdf.columns)
-    res = {"spark_rows": len(s_pdf), "oracle_rows": len(d_pdf),
+    s_recs = [r.asDict() for r in spark_df.collect()]
+    s_names = spark_df.columns
+    cur = con.execute(sql)
+    d_names = [d[0] for d in cur.description]
+    d_recs = [dict(zip(d_names, r)) for r in cur.fetchall()]
+    s_cols, d_cols = sorted(s_names), sorted(d_names)
+    res = {"spark_rows": len(s_recs), "oracle_rows": len(d_recs),
            "columns_match": s_cols == d_cols, "spark_cols": s_cols, "oracle_cols": d_cols}
     if not res["columns_match"]:
         res["ok"] = False
         return res
-    s_rows = sorted(_rows(s_pdf.to_dict("records"), s_cols), key=_key)
-    d_rows = sorted(_rows(d_pdf.to_dict("records"), s_cols), key=_key)
+    s_rows = sorted(_rows(s_recs, s_cols), key=_key)
+    d_rows = sorted(_rows(d_recs, s_cols), key=_key)
     res["exact"] = s_rows == d_rows
     tol = len(s_rows) == len(d_rows) and all(_close(a, b) for a, b in zip(s_rows, d_rows))
     res["tolerant"] = tol
