@@ -175,12 +175,21 @@ def forecast_paths(start: DataFrame, coefs: DataFrame, sims: int = S.NUM_SIMULAT
     ``aggregate`` whose state is (window, outputs).
     """
     j = start.join(coefs.select("symbol", "intercept", "coef"), "symbol")
-    j = j.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     j = j.withColumn("code", symbol_code(F.col("symbol")))
-    noise = F.transform(F.sequence(F.lit(1), F.lit(days)),
-                        lambda i: gaussian(F.col("code"), F.col("sim"), i, seed, noise_sd)
-                        if noise_sd else F.lit(0.0))
-    j = j.withColumn("noise", noise)
+
+    def draws(sim):
+        if not noise_sd:
+            return F.array_repeat(F.lit(0.0), days)
+        return F.transform(F.sequence(F.lit(1), F.lit(days)),
+                           lambda i: gaussian(F.col("code"), sim, i, seed, noise_sd))
+
+    # One generated row per simulation carrying its noise array: the generator
+    # materialises the draws, so the step recursion reads them instead of
+    # re-deriving them inside its lambda.
+    per_sim = F.transform(F.sequence(F.lit(0), F.lit(sims - 1)),
+                          lambda s: F.struct(s.alias("sim"), draws(s).alias("noise")))
+    j = j.select("*", F.explode(per_sim).alias("_p")) \
+        .select("*", F.col("_p.sim").alias("sim"), F.col("_p.noise").alias("noise")).drop("_p")
 
     def step(acc, i):
         y = dot(acc["win"], F.col("coef")) + F.col("intercept") + F.element_at(F.col("noise"), i)
