@@ -28,7 +28,7 @@ def _r(expr: str, alias: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) AS {alias}"
 
 
-@register("moving_averages", ids=("W1",), sql=with_fixtures(f"""
+@register("moving_averages", ids=("W1", "L5"), sql=with_fixtures(f"""
     SELECT symbol, ts, round(close, 6) AS close,
            {_r(full_sql('avg', 'close', 5), 'ma_5')},
            {_r(full_sql('avg', 'close', 20), 'ma_20')},

@@ -72,6 +72,18 @@ def q_live_bars_stream(spark, sf_dir):
     schema = "key string, value string"
     stream = live.folder_stream(spark, f"{topic}/topic=finnhub-ohlc-1min", schema, fmt="json")
     out, ckpt = live.scratch(spark, "bars-out"), live.scratch(spark, "bars-ckpt")
-    symbols = [r for r in ("click", "view", "purchase", "signup", "error")]
+    symbols = t.select("symbol").distinct()
     live.run_available(live.live_bars(stream, symbols, live.changelog_writer(out), ckpt))
     return spark.read.parquet(out).select("symbol", "type", "value")
+
+
+@register("event_append", ids=("S7",))
+def q_event_append(spark, sf_dir):
+    """Append the log to a date-partitioned table, then append it again as a
+    retry would: the anti join on event id keeps the table exact."""
+    from tickflow.operators import events as evo
+    path = live.scratch(spark, "event-append")
+    log = fx.event_log(Tables(spark, sf_dir).events)
+    evo.append_events(log, path)
+    evo.append_events(log, path)
+    return spark.read.parquet(path)

@@ -147,13 +147,21 @@ def dedup_stream(events_stream: DataFrame, path: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).outputMode("append"))
 
 
-def live_bars(messages_stream: DataFrame, symbols: list[str], callback, checkpoint: str):
-    """``ohlcv_1min`` messages of the given symbols, handed to ``callback``
-    once per micro-batch (the callback receives a DataFrame, not rows)."""
+def live_bars(messages_stream: DataFrame, symbols, callback, checkpoint: str):
+    """``ohlcv_1min`` messages of the subscribed symbols, handed to
+    ``callback`` once per micro-batch (the callback receives a DataFrame).
+
+    ``symbols`` is a list, or a static DataFrame with a ``symbol`` column
+    (joined stream-static, so a large subscription list never reaches the
+    driver)."""
     m = messages_stream.select(
         F.upper(F.get_json_object("value", "$.symbol")).alias("symbol"),
         F.get_json_object("value", "$.type").alias("type"), "value")
-    m = m.filter((F.col("type") == "ohlcv_1min") &
-                 F.col("symbol").isin([s.upper() for s in symbols]))
+    m = m.filter(F.col("type") == "ohlcv_1min")
+    if isinstance(symbols, DataFrame):
+        m = m.join(symbols.select(F.upper("symbol").alias("symbol")).distinct(), "symbol",
+                   "left_semi")
+    else:
+        m = m.filter(F.col("symbol").isin([s.upper() for s in symbols]))
     return (m.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(lambda df, batch_id: callback(df, batch_id)))
