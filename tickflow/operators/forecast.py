@@ -9,9 +9,9 @@ is ever written.
 The model is a next-value linear regression on the 60 scaled lags, fitted
 per symbol.  Scoring is a dot product in SQL expressions and the recursive
 Monte-Carlo forecast is one ``aggregate`` over the step sequence per
-(symbol, simulation): all JVM-side.  The fit is the only Python: one
-``applyInPandas`` group per symbol holding that symbol's training windows,
-whose number the calendar bounds (one per bar).
+(symbol, simulation): all JVM-side.  The fit is the only Python: partial
+normal equations per Arrow batch (``mapInPandas``), summed by Spark, solved
+per symbol.
 """
 
 from __future__ import annotations
@@ -90,27 +90,50 @@ def training_set(bars: DataFrame, window: int = S.WINDOW_SIZE,
 # -- model ---------------------------------------------------------------------
 
 COEF_SCHEMA = "symbol string, intercept double, coef array<double>, n_fit bigint"
-
-
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("j")
-    x = np.vstack(pdf["lags"].to_numpy())
-    y = pdf["label"].to_numpy(dtype=float)
-    design = np.hstack([np.ones((x.shape[0], 1)), x])
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+STATS_SCHEMA = "symbol string, stats array<double>, n bigint"
+
+
+def _partial_normal_equations(batches):
+    """Per Arrow batch and symbol: Z'Z and Z'y with Z = [1, lags] (flattened)."""
+    for pdf in batches:
+        for sym, g in pdf.groupby("symbol", sort=False):
+            x = np.vstack(g["lags"].to_numpy())
+            z = np.hstack([np.ones((x.shape[0], 1)), x])
+            y = g["label"].to_numpy(dtype=float)
+            stats = np.concatenate([(z.T @ z).ravel(), z.T @ y])
+            yield pd.DataFrame({"symbol": [sym], "stats": [stats.tolist()], "n": [len(y)]})
+
+
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Solve the summed normal equations of one symbol (a few thousand numbers)."""
+    k = int(round((-1 + np.sqrt(1 + 4 * len(pdf))) / 2))  # k*k + k entries
+    v = pdf.sort_values("i")["v"].to_numpy(dtype=float)
+    gram, rhs = v[:k * k].reshape(k, k), v[k * k:]
+    beta, *_ = np.linalg.lstsq(gram, rhs, rcond=None)
     return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "intercept": [float(beta[0])],
-                         "coef": [beta[1:].tolist()], "n_fit": [len(y)]})
+                         "coef": [beta[1:].tolist()], "n_fit": [int(pdf["n"].iloc[0])]})
 
 
 def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
     """M2: least-squares next-value model per symbol on the fit rows (train
-    minus the validation tail).  One group = one symbol's training windows,
-    whose count the calendar bounds."""
+    minus the validation tail).
+
+    The normal equations are summed the way Spark sums anything: each task
+    turns its Arrow batches into per-symbol partial Z'Z / Z'y
+    (``mapInPandas``, constant memory), the entries are added up by a
+    partial aggregate on (symbol, entry), and only the summed system of a
+    symbol (61 x 62 numbers) reaches the final ``applyInPandas`` solve.  No
+    symbol's windows are ever held in one place, however long its history.
+    """
     rows = training.filter(F.col("split") == "train")
     if not use_validation:
         rows = rows.filter(~F.col("is_validation"))
-    return rows.select("symbol", "j", "lags", "label").groupBy("symbol") \
-        .applyInPandas(_fit_group, COEF_SCHEMA)
+    partial = rows.select("symbol", "lags", "label").mapInPandas(
+        _partial_normal_equations, STATS_SCHEMA)
+    n = partial.groupBy("symbol").agg(F.sum("n").alias("n"))
+    summed = (partial.select("symbol", F.posexplode("stats").alias("i", "v"))
+              .groupBy("symbol", "i").agg(F.sum("v").alias("v")))
+    return summed.join(n, "symbol").groupBy("symbol").applyInPandas(_solve, COEF_SCHEMA)
 
 
 def equal_weights(symbols: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
