@@ -81,3 +81,34 @@ def test_live_bars_callback(spark, sf_dir):
     df = __import__("__spark_entry__").queries()["live_bars_stream"](spark, sf_dir)
     types = {r["type"] for r in df.select("type").distinct().collect()}
     assert types == {"ohlcv_1min"}
+
+
+def test_ring_buffer_stream_equals_batch(spark, sf_dir, stream_files):
+    src = fx.events_as_ticks(_files_stream(spark, stream_files))
+    out, ckpt = live.scratch(spark, "ring"), live.scratch(spark, "ringc")
+    live.run_available(live.ring_buffer_stream(src, out, ckpt, 50))
+    got = live.ring_buffer_table(spark, out)
+    batch = tk.last_n(fx.events_as_ticks(Tables(spark, sf_dir).events), 50)
+    assert got.count() == batch.count()
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_training_status_stream_equals_batch(spark, sf_dir, stream_files):
+    src = fx.event_log(_files_stream(spark, stream_files))
+    out, ckpt = live.scratch(spark, "ts"), live.scratch(spark, "tsc")
+    live.run_available(live.training_status_stream(src, out, ckpt))
+    got = live.latest_by_key(spark.read.parquet(out), "symbol")
+    batch = tk.latest_training_status(tk.training_status_updates(
+        fx.event_log(Tables(spark, sf_dir).events)))
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0
+    assert got.count() == batch.count()
+
+
+def test_alerts_stream_equals_batch(spark, sf_dir, stream_files):
+    ticks = fx.events_as_ticks(Tables(spark, sf_dir).events)
+    rules = fx.alert_rules(ticks)
+    out, ckpt = live.scratch(spark, "al"), live.scratch(spark, "alc")
+    live.run_available(live.alerts_stream(fx.events_as_ticks(_files_stream(spark, stream_files)),
+                                          rules, out, ckpt))
+    got = spark.read.schema("topic string, key string, value string").json(out)
+    assert got.count() == tk.price_alerts(ticks, rules).count()

@@ -87,3 +87,29 @@ def q_event_append(spark, sf_dir):
     evo.append_events(log, path)
     evo.append_events(log, path)
     return spark.read.parquet(path)
+
+
+@register("price_alerts_stream", ids=("T4", "S5f"))
+def q_price_alerts_stream(spark, sf_dir):
+    """Trades stream past the static per-symbol bands; alerts land on a topic folder."""
+    rules = fx.alert_rules(fx.events_as_ticks(Tables(spark, sf_dir).events))
+    path, ckpt = live.scratch(spark, "alerts"), live.scratch(spark, "alerts-ckpt")
+    live.run_available(live.alerts_stream(fx.events_as_ticks(_events(spark, sf_dir)), rules,
+                                          path, ckpt))
+    return spark.read.schema("topic string, key string, value string").json(path)
+
+
+@register("training_status_stream", ids=("T5",))
+def q_training_status_stream(spark, sf_dir):
+    path, ckpt = live.scratch(spark, "train"), live.scratch(spark, "train-ckpt")
+    live.run_available(live.training_status_stream(fx.event_log(_events(spark, sf_dir)),
+                                                   path, ckpt))
+    return live.latest_by_key(spark.read.parquet(path), "symbol")
+
+
+@register("last_1000_stream", ids=("T7",))
+def q_last_1000_stream(spark, sf_dir):
+    path, ckpt = live.scratch(spark, "ring"), live.scratch(spark, "ring-ckpt")
+    live.run_available(live.ring_buffer_stream(fx.events_as_ticks(_events(spark, sf_dir)),
+                                               path, ckpt, 1000))
+    return live.ring_buffer_table(spark, path)
