@@ -114,3 +114,19 @@ def test_source_fallback_priorities(spark):
     got = {r["symbol"]: r["source_priority"] for r in out.select("symbol", "source_priority")
            .distinct().collect()}
     assert got == {"S": 1, "T": 0}
+
+
+@pytest.mark.parametrize("fn,block", [
+    (lambda b, k: ind.moving_averages(b, block_rows=k), 60),
+    (lambda b, k: ind.volatility_annual(b, block_rows=k), 40),
+    (lambda b, k: ind.support_resistance(b, block_rows=k), 25),
+    (lambda b, k: ind.high_low_52w(b, block_rows=k), 260),
+    (lambda b, k: ind.current_data(b, block_rows=k, digits=9), 260),
+])
+def test_halo_blocks_equal_whole_symbol_windows(spark, sf_dir, fn, block):
+    from tickflow.sources import fixtures as fx
+    from tickflow.sources.tables import Tables
+    b = fx.daily_bars(Tables(spark, sf_dir).orders)
+    whole, split = fn(b, None), fn(b, block)
+    assert split.count() == whole.count()
+    assert split.exceptAll(whole.select(*split.columns)).count() == 0

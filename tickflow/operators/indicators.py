@@ -18,73 +18,101 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
-from tickflow.functions.windows import by_symbol, full, newest_first
+from tickflow.functions.windows import (Key, by_symbol, carried, full, newest_first,
+                                        split_windows)
 
 
-def _lag_close() -> Column:
-    return F.lag("close").over(by_symbol())
+def _lag_close(part: Key = "symbol") -> Column:
+    return F.lag("close").over(by_symbol(part))
 
 
-def daily_return() -> Column:
+def daily_return(part: Key = "symbol") -> Column:
     """close / previous close - 1; null for the first bar and for a zero previous close."""
-    return F.try_divide(F.col("close"), _lag_close()) - F.lit(1.0)
+    return F.try_divide(F.col("close"), _lag_close(part)) - F.lit(1.0)
 
 
-def price_change() -> Column:
-    return F.col("close") - _lag_close()
+def price_change(part: Key = "symbol") -> Column:
+    return F.col("close") - _lag_close(part)
 
 
-def moving_average(n: int, col: str = "close") -> Column:
-    return full(F.avg, col, n)
+def moving_average(n: int, col: str = "close", part: Key = "symbol") -> Column:
+    return full(F.avg, col, n, part)
 
 
-def rolling_std(col: str | Column, n: int) -> Column:
-    return full(F.stddev_samp, col, n)
+def rolling_std(col: str | Column, n: int, part: Key = "symbol") -> Column:
+    return full(F.stddev_samp, col, n, part)
 
 
-def with_returns(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("daily_return", daily_return())
+def with_returns(bars: DataFrame, part: Key = "symbol") -> DataFrame:
+    return bars.withColumn("daily_return", daily_return(part))
 
 
 # -- W1-W7: one column family each -------------------------------------------
+# ``block_rows`` runs the windows per halo block instead of per symbol (see
+# ``functions.windows.split_windows``): same result, no whole-symbol task.
 
-def moving_averages(bars: DataFrame, windows=(5, 20, 50)) -> DataFrame:
-    return bars.select("symbol", "ts", "close",
-                       *[moving_average(n).alias(f"ma_{n}") for n in windows])
+def moving_averages(bars: DataFrame, windows=(5, 20, 50), block_rows: int | None = None,
+                    unit: str = "month") -> DataFrame:
+    def compute(df, part):
+        return df.select(*carried(df), "symbol", "ts", "close",
+                         *[moving_average(n, part=part).alias(f"ma_{n}") for n in windows])
+    return split_windows(bars, compute, max(windows) - 1, block_rows, unit=unit)
 
 
-def daily_returns(bars: DataFrame) -> DataFrame:
-    r = daily_return()
-    return bars.select("symbol", "ts", "close", r.alias("daily_return"),
-                       (r * 100).alias("change_pct"))
+def daily_returns(bars: DataFrame, block_rows: int | None = None,
+                  unit: str = "month") -> DataFrame:
+    def compute(df, part):
+        r = daily_return(part)
+        return df.select(*carried(df), "symbol", "ts", "close", r.alias("daily_return"),
+                         (r * 100).alias("change_pct"))
+    return split_windows(bars, compute, 1, block_rows, unit=unit)
 
 
-def price_changes(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", "ts", "close", price_change().alias("price_change"))
+def price_changes(bars: DataFrame, block_rows: int | None = None,
+                  unit: str = "month") -> DataFrame:
+    def compute(df, part):
+        return df.select(*carried(df), "symbol", "ts", "close",
+                         price_change(part).alias("price_change"))
+    return split_windows(bars, compute, 1, block_rows, unit=unit)
 
 
-def volatility_10(bars: DataFrame) -> DataFrame:
+def volatility_10(bars: DataFrame, block_rows: int | None = None,
+                  unit: str = "month") -> DataFrame:
     """Rolling 10-bar sample std of daily returns, in percent."""
-    return (with_returns(bars)
-            .select("symbol", "ts", (rolling_std("daily_return", 10) * 100).alias("volatility")))
+    def compute(df, part):
+        return (with_returns(df, part)
+                .select(*carried(df), "symbol", "ts",
+                        (rolling_std("daily_return", 10, part) * 100).alias("volatility")))
+    return split_windows(bars, compute, 10, block_rows, unit=unit)
 
 
-def volatility_annual(bars: DataFrame, n: int = 30) -> DataFrame:
+def volatility_annual(bars: DataFrame, n: int = 30, block_rows: int | None = None,
+                      unit: str = "month") -> DataFrame:
     """Rolling ``n``-bar std of returns, annualised with 252 days, in percent."""
-    return (with_returns(bars)
-            .select("symbol", "ts",
-                    (rolling_std("daily_return", n) * math.sqrt(S.ANNUALISATION_DAYS) * 100)
-                    .alias("volatility")))
+    def compute(df, part):
+        return (with_returns(df, part)
+                .select(*carried(df), "symbol", "ts",
+                        (rolling_std("daily_return", n, part)
+                         * math.sqrt(S.ANNUALISATION_DAYS) * 100).alias("volatility")))
+    return split_windows(bars, compute, n, block_rows, unit=unit)
 
 
-def support_resistance(bars: DataFrame, n: int = 20) -> DataFrame:
-    return bars.select("symbol", "ts", full(F.max, "high", n).alias("resistance"),
-                       full(F.min, "low", n).alias("support"))
+def support_resistance(bars: DataFrame, n: int = 20, block_rows: int | None = None,
+                       unit: str = "month") -> DataFrame:
+    def compute(df, part):
+        return df.select(*carried(df), "symbol", "ts",
+                         full(F.max, "high", n, part).alias("resistance"),
+                         full(F.min, "low", n, part).alias("support"))
+    return split_windows(bars, compute, n - 1, block_rows, unit=unit)
 
 
-def high_low_52w(bars: DataFrame, n: int = S.ANNUALISATION_DAYS) -> DataFrame:
-    return bars.select("symbol", "ts", full(F.max, "high", n).alias("high_52w"),
-                       full(F.min, "low", n).alias("low_52w"))
+def high_low_52w(bars: DataFrame, n: int = S.ANNUALISATION_DAYS, block_rows: int | None = None,
+                 unit: str = "month") -> DataFrame:
+    def compute(df, part):
+        return df.select(*carried(df), "symbol", "ts",
+                         full(F.max, "high", n, part).alias("high_52w"),
+                         full(F.min, "low", n, part).alias("low_52w"))
+    return split_windows(bars, compute, n - 1, block_rows, unit=unit)
 
 
 # -- W8, W12, L1: last rows -----------------------------------------------------
@@ -145,22 +173,24 @@ def quote_overlay(last: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def current_data(bars: DataFrame, quotes: DataFrame | None = None,
-                 digits: int = 2) -> DataFrame:
+                 digits: int = 2, block_rows: int | None = None,
+                 unit: str = "month") -> DataFrame:
     """One row per symbol: price, change, volume, MA 20 / 50, annual volatility,
     52-week high / low, all rolling over the whole history, then the last row.
     """
-    ret = daily_return()
-    rows = bars.select(
-        "symbol", "ts", "close", "volume",
-        F.coalesce(_lag_close(), F.col("close")).alias("prev_close"),
-        moving_average(20).alias("ma_20"),
-        moving_average(50).alias("ma_50"),
-        ret.alias("daily_return"),
-        full(F.max, "high", S.ANNUALISATION_DAYS).alias("high_52w"),
-        full(F.min, "low", S.ANNUALISATION_DAYS).alias("low_52w"))
-    rows = rows.withColumn(
-        "volatility",
-        rolling_std("daily_return", 30) * math.sqrt(S.ANNUALISATION_DAYS) * 100)
+    def compute(df, part):
+        rows = df.select(
+            *carried(df), "symbol", "ts", "close", "volume",
+            F.coalesce(_lag_close(part), F.col("close")).alias("prev_close"),
+            moving_average(20, part=part).alias("ma_20"),
+            moving_average(50, part=part).alias("ma_50"),
+            daily_return(part).alias("daily_return"),
+            full(F.max, "high", S.ANNUALISATION_DAYS, part).alias("high_52w"),
+            full(F.min, "low", S.ANNUALISATION_DAYS, part).alias("low_52w"))
+        return rows.withColumn(
+            "volatility",
+            rolling_std("daily_return", 30, part) * math.sqrt(S.ANNUALISATION_DAYS) * 100)
+    rows = split_windows(bars, compute, S.ANNUALISATION_DAYS - 1, block_rows, unit=unit)
     last = last_row(rows)
     if quotes is not None:
         last = quote_overlay(last, quotes)

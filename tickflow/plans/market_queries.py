@@ -148,6 +148,14 @@ def q_current_data(spark, sf_dir):
     return ind.current_data(bars(spark, sf_dir), order_quotes(spark, sf_dir), digits=6)
 
 
+@register("current_data_blocked", ids=("W13",), sql=_CURRENT_SQL)
+def q_current_data_blocked(spark, sf_dir):
+    """The flagship with every symbol cut into halo blocks of 500 bars: the
+    strategy for a symbol too long for one task; same rows as ``current_data``."""
+    return ind.current_data(bars(spark, sf_dir), order_quotes(spark, sf_dir), digits=6,
+                            block_rows=500, unit="month")
+
+
 @register("quote_overlay", ids=("J1",), sql=with_fixtures("""
     SELECT l.symbol, l.close, l.prev_close,
            q.c IS NOT NULL AND q.c <> 0 AS is_real_time,
