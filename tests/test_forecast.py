@@ -88,3 +88,12 @@ def test_training_gate(spark):
     syms = {r["symbol"] for r in fc.training_set(short.unionByName(ok)).select("symbol")
             .distinct().collect()}
     assert syms == {"Y"}
+
+
+def test_training_set_blocks_equal_whole(spark, sf_dir):
+    from tickflow.sources import fixtures as fx
+    from tickflow.sources.tables import Tables
+    b = fx.daily_bars(Tables(spark, sf_dir).orders)
+    whole, split = fc.training_set(b), fc.training_set(b, block_rows=70)
+    assert split.count() == whole.count()
+    assert split.exceptAll(whole.select(*split.columns)).count() == 0

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickflow import schemas as S
 from tickflow.functions.noise import gaussian, symbol_code
-from tickflow.functions.windows import by_symbol
+from tickflow.functions.windows import by_symbol, carried, split_windows
 from tickflow.operators.indicators import tail_n
 
 
@@ -53,20 +53,29 @@ def minmax_scaled(bars: DataFrame) -> DataFrame:
                        .alias("scaled"))
 
 
-def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
+def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE, block_rows: int | None = None,
+                unit: str = "month") -> DataFrame:
     """Each bar with the ``window`` previous scaled closes and its own scaled
-    close as label; bars with fewer predecessors are dropped (W9)."""
-    w, whole = by_symbol(), _whole()
-    mn, mx = F.min("close").over(whole), F.max("close").over(whole)
-    rows = bars.select(
-        "symbol", "ts", "close", mn.alias("mn"), _range(mn, mx).alias("rng"),
-        F.count(F.lit(1)).over(whole).alias("n_bars"),
-        F.row_number().over(w).alias("i"),
-        F.collect_list("close").over(w.rowsBetween(-window, -1)).alias("raw"))
-    rows = rows.filter(F.size("raw") == window)
+    close as label; bars with fewer predecessors are dropped (W9).
+
+    The scaler (min / max / count over the whole series) is a partial
+    aggregate joined back per symbol; the lag frames run per symbol, or per
+    halo block of ``block_rows`` bars (``functions.windows.split_windows``).
+    """
+    params = scaler_params(bars).select("symbol", "mn", "rng", "n_bars")
+
+    def compute(df, part):
+        w = by_symbol(part)
+        i = F.col("_pos") if "_pos" in df.columns else F.row_number().over(w)
+        return df.select(*carried(df), "symbol", "ts", "close", i.alias("i"),
+                         F.collect_list("close").over(w.rowsBetween(-window, -1)).alias("raw"))
+
+    rows = split_windows(bars.select("symbol", "ts", "close"), compute, window, block_rows,
+                         unit=unit)
+    rows = rows.filter(F.size("raw") == window).join(params, "symbol")
     return rows.select(
         "symbol", "ts", "close", "mn", "rng",
-        (F.col("i") - window).alias("j"),
+        (F.col("i") - window).cast("bigint").alias("j"),
         (F.col("n_bars") - window).alias("n_samples"),
         F.transform("raw", lambda x: (x - F.col("mn")) / F.col("rng")).alias("lags"),
         ((F.col("close") - F.col("mn")) / F.col("rng")).alias("label"))
@@ -75,10 +84,10 @@ def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
 def training_set(bars: DataFrame, window: int = S.WINDOW_SIZE,
                  train_fraction: float = S.TRAIN_FRACTION,
                  validation_fraction: float = S.VALIDATION_FRACTION,
-                 min_samples: int = S.MIN_ROWS) -> DataFrame:
+                 min_samples: int = S.MIN_ROWS, block_rows: int | None = None) -> DataFrame:
     """M1: lag windows + chronological split (W10) + validation tail
     + the minimum-samples gate (P7)."""
-    lw = lag_windows(bars, window).filter(F.col("n_samples") >= min_samples)
+    lw = lag_windows(bars, window, block_rows).filter(F.col("n_samples") >= min_samples)
     n_train = F.floor(F.col("n_samples") * train_fraction)
     lw = lw.withColumn("n_train", n_train.cast("bigint"))
     n_fit = F.floor(F.col("n_train") * (1.0 - validation_fraction))
