@@ -178,3 +178,14 @@ def test_uncommitted_and_append_idempotent(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == 8
     assert evo.uncommitted(log, stored).count() == 0
+
+
+def test_dispatch_handlers(spark, sf_dir):
+    log = fx.event_log(Tables(spark, sf_dir).events)
+    out = evo.dispatch(log, evo.routing_table(spark), {
+        "project_analysis_started": lambda df: df.groupBy("aggregate_id").count(),
+        "project_training_completed": lambda df: df.select("event_type").distinct()})
+    assert {r["event_type"] for r in out["project_training_completed"].collect()} == \
+        {S.LSTM_TRAINING_COMPLETED}
+    n_started = log.filter(F.col("event_type") == S.ANALYSIS_STARTED).count()
+    assert out["project_analysis_started"].agg(F.sum("count")).collect()[0][0] == n_started

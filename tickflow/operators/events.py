@@ -112,6 +112,18 @@ def route_events(log: DataFrame, routing: DataFrame) -> DataFrame:
     return log.join(F.broadcast(routing), "event_type", "inner")
 
 
+def dispatch(log: DataFrame, routing: DataFrame, handlers: dict) -> dict[str, DataFrame]:
+    """Event handlers as DataFrame functions (the handler registry).
+
+    ``handlers`` maps a projection name to ``DataFrame -> DataFrame``; each
+    gets the events routed to it.  The loop runs over the registry written in
+    code, never over data; every result stays a lazy DataFrame.
+    """
+    routed = route_events(log, routing)
+    return {name: fn(routed.filter(F.col("projection") == name).drop("projection"))
+            for name, fn in handlers.items()}
+
+
 def uncommitted(produced: DataFrame, committed: DataFrame, key: str = "event_id") -> DataFrame:
     """Events produced but not in the committed log (J6); a plain anti join on
     the unique event id, which also makes re-appends idempotent."""
