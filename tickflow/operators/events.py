@@ -10,7 +10,7 @@ and the result does not depend on row order or partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
@@ -177,6 +177,57 @@ def commands_to_events(commands: DataFrame, state: DataFrame) -> DataFrame:
         "timestamp")
 
 
+def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataFrame:
+    """As-of join: every ``requests`` row (``aggregate_id``, ``timestamp``,
+    ``seq`` and any other columns) gets ``previous_status``, the aggregate's
+    status as of its timestamp (events at the same instant count as earlier,
+    ``idle`` before any).
+
+    A window over each aggregate's whole history would put a hot aggregate
+    in one task.  Instead the history is cut into ``unit`` buckets: the last
+    status of every (aggregate, bucket) is a partial aggregate, the status
+    carried into each bucket is a running ``last`` over that small table,
+    and only the rows of one (aggregate, bucket) are ordered together.
+    Exact, with the work of a task bounded by one bucket of one aggregate.
+    """
+    ord_ = F.struct("timestamp", "seq")
+    ev = (log.filter(F.col("event_type").isin(S.ANALYSIS_REQUESTED, S.ANALYSIS_STARTED,
+                                               S.ANALYSIS_COMPLETED))
+          .select("aggregate_id", "timestamp", "seq", _status_of().alias("status"),
+                  F.lit(0).alias("_kind"), F.lit(None).cast(requests.schema).alias("_req")))
+    rq = requests.select("aggregate_id", "timestamp", "seq",
+                         F.lit(None).cast("string").alias("status"), F.lit(1).alias("_kind"),
+                         F.struct(*requests.columns).alias("_req"))
+    both = ev.unionByName(rq).withColumn("_b", F.date_trunc(unit, "timestamp"))
+    # last status per (aggregate, bucket); request-only buckets get a null mark
+    marks = (both.groupBy("aggregate_id", "_b")
+             .agg(F.max_by("status", F.when(F.col("_kind") == 0, ord_)).alias("_last")))
+    before = Window.partitionBy("aggregate_id").orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = marks.select("aggregate_id", "_b",
+                              F.last("_last", ignorenulls=True).over(before).alias("_prior"))
+    inside = Window.partitionBy("aggregate_id", "_b").orderBy("timestamp", "_kind", "seq") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = both.join(carried_in, ["aggregate_id", "_b"])
+    asof = F.coalesce(F.last("status", ignorenulls=True).over(inside), F.col("_prior"),
+                      F.lit(S.STATUS_IDLE))
+    return (j.withColumn("previous_status", asof).filter(F.col("_kind") == 1)
+            .select("_req.*", "previous_status"))
+
+
+def commands_to_events_asof(commands: DataFrame, log: DataFrame) -> DataFrame:
+    """C1 on replay: like ``commands_to_events`` but previous_status is the
+    aggregate's status when the command arrived (as-of join on the log)."""
+    c = status_asof(commands, log)
+    meta = F.from_json("metadata", "requester string")
+    return c.select(
+        deterministic_id(F.lit("event"), F.col("command_id")).alias("event_id"),
+        F.lit(S.ANALYSIS_REQUESTED).alias("event_type"), "aggregate_id",
+        deterministic_id(F.lit("analysis"), F.col("command_id")).alias("analysis_id"),
+        F.coalesce(meta.getField("requester"), F.lit(S.DEFAULT_REQUESTER)).alias("requester"),
+        "previous_status", "timestamp")
+
+
 def processing_status(steps: DataFrame) -> DataFrame:
     """Latest processing step per symbol (C4).
 

@@ -232,3 +232,21 @@ def q_workflow_debug_view(spark, sf_dir):
     lg = log(spark, sf_dir)
     return rmo.workflow_debug_view(evo.processing_status(fx.step_log(lg)),
                                    evo.aggregate_state(lg), rmo.read_model(lg))
+
+
+@register("commands_to_events_asof", ids=("C1",), sql=with_fixtures(f"""
+    SELECT substr(sha256('event|' || c.command_id), 1, 32) AS event_id,
+           'AnalysisRequested' AS event_type, c.aggregate_id,
+           substr(sha256('analysis|' || c.command_id), 1, 32) AS analysis_id,
+           coalesce(json_extract_string(c.metadata, '$.requester'), 'system') AS requester,
+           coalesce(e.status, 'idle') AS previous_status, c.timestamp
+    FROM commands c ASOF LEFT JOIN
+         (SELECT aggregate_id, timestamp,
+                 CASE event_type WHEN '{RQ}' THEN 'requested' WHEN '{ST}' THEN 'running'
+                                 ELSE 'completed' END AS status
+          FROM event_log WHERE event_type IN ('{RQ}', '{ST}', '{CO}')) e
+      ON c.aggregate_id = e.aggregate_id AND c.timestamp >= e.timestamp""",
+    "commands", "event_log"))
+def q_commands_to_events_asof(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return evo.commands_to_events_asof(fx.commands(t.events), fx.event_log(t.events))

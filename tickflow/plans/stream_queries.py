@@ -45,8 +45,8 @@ def q_ohlcv_1min_stream(spark, sf_dir):
 
 @register("events_dedup_stream", ids=("T10",))
 def q_events_dedup_stream(spark, sf_dir):
-    """Each event arrives twice (the stream reads the table under two names'
-    worth of files); the watermarked dedup keeps one."""
+    """Every click arrives twice (the stream unioned with its clicks, as an
+    at-least-once consumer would deliver it); the watermarked dedup keeps one."""
     path, ckpt = live.scratch(spark, "dedup"), live.scratch(spark, "dedup-ckpt")
     src = _events(spark, sf_dir)
     doubled = src.unionByName(src.filter(F.col("event_type") == "click"))
