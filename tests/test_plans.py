@@ -97,3 +97,17 @@ def test_skewed_aggregate_positions(spark):
     ref = hot.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("ts", "seq"))
                          .cast("bigint"))
     assert got.select("seq", "pos").exceptAll(ref.select("seq", "pos")).count() == 0
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, sf_dir):
+    """Wall-clock arithmetic never goes through spark.sql.session.timeZone."""
+    names = ["candles_explode", "scalar_format", "min_rows_gate", "event_history",
+             "history_from_messages"]
+    qs = entry.queries()
+    base = {n: sorted(map(tuple, qs[n](spark, sf_dir).collect())) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        for n in names:
+            assert sorted(map(tuple, qs[n](spark, sf_dir).collect())) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickflow.functions.timecols import floor_time
+
 
 def positions(df: DataFrame, key: str, order: list[str], ts: str, unit: str = "day",
               counters: dict[str, Column] | None = None) -> DataFrame:
@@ -21,10 +23,10 @@ def positions(df: DataFrame, key: str, order: list[str], ts: str, unit: str = "d
     ``name`` of rows up to and including this one where the flag holds.
 
     ``order`` must start with the time column ``ts`` that the buckets cut
-    (``date_trunc(unit, ts)``) and be a total order inside the key.
+    (``floor_time(ts, unit)``) and be a total order inside the key.
     """
     counters = counters or {}
-    flagged = df.withColumn("_b", F.date_trunc(unit, F.col(ts)))
+    flagged = df.withColumn("_b", floor_time(F.col(ts), unit))
     for name, cond in counters.items():
         flagged = flagged.withColumn(f"_f_{name}", F.when(cond, 1).otherwise(0))
     sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(f"_f_{n}").alias(f"_s_{n}") for n in counters]

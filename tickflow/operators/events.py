@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickflow import schemas as S
 from tickflow.functions.ordering import positions
+from tickflow.functions.timecols import floor_time
 
 
 def order_key(ts: str = "timestamp", seq: str = "seq") -> Column:
@@ -198,7 +199,7 @@ def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataF
     rq = requests.select("aggregate_id", "timestamp", "seq",
                          F.lit(None).cast("string").alias("status"), F.lit(1).alias("_kind"),
                          F.struct(*requests.columns).alias("_req"))
-    both = ev.unionByName(rq).withColumn("_b", F.date_trunc(unit, "timestamp"))
+    both = ev.unionByName(rq).withColumn("_b", floor_time("timestamp", unit))
     # last status per (aggregate, bucket); request-only buckets get a null mark
     marks = (both.groupBy("aggregate_id", "_b")
              .agg(F.max_by("status", F.when(F.col("_kind") == 0, ord_)).alias("_last")))

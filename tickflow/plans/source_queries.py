@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
+from tickflow.functions.timecols import epoch_seconds
 from tickflow.operators import indicators as ind
 from tickflow.plans.market_queries import bars, order_quotes
 from tickflow.plans.oracle import with_fixtures
@@ -184,7 +185,7 @@ def q_scalar_format(spark, sf_dir):
         F.upper("symbol").alias("symbol_upper"),
         F.date_format("ts", "yyyy-MM-dd").alias("date"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"),
+        epoch_seconds("ts").alias("epoch"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("next_day"),
         F.concat_ws("-", F.lit("LSTM"), "symbol").alias("metrics_key"),
         F.format_string("Analysis for %s is still running", "symbol").alias("message"),

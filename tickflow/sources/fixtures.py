@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
+from tickflow.functions.timecols import epoch_seconds, floor_time
 
 
 # -- bars --------------------------------------------------------------------
@@ -56,7 +57,7 @@ def bars_from_ticks(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     """
     order = F.struct("ts", "trade_id")
     return (ticks
-            .groupBy("symbol", F.date_trunc(unit, "ts").alias("ts"))
+            .groupBy("symbol", floor_time("ts", unit).alias("ts"))
             .agg(F.min_by("price", order).alias("open"),
                  F.max("price").alias("high"),
                  F.min("price").alias("low"),
@@ -119,7 +120,7 @@ def candles(bars: DataFrame, no_data_symbol: str | None = None) -> DataFrame:
     calendar (one entry per trading day), so one array per symbol is fine.
     """
     rows = F.array_sort(F.collect_list(F.struct(
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"),
+        epoch_seconds("ts").alias("t"),
         "open", "high", "low", "close", F.col("volume").cast("double").alias("v"))))
     per = bars.groupBy("symbol").agg(rows.alias("r"))
     status = F.lit("ok") if no_data_symbol is None else \

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
+from tickflow.functions.timecols import epoch_seconds, from_epoch_seconds
 
 
 def candles_to_bars(candles: DataFrame, payload_col: str = "payload") -> DataFrame:
@@ -23,7 +24,7 @@ def candles_to_bars(candles: DataFrame, payload_col: str = "payload") -> DataFra
           .filter((F.col("p.s") == "ok") & (F.size("p.c") > 0)))
     rows = ok.select("symbol", F.inline(F.arrays_zip("p.t", "p.o", "p.h", "p.l", "p.c", "p.v")))
     return (rows.select("symbol",
-                        F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"),
+                        from_epoch_seconds("t").alias("ts"),
                         F.col("o").alias("open"), F.col("h").alias("high"),
                         F.col("l").alias("low"), F.col("c").alias("close"),
                         F.col("v").alias("volume"))
@@ -101,7 +102,7 @@ def history_messages(bars: DataFrame) -> DataFrame:
                                F.lit(S.MSG_HISTORICAL).alias("type"), F.col("data")))
     return per.select(F.lit(S.TOPICS["finnhub_historical"]).alias("topic"),
                       msg_symbol.alias("key"), value.alias("value"),
-                      F.unix_timestamp(F.col("first_ts").cast("timestamp")).alias("offset"))
+                      epoch_seconds("first_ts").alias("offset"))
 
 
 def history_from_messages(messages: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
