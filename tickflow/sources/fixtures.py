@@ -114,15 +114,13 @@ def quotes_from_ticks(ticks: DataFrame, zero_symbol: str | None = None,
 
 
 def candles(bars: DataFrame, no_data_symbol: str | None = None) -> DataFrame:
-    """Bars -> candle responses: one row per symbol, parallel arrays, ``s`` status.
-
-    A candle response is one symbol's answer to one request, bounded by the
-    calendar (one entry per trading day), so one array per symbol is fine.
-    """
+    """Bars -> candle responses: one row per symbol and calendar year (one
+    request's date range), parallel arrays, ``s`` status.  A response is
+    bounded by the calendar (at most 366 entries)."""
     rows = F.array_sort(F.collect_list(F.struct(
         epoch_seconds("ts").alias("t"),
         "open", "high", "low", "close", F.col("volume").cast("double").alias("v"))))
-    per = bars.groupBy("symbol").agg(rows.alias("r"))
+    per = bars.groupBy("symbol", F.year("ts").alias("year")).agg(rows.alias("r"))
     status = F.lit("ok") if no_data_symbol is None else \
         F.when(F.col("symbol") == no_data_symbol, F.lit("no_data")).otherwise(F.lit("ok"))
     payload = F.struct(
@@ -133,7 +131,11 @@ def candles(bars: DataFrame, no_data_symbol: str | None = None) -> DataFrame:
 
 
 def alert_rules(ticks: DataFrame) -> DataFrame:
-    """Per symbol: low / high = exact 5th / 95th percentile of the price."""
+    """Per symbol: low / high = exact 5th / 95th percentile of the price.
+
+    Spark's exact ``percentile`` buffers value -> count maps and merges them
+    partially, so a symbol's state is bounded by its distinct prices (tick
+    size times price range), not by its number of trades."""
     return ticks.groupBy("symbol").agg(
         F.percentile("price", 0.05).alias("low"),
         F.percentile("price", 0.95).alias("high"))
