@@ -189,3 +189,20 @@ def test_dispatch_handlers(spark, sf_dir):
         {S.LSTM_TRAINING_COMPLETED}
     n_started = log.filter(F.col("event_type") == S.ANALYSIS_STARTED).count()
     assert out["project_analysis_started"].agg(F.sum("count")).collect()[0][0] == n_started
+
+
+def test_workflow_log_folds_to_expected_states(spark, sf_dir):
+    """End to end: the workflow's own event log folds to the application's
+    states (success: completed / version 6; training failure: running /
+    version 3; fetch failure: running / version 2)."""
+    import __spark_entry__ as entry
+    log = entry.queries()["workflow_event_log"](spark, sf_dir)
+    st = {r["aggregate_id"]: r for r in evo.aggregate_state(log).collect()}
+    rm = {r["symbol"]: r for r in rmo.read_model(log).collect()}
+    assert (st["1-URGENT"]["status"], st["1-URGENT"]["version"],
+            st["1-URGENT"]["lstm_training"]) == ("completed", 6, "completed")
+    assert rm["1-URGENT"]["status"] == "completed"
+    assert '"models_trained":{"lstm":true' in rm["1-URGENT"]["results"]
+    assert (st["CLICK"]["status"], st["CLICK"]["version"]) == ("running", 3)
+    assert (st["AAPL"]["status"], st["AAPL"]["version"]) == ("running", 2)
+    assert rm["AAPL"]["status"] == "running"

@@ -75,9 +75,11 @@ def event_plan(out: DataFrame) -> DataFrame:
 
 
 def documents(bars: DataFrame, quotes: DataFrame | None, coefs: DataFrame,
-              seed: int = 42) -> DataFrame:
-    """Per symbol: current data, metrics, forecast document (JSON columns)."""
-    ts = fc.training_set(bars)
+              seed: int = 42, training: DataFrame | None = None) -> DataFrame:
+    """Per symbol: current data, metrics, forecast document (JSON columns).
+    ``training`` is the training set the coefficients were fitted on (built
+    from ``bars`` when not given)."""
+    ts = training if training is not None else fc.training_set(bars)
     metrics = fc.forecast_metrics(fc.score_windows(ts, coefs))
     mpiv = metrics.groupBy("symbol").agg(
         *[F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
@@ -102,12 +104,13 @@ def analysis_id(symbol: Column, asof: Column) -> Column:
 
 
 def workflow_events(requests: DataFrame, bars: DataFrame, quotes: DataFrame | None,
-                    coefs: DataFrame, asof: str) -> DataFrame:
+                    coefs: DataFrame, asof: str,
+                    training: DataFrame | None = None) -> DataFrame:
     """The event log of one analysis per requested symbol, all
     requested at ``asof`` (a timestamp literal: no wall clock)."""
     out = outcomes(requests, bars)
     plan = event_plan(out)
-    docs = documents(bars, quotes, coefs)
+    docs = documents(bars, quotes, coefs, training=training)
     j = plan.join(docs, "symbol", "left")
     request_ts = F.lit(asof).cast("timestamp_ntz")
     aid = analysis_id(F.col("symbol"), request_ts)

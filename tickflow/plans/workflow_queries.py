@@ -79,8 +79,10 @@ def q_workflow_events(spark, sf_dir):
 def q_workflow_event_log(spark, sf_dir):
     """The full run: fitted models, forecasts and documents in the payloads."""
     requests, all_bars = workflow_inputs(spark, sf_dir)
-    coefs = fc.fit_linear(fc.training_set(all_bars))
-    return wf.workflow_events(requests, all_bars, order_quotes(spark, sf_dir), coefs, ASOF)
+    training = fc.training_set(all_bars)
+    coefs = fc.fit_linear(training)
+    return wf.workflow_events(requests, all_bars, order_quotes(spark, sf_dir), coefs, ASOF,
+                              training=training)
 
 
 _C7_BODY = f"""
