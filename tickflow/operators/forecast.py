@@ -16,12 +16,11 @@ per symbol.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
+from tickflow.functions import lstsq
 from tickflow.functions.noise import gaussian, symbol_code
 from tickflow.functions.windows import by_symbol, carried, split_windows
 from tickflow.operators.indicators import tail_n
@@ -102,27 +101,6 @@ COEF_SCHEMA = "symbol string, intercept double, coef array<double>, n_fit bigint
 STATS_SCHEMA = "symbol string, stats array<double>, n bigint"
 
 
-def _partial_normal_equations(batches):
-    """Per Arrow batch and symbol: Z'Z and Z'y with Z = [1, lags] (flattened)."""
-    for pdf in batches:
-        for sym, g in pdf.groupby("symbol", sort=False):
-            x = np.vstack(g["lags"].to_numpy())
-            z = np.hstack([np.ones((x.shape[0], 1)), x])
-            y = g["label"].to_numpy(dtype=float)
-            stats = np.concatenate([(z.T @ z).ravel(), z.T @ y])
-            yield pd.DataFrame({"symbol": [sym], "stats": [stats.tolist()], "n": [len(y)]})
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Solve the summed normal equations of one symbol (a few thousand numbers)."""
-    k = int(round((-1 + np.sqrt(1 + 4 * len(pdf))) / 2))  # k*k + k entries
-    v = pdf.sort_values("i")["v"].to_numpy(dtype=float)
-    gram, rhs = v[:k * k].reshape(k, k), v[k * k:]
-    beta, *_ = np.linalg.lstsq(gram, rhs, rcond=None)
-    return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "intercept": [float(beta[0])],
-                         "coef": [beta[1:].tolist()], "n_fit": [int(pdf["n"].iloc[0])]})
-
-
 def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
     """M2: least-squares next-value model per symbol on the fit rows (train
     minus the validation tail).
@@ -138,11 +116,11 @@ def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
     if not use_validation:
         rows = rows.filter(~F.col("is_validation"))
     partial = rows.select("symbol", "lags", "label").mapInPandas(
-        _partial_normal_equations, STATS_SCHEMA)
+        lstsq.partial_normal_equations, STATS_SCHEMA)
     n = partial.groupBy("symbol").agg(F.sum("n").alias("n"))
     summed = (partial.select("symbol", F.posexplode("stats").alias("i", "v"))
               .groupBy("symbol", "i").agg(F.sum("v").alias("v")))
-    return summed.join(n, "symbol").groupBy("symbol").applyInPandas(_solve, COEF_SCHEMA)
+    return summed.join(n, "symbol").groupBy("symbol").applyInPandas(lstsq.solve, COEF_SCHEMA)
 
 
 def equal_weights(symbols: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
