@@ -25,9 +25,30 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster reading ~100 TB (merged over BASE_CONF by
+# ``build_session(cluster=True)``).  Shuffles start wide and AQE coalesces
+# them to ~256 MB partitions; scans split files into 512 MB tasks; a
+# partition five times the median and over 1 GB counts as skewed and is
+# split in sort-merge joins; small sides up to 64 MB become broadcasts at
+# run time.  Partial aggregation handles hot keys in aggregates.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "tickflow",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, cluster: bool = False) -> SparkSession:
     """Return a session with the library's settings.
 
     ``master`` and ``shuffle_partitions`` are for local runs; on a cluster
@@ -37,6 +58,8 @@ def build_session(master: str | None = None, app_name: str = "tickflow",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
