@@ -29,7 +29,7 @@ def envelope(df: DataFrame, topic: str, key: Column, fields: list[Column]) -> Da
                      F.to_json(F.struct(*fields), JSON_OPTIONS).alias("value"))
 
 
-def prediction_results(doc: DataFrame, model_type: str = "Enhanced_LSTM") -> DataFrame:
+def prediction_results(doc: DataFrame, model_type: str = S.MODEL_LABEL_PREDICTIONS) -> DataFrame:
     """One message per symbol holding its forecast document.
 
     ``doc``: symbol, dates, prices, lower_bound, upper_bound, last_actual_price,
@@ -45,7 +45,7 @@ def prediction_results(doc: DataFrame, model_type: str = "Enhanced_LSTM") -> Dat
                      F.lit(S.MSG_PREDICTION_RESULTS).alias("type"), preds.alias("predictions")])
 
 
-def model_metrics(metrics: DataFrame, model_type: str = "LSTM") -> DataFrame:
+def model_metrics(metrics: DataFrame, model_type: str = S.MODEL_LABEL_METRICS) -> DataFrame:
     """Key ``<model_type>-<symbol>``; ``metrics`` has symbol, ts and the
     metric columns."""
     cols = [c for c in metrics.columns if c not in ("symbol", "ts")]

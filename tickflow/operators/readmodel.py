@@ -102,8 +102,8 @@ def analysis_results(requests: DataFrame, rm: DataFrame) -> DataFrame:
          .otherwise(F.lit("not_found")).alias("status"),
         F.when(done, F.col("results")).alias("results"),
         F.when(done, F.lit(None).cast("string"))
-         .when(active, F.format_string("Analysis for %s is still running", F.col("symbol")))
-         .otherwise(F.format_string("No analysis results for %s", F.col("symbol")))
+         .when(active, F.format_string(S.MSG_NOT_READY, F.col("symbol")))
+         .otherwise(F.format_string(S.MSG_NOT_FOUND, F.col("symbol")))
          .alias("message"))
 
 

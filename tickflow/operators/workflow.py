@@ -21,9 +21,7 @@ from tickflow.operators import indicators as ind
 from tickflow.operators.events import deterministic_id
 from tickflow.operators.messages import JSON_OPTIONS, iso
 
-ERR_FETCH = "Data fetching failed"
-ERR_TRAIN = "LSTM training failed"
-ERR_PREDICT = "Prediction generation failed"
+ERR_FETCH, ERR_TRAIN, ERR_PREDICT = S.ERR_FETCH, S.ERR_TRAIN, S.ERR_PREDICT
 
 
 def outcomes(requests: DataFrame, bars: DataFrame, window: int = S.WINDOW_SIZE,
@@ -171,4 +169,4 @@ def model_performance(bars: DataFrame, coefs: DataFrame, metrics: DataFrame) ->
     return j.select("symbol", F.coalesce("lstm_trained", F.lit(False)).alias("lstm_trained"),
                     F.lit(False).alias("prophet_trained"), "data_points",
                     "train_mae", "test_mae", "train_rmse", "test_rmse",
-                    F.lit("lstm_only").alias("data_source"))
+                    F.lit(S.DATA_SOURCE_PERFORMANCE).alias("data_source"))

@@ -173,7 +173,7 @@ def _metrics_frame(spark, sf_dir):
     JOIN (SELECT symbol, max(ts) AS ts, count(*) AS data_points FROM tr GROUP BY symbol) l
       ON m.symbol = l.symbol""", "bars", extra=_TR_EXTRA + [("sco", SCORES_SQL)]))
 def q_msg_metrics(spark, sf_dir):
-    out = msg.model_metrics(_metrics_frame(spark, sf_dir), "LSTM")
+    out = msg.model_metrics(_metrics_frame(spark, sf_dir))
     return out.select("topic", "key", _field("type"),
                       *[F.get_json_object("value", f"$.metrics.{c}").cast("double").alias(c)
                         for c in ("train_mae", "test_mae", "train_rmse", "test_rmse")],

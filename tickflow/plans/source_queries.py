@@ -187,8 +187,8 @@ def q_scalar_format(spark, sf_dir):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
         epoch_seconds("ts").alias("epoch"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("next_day"),
-        F.concat_ws("-", F.lit("LSTM"), "symbol").alias("metrics_key"),
-        F.format_string("Analysis for %s is still running", "symbol").alias("message"),
+        F.concat_ws("-", F.lit(S.MODEL_LABEL_METRICS), "symbol").alias("metrics_key"),
+        F.format_string(S.MSG_NOT_READY, "symbol").alias("message"),
         F.round("close", 2).alias("close_2"),
         F.round(F.sqrt(F.abs(F.col("close") - F.col("open"))), 6).alias("sqrt_abs"),
         F.round(F.pow(F.col("close") / F.col("open"), 2), 6).alias("ratio_sq"),

@@ -68,6 +68,16 @@ MSG_PRICE_ALERT = "price_alert"
 MSG_HISTORICAL = "historical"
 MSG_OHLCV_1MIN = "ohlcv_1min"
 
+# Messages, error texts and model labels.
+MSG_NOT_READY = "Analysis for %s is still running"
+MSG_NOT_FOUND = "No analysis results for %s"
+ERR_FETCH = "Data fetching failed"
+ERR_TRAIN = "LSTM training failed"
+ERR_PREDICT = "Prediction generation failed"
+MODEL_LABEL_METRICS = "LSTM"
+MODEL_LABEL_PREDICTIONS = "Enhanced_LSTM"
+DATA_SOURCE_PERFORMANCE = "lstm_only"
+
 # Defaults.
 FALLBACK_CURRENT_DATA = {"current_price": 100.0, "change": 0.0, "change_pct": 0.0,
                          "volume": 1000000, "source": "fallback"}
