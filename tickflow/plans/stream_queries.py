@@ -59,7 +59,7 @@ def q_last_price_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "last"), live.scratch(spark, "last-ckpt")
     live.run_available(live.last_price_stream(fx.events_as_ticks(_events(spark, sf_dir)),
                                               path, ckpt))
-    return live.latest_by_key(spark.read.parquet(path), "symbol")
+    return live.read_changelog(spark, path, "symbol")
 
 
 @register("live_bars_stream", ids=("S9", "S4", "S6"))
@@ -74,7 +74,7 @@ def q_live_bars_stream(spark, sf_dir):
     out, ckpt = live.scratch(spark, "bars-out"), live.scratch(spark, "bars-ckpt")
     symbols = t.select("symbol").distinct()
     live.run_available(live.live_bars(stream, symbols, live.changelog_writer(out), ckpt))
-    return spark.read.parquet(out).select("symbol", "type", "value")
+    return live.read_changelog(spark, out).select("symbol", "type", "value")
 
 
 @register("event_append", ids=("S7",))
@@ -104,7 +104,7 @@ def q_training_status_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "train"), live.scratch(spark, "train-ckpt")
     live.run_available(live.training_status_stream(fx.event_log(_events(spark, sf_dir)),
                                                    path, ckpt))
-    return live.latest_by_key(spark.read.parquet(path), "symbol")
+    return live.read_changelog(spark, path, "symbol")
 
 
 @register("last_1000_stream", ids=("T7",))

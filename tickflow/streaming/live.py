@@ -94,10 +94,35 @@ def append_log(log_stream: DataFrame, path: str, checkpoint: str):
 
 # -- changelog tables written by foreachBatch -----------------------------------------
 
-def changelog_writer(path: str):
-    """foreachBatch function: write the batch to ``path/batch_id=<id>`` (overwrite)."""
+def _newest_version(spark: SparkSession, path: str, column: str, below: int | None = None):
+    """Largest ``column=<n>`` partition under ``path`` (below ``below``; None
+    when absent)."""
+    try:
+        versions = spark.read.parquet(path).select(column)
+        if below is not None:
+            versions = versions.filter(F.col(column) < below)
+        return versions.agg(F.max(column)).collect()[0][0]
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return None
+
+
+def changelog_writer(path: str, key: str | None = None, compact_every: int | None = None):
+    """foreachBatch function: write the batch to ``path/log/batch_id=<id>``
+    (overwrite, so a re-run batch replaces itself).
+
+    With ``key`` and ``compact_every``, every ``compact_every``-th batch also
+    folds the log into a snapshot ``path/snapshot/version=<id>`` (newest row
+    per key), so readers scan one snapshot plus the batches after it however
+    long the stream runs; older folders can then be expired by the store's
+    retention.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        if key and compact_every and (batch_id + 1) % compact_every == 0:
+            spark = batch.sparkSession
+            # a re-run batch must not read the snapshot it is rewriting
+            current = read_changelog(spark, path, key, upto=batch_id, snapshot_below=batch_id)
+            current.write.mode("overwrite").parquet(f"{path}/snapshot/version={batch_id}")
     return write
 
 
@@ -109,22 +134,42 @@ def latest_by_key(changelog: DataFrame, key: str) -> DataFrame:
             .select(key, "_r.*"))
 
 
-def read_model_stream(log_stream: DataFrame, path: str, checkpoint: str):
+def read_changelog(spark: SparkSession, path: str, key: str | None = None,
+                   upto: int | None = None, snapshot_below: int | None = None) -> DataFrame:
+    """Rows of a changelog table: all logged rows (``key`` None) or the
+    newest row per key from the latest snapshot plus the batches after it."""
+    log = spark.read.parquet(f"{path}/log")
+    if upto is not None:
+        log = log.filter(F.col("batch_id") <= upto)
+    if key is None:
+        return log
+    snap_version = _newest_version(spark, f"{path}/snapshot", "version", snapshot_below)
+    if snap_version is not None and (upto is None or snap_version <= upto):
+        snap = (spark.read.parquet(f"{path}/snapshot/version={snap_version}")
+                .withColumn("batch_id", F.lit(snap_version)))
+        log = snap.unionByName(log.filter(F.col("batch_id") > snap_version))
+    return latest_by_key(log, key)
+
+
+def read_model_stream(log_stream: DataFrame, path: str, checkpoint: str,
+                      compact_every: int | None = 100):
     """The read-model aggregate kept current (update mode) in a changelog."""
     partials = rmo.read_model_partials(log_stream)
     return (partials.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint)
-            .foreachBatch(changelog_writer(path)))
+            .foreachBatch(changelog_writer(path, "symbol", compact_every)))
 
 
 def read_model_table(spark: SparkSession, path: str) -> DataFrame:
-    return rmo.finish_read_model(latest_by_key(spark.read.parquet(path), "symbol"))
+    return rmo.finish_read_model(read_changelog(spark, path, "symbol"))
 
 
-def last_price_stream(ticks_stream: DataFrame, path: str, checkpoint: str):
+def last_price_stream(ticks_stream: DataFrame, path: str, checkpoint: str,
+                      compact_every: int | None = 100):
     """T3 live: latest price per symbol, update mode into a changelog."""
     return (tk.last_price(ticks_stream).writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint).foreachBatch(changelog_writer(path)))
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(changelog_writer(path, "symbol", compact_every)))
 
 
 # -- windowed and deduplicating streams ----------------------------------------------
@@ -178,11 +223,12 @@ def alerts_stream(ticks_stream: DataFrame, rules: DataFrame, path: str, checkpoi
             .option("checkpointLocation", checkpoint).outputMode("append"))
 
 
-def training_status_stream(log_stream: DataFrame, path: str, checkpoint: str):
+def training_status_stream(log_stream: DataFrame, path: str, checkpoint: str,
+                           compact_every: int | None = 100):
     """T5 live: newest training status per symbol, update mode into a changelog."""
     latest = tk.latest_training_status(tk.training_status_updates(log_stream))
     return (latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(changelog_writer(path)))
+            .foreachBatch(changelog_writer(path, "symbol", compact_every)))
 
 
 def ring_buffer_writer(path: str, n: int):
