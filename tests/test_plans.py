@@ -111,3 +111,11 @@ def test_results_do_not_depend_on_session_time_zone(spark, sf_dir):
             assert sorted(map(tuple, qs[n](spark, sf_dir).collect())) == base[n], n
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_workflow_reads_raw_tables_once(spark, sf_dir, capsys):
+    """Bars and coefficients are materialised once; the final plan has no
+    Python node and no scan of the raw order / event tables."""
+    p = plan(entry.queries()["workflow_event_log"](spark, sf_dir), capsys)
+    assert "MapInPandas" not in p and "FlatMapGroupsInPandas" not in p
+    assert "orders.parquet" not in p and "events.parquet" not in p

@@ -15,6 +15,7 @@ from tickflow.plans.market_queries import bars
 from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import register
 from tickflow.sources import fixtures as fx
+from tickflow.session import materialize
 from tickflow.sources.tables import Tables
 
 ISO_SQL = "'%Y-%m-%dT%H:%M:%S.%f'"
@@ -238,7 +239,7 @@ def q_msg_price_alert(spark, sf_dir):
 
 @register("msg_predictions", ids=("S5a",))
 def q_msg_predictions(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = materialize(bars(spark, sf_dir))  # read by four branches
     start = fc.forecast_start(b)
     doc = fc.prediction_document(fc.forecast(b, fc.equal_weights(start)))
     last = ind.latest_bar(b).select("symbol", "ts", F.col("close").alias("last_actual_price"))

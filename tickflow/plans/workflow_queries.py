@@ -15,6 +15,7 @@ from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import register
 from tickflow.sources import fixtures as fx
 from tickflow.sources import history as hist
+from tickflow.session import materialize
 from tickflow.sources.tables import Tables
 
 ASOF = "2001-08-02 00:00:00"
@@ -79,8 +80,10 @@ def q_workflow_events(spark, sf_dir):
 def q_workflow_event_log(spark, sf_dir):
     """The full run: fitted models, forecasts and documents in the payloads."""
     requests, all_bars = workflow_inputs(spark, sf_dir)
+    # bars and coefficients feed several branches: compute each once
+    all_bars = materialize(all_bars)
     training = fc.training_set(all_bars)
-    coefs = fc.fit_linear(training)
+    coefs = materialize(fc.fit_linear(training))
     return wf.workflow_events(requests, all_bars, order_quotes(spark, sf_dir), coefs, ASOF,
                               training=training)
 
@@ -100,7 +103,7 @@ _FC_EXTRA = [("band", BAND_SQL.replace("FROM paths", "FROM paths_all")), ("fc",
 
 @register("result_document", ids=("C7",), sql=_paths_with_ctes(_C7_BODY, _FC_EXTRA))
 def q_result_document(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = materialize(bars(spark, sf_dir))  # read by four branches
     coefs = fc.equal_weights(fc.forecast_start(b))
     doc = fc.prediction_document(fc.forecast(b, coefs))
     cur = ind.current_data(b, order_quotes(spark, sf_dir), digits=6)
@@ -125,7 +128,7 @@ def q_result_document(spark, sf_dir):
     SELECT symbol, 'forecast', date, round(prediction, 6), round(lower, 6), round(upper, 6)
     FROM fc""", _FC_EXTRA))
 def q_chart_series(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    b = materialize(bars(spark, sf_dir))  # read by four branches
     f = fc.forecast(b, fc.equal_weights(fc.forecast_start(b)))
     f = f.select("symbol", "step", "date", *[F.round(c, 6).alias(c)
                                              for c in ("prediction", "lower", "upper")])

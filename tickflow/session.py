@@ -89,6 +89,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
+    shared ``spark.checkpoint.dir`` (never a local one).
+
+    For a small intermediate read by several branches of one job (bars built
+    from the raw tables, fitted coefficients): without it every branch would
+    re-scan and re-aggregate the raw input, because branches that prune
+    different columns do not share exchanges.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
