@@ -22,15 +22,18 @@ ASOF = "2001-08-02 00:00:00"
 _LISTING = ", ".join(f"('{s}')" for s, _ in S.SYMBOL_LIST)
 
 
-def workflow_inputs(spark, sf_dir):
+def workflow_inputs(spark, sf_dir, materialized: bool = False):
     """Requests: the order-priority symbols (enough daily bars), the event types
-    (thirty daily bars: training fails) and the listing (no bars: fetch fails)."""
+    (thirty daily bars: training fails) and the listing (no bars: fetch fails).
+    ``materialized`` computes the bars once for a job with many branches."""
     t = Tables(spark, sf_dir)
     ob = fx.daily_bars(t.orders)
     eb = fx.bars_from_ticks(fx.events_as_ticks(t.events), "day") \
         .withColumn("symbol", F.upper("symbol"))
     all_bars = ob.unionByName(eb)
-    requests = (ob.select("symbol").unionByName(eb.select("symbol"))
+    if materialized:
+        all_bars = materialize(all_bars)
+    requests = (all_bars.select("symbol")
                 .unionByName(hist.listing(spark).select("symbol")).distinct())
     return requests, all_bars
 
@@ -79,9 +82,8 @@ def q_workflow_events(spark, sf_dir):
 @register("workflow_event_log", ids=("C2", "C3", "M2", "S7"))
 def q_workflow_event_log(spark, sf_dir):
     """The full run: fitted models, forecasts and documents in the payloads."""
-    requests, all_bars = workflow_inputs(spark, sf_dir)
     # bars and coefficients feed several branches: compute each once
-    all_bars = materialize(all_bars)
+    requests, all_bars = workflow_inputs(spark, sf_dir, materialized=True)
     training = fc.training_set(all_bars)
     coefs = materialize(fc.fit_linear(training))
     return wf.workflow_events(requests, all_bars, order_quotes(spark, sf_dir), coefs, ASOF,
