@@ -15,24 +15,26 @@ from pyspark import cloudpickle
 
 
 def partial_normal_equations(batches):
-    """Per Arrow batch and symbol: Z'Z and Z'y with Z = [1, lags] (flattened)."""
+    """Per Arrow batch and symbol: Z'Z, Z'y (Z = [1, lags]) and the row count,
+    flattened into one array so that a single sum adds all of them up."""
     for pdf in batches:
         for sym, g in pdf.groupby("symbol", sort=False):
             x = np.vstack(g["lags"].to_numpy())
             z = np.hstack([np.ones((x.shape[0], 1)), x])
             y = g["label"].to_numpy(dtype=float)
-            stats = np.concatenate([(z.T @ z).ravel(), z.T @ y])
-            yield pd.DataFrame({"symbol": [sym], "stats": [stats.tolist()], "n": [len(y)]})
+            stats = np.concatenate([(z.T @ z).ravel(), z.T @ y, [float(len(y))]])
+            yield pd.DataFrame({"symbol": [sym], "stats": [stats.tolist()]})
 
 
 def solve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Solve the summed normal equations of one symbol (a few thousand numbers)."""
-    k = int(round((-1 + np.sqrt(1 + 4 * len(pdf))) / 2))  # k*k + k entries
     v = pdf.sort_values("i")["v"].to_numpy(dtype=float)
+    n, v = int(round(v[-1])), v[:-1]
+    k = int(round((-1 + np.sqrt(1 + 4 * len(v))) / 2))  # k*k + k entries
     gram, rhs = v[:k * k].reshape(k, k), v[k * k:]
     beta, *_ = np.linalg.lstsq(gram, rhs, rcond=None)
     return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "intercept": [float(beta[0])],
-                         "coef": [beta[1:].tolist()], "n_fit": [int(pdf["n"].iloc[0])]})
+                         "coef": [beta[1:].tolist()], "n_fit": [n]})
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -77,9 +77,13 @@ def split_windows(df: DataFrame, compute, halo: int, block_rows: int | None = No
                   key: str = "symbol", order: str = "ts", unit: str = "day") -> DataFrame:
     """Run ``compute(df, partition_keys)`` — a select whose windows are
     partitioned by ``partition_keys`` and that keeps ``carried`` columns —
-    either per ``key`` (default) or per halo block of ``block_rows`` rows."""
+    either per ``key`` (default) or per halo block of ``block_rows`` rows.
+
+    The block path reads its input several times (bucket counts, positions,
+    halo copies), so the input is materialised once first."""
     if not block_rows:
         return compute(df, key)
-    blocks = halo_blocks(df, key, [order], order, halo, block_rows, unit)
+    from tickflow.session import materialize
+    blocks = halo_blocks(materialize(df), key, [order], order, halo, block_rows, unit)
     out = compute(blocks, [key, "_blk"])
     return out.filter(~F.col("_halo")).drop("_blk", "_halo", "_pos")

@@ -23,7 +23,6 @@ from tickflow import schemas as S
 from tickflow.functions import lstsq
 from tickflow.functions.noise import gaussian, symbol_code
 from tickflow.functions.windows import by_symbol, carried, split_windows
-from tickflow.operators.indicators import tail_n
 
 
 def _whole(key="symbol"):
@@ -57,21 +56,31 @@ def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE, block_rows: int |
     """Each bar with the ``window`` previous scaled closes and its own scaled
     close as label; bars with fewer predecessors are dropped (W9).
 
-    The scaler (min / max / count over the whole series) is a partial
-    aggregate joined back per symbol; the lag frames run per symbol, or per
-    halo block of ``block_rows`` bars (``functions.windows.split_windows``).
+    Per symbol, one window pass gives the lags and the scaler (min / max /
+    count over the whole series).  With ``block_rows`` the lag frames run per
+    halo block (``functions.windows.split_windows``) and the scaler is a
+    partial aggregate joined back per symbol.
     """
-    params = scaler_params(bars).select("symbol", "mn", "rng", "n_bars")
-
     def compute(df, part):
         w = by_symbol(part)
         i = F.col("_pos") if "_pos" in df.columns else F.row_number().over(w)
         return df.select(*carried(df), "symbol", "ts", "close", i.alias("i"),
                          F.collect_list("close").over(w.rowsBetween(-window, -1)).alias("raw"))
 
-    rows = split_windows(bars.select("symbol", "ts", "close"), compute, window, block_rows,
-                         unit=unit)
-    rows = rows.filter(F.size("raw") == window).join(params, "symbol")
+    if block_rows:
+        # whole-series scaler from a partial aggregate joined back per symbol
+        params = scaler_params(bars).select("symbol", "mn", "rng", "n_bars")
+        rows = split_windows(bars.select("symbol", "ts", "close"), compute, window, block_rows,
+                             unit=unit)
+        rows = rows.filter(F.size("raw") == window).join(params, "symbol")
+    else:
+        # one pass: the scaler is a whole-partition frame of the same window
+        whole = _whole()
+        mn, mx = F.min("close").over(whole), F.max("close").over(whole)
+        rows = compute(bars.select("symbol", "ts", "close"), "symbol").select(
+            "*", mn.alias("mn"), _range(mn, mx).alias("rng"),
+            F.count(F.lit(1)).over(whole).alias("n_bars"))
+        rows = rows.filter(F.size("raw") == window)
     return rows.select(
         "symbol", "ts", "close", "mn", "rng",
         (F.col("i") - window).cast("bigint").alias("j"),
@@ -98,7 +107,7 @@ def training_set(bars: DataFrame, window: int = S.WINDOW_SIZE,
 # -- model ---------------------------------------------------------------------
 
 COEF_SCHEMA = "symbol string, intercept double, coef array<double>, n_fit bigint"
-STATS_SCHEMA = "symbol string, stats array<double>, n bigint"
+STATS_SCHEMA = "symbol string, stats array<double>"
 
 
 def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
@@ -117,28 +126,45 @@ def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
         rows = rows.filter(~F.col("is_validation"))
     partial = rows.select("symbol", "lags", "label").mapInPandas(
         lstsq.partial_normal_equations, STATS_SCHEMA)
-    n = partial.groupBy("symbol").agg(F.sum("n").alias("n"))
     summed = (partial.select("symbol", F.posexplode("stats").alias("i", "v"))
               .groupBy("symbol", "i").agg(F.sum("v").alias("v")))
-    return summed.join(n, "symbol").groupBy("symbol").applyInPandas(lstsq.solve, COEF_SCHEMA)
+    return summed.groupBy("symbol").applyInPandas(lstsq.solve, COEF_SCHEMA)
 
 
 def equal_weights(symbols: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
-    """Fixed model: the mean of the lags (weights 1/window, intercept 0)."""
+    """Fixed model as a coefficient table: the mean of the lags (weights
+    1/window, intercept 0) for every symbol of ``symbols``."""
     return symbols.select("symbol").distinct().select(
         "symbol", F.lit(0.0).alias("intercept"),
         F.array_repeat(F.lit(1.0 / window), window).alias("coef"),
         F.lit(0).cast("bigint").alias("n_fit"))
 
 
+def fixed_model(window: int = S.WINDOW_SIZE, intercept: float = 0.0,
+                coef: list[float] | None = None) -> tuple[float, list[float]]:
+    """One model for all symbols, applied as literals (no join): by default
+    the mean of the lags."""
+    return intercept, (coef if coef is not None else [1.0 / window] * window)
+
+
+def with_model(df: DataFrame, model) -> DataFrame:
+    """Attach ``intercept`` / ``coef``: join a per-symbol coefficient table
+    (AQE broadcasts it when small) or add a fixed model as literals."""
+    if isinstance(model, DataFrame):
+        return df.join(model.select("symbol", "intercept", "coef"), "symbol")
+    intercept, coef = model
+    return df.withColumns({"intercept": F.lit(float(intercept)),
+                           "coef": F.array(*[F.lit(float(c)) for c in coef])})
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def score_windows(training: DataFrame, coefs: DataFrame) -> DataFrame:
-    """M3: prediction per window, back in price units.  ``coefs`` has one
-    row per symbol; AQE broadcasts it when small."""
-    j = training.join(coefs.select("symbol", "intercept", "coef"), "symbol")
+def score_windows(training: DataFrame, coefs) -> DataFrame:
+    """M3: prediction per window, back in price units (``coefs``: see
+    ``with_model``)."""
+    j = with_model(training, coefs)
     pred = dot(F.col("lags"), F.col("coef")) + F.col("intercept")
     return j.select("symbol", "ts", "j", "split", "is_validation",
                     (pred * F.col("rng") + F.col("mn")).alias("prediction"),
@@ -158,23 +184,25 @@ def forecast_metrics(scores: DataFrame) -> DataFrame:
 def forecast_start(bars: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
     """Per symbol: the last ``window`` scaled closes, the scaler and the last date.
 
-    The scaler is a partial aggregate over the whole series; the last
-    ``window`` bars come from a window group limit (each task keeps its top
-    ``window`` per symbol before the shuffle), so no symbol is ever sorted in
-    full here.  Symbols with fewer bars get no start row.
+    One window pass per symbol (newest first) numbers the bars and takes the
+    whole-series min / max; the newest ``window`` rows are then gathered per
+    symbol without another exchange.  Symbols with fewer bars get no row.
     """
-    params = scaler_params(bars).select("symbol", "mn", "rng")
-    tail = tail_n(bars.select("symbol", "ts", "close"), window)
-    g = tail.groupBy("symbol").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("r"),
-        F.max("ts").alias("last_ts"))
-    j = g.filter(F.size("r") == window).join(params, "symbol")
-    return j.select("symbol", "last_ts", "mn", "rng",
+    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = bars.select("symbol", "ts", "close", F.row_number().over(newest).alias("_rn"),
+                       F.min("close").over(whole).alias("mn"),
+                       F.max("close").over(whole).alias("mx"))
+    g = (rows.filter(F.col("_rn") <= window).groupBy("symbol")
+         .agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("r"),
+              F.max("ts").alias("last_ts"), F.max("mn").alias("mn"), F.max("mx").alias("mx")))
+    g = g.filter(F.size("r") == window).withColumn("rng", _range(F.col("mn"), F.col("mx")))
+    return g.select("symbol", "last_ts", "mn", "rng",
                     F.transform("r", lambda x: (x["close"] - F.col("mn")) / F.col("rng"))
                     .alias("win"))
 
 
-def forecast_paths(start: DataFrame, coefs: DataFrame, sims: int = S.NUM_SIMULATIONS,
+def forecast_paths(start: DataFrame, coefs, sims: int = S.NUM_SIMULATIONS,
                    days: int = S.DAYS_AHEAD, noise_sd: float = S.NOISE_SD,
                    seed: int = 42, window: int = S.WINDOW_SIZE) -> DataFrame:
     """M5: ``sims`` recursive paths of ``days`` steps per symbol, in scaled
@@ -184,7 +212,7 @@ def forecast_paths(start: DataFrame, coefs: DataFrame, sims: int = S.NUM_SIMULAT
     symbols and simulations run in parallel; the recursion over steps is an
     ``aggregate`` whose state is (window, outputs).
     """
-    j = start.join(coefs.select("symbol", "intercept", "coef"), "symbol")
+    j = with_model(start, coefs)
     j = j.withColumn("code", symbol_code(F.col("symbol")))
 
     def draws(sim):
@@ -235,7 +263,7 @@ def forecast_table(band: DataFrame) -> DataFrame:
         inv("mean").alias("prediction"), inv("p25").alias("lower"), inv("p75").alias("upper"))
 
 
-def forecast(bars: DataFrame, coefs: DataFrame, **kw) -> DataFrame:
+def forecast(bars: DataFrame, coefs, **kw) -> DataFrame:
     return forecast_table(simulation_band(forecast_paths(forecast_start(bars), coefs, **kw)))
 
 

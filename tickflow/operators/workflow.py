@@ -158,13 +158,16 @@ def chart_series(bars: DataFrame, fcst: DataFrame, history: int = 200) -> DataFr
     return hist.unionByName(fut, allowMissingColumns=True)
 
 
-def model_performance(bars: DataFrame, coefs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """A10: per symbol, trained flag, data points and the latest metrics."""
+def model_performance(bars: DataFrame, coefs, metrics: DataFrame) -> DataFrame:
+    """A10: per symbol, trained flag, data points and the latest metrics.
+    A symbol counts as trained when it has coefficients (a fitted table) or,
+    for a fixed model, when it had enough samples to be scored."""
     info = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("data_points"))
     m = metrics.groupBy("symbol").agg(
         *[F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
           for s in ("train", "test") for c in ("mae", "rmse")])
-    trained = coefs.select("symbol", F.lit(True).alias("lstm_trained"))
+    fitted = coefs if isinstance(coefs, DataFrame) else metrics
+    trained = fitted.select("symbol").distinct().withColumn("lstm_trained", F.lit(True))
     j = info.join(trained, "symbol", "left").join(m, "symbol", "left")
     return j.select("symbol", F.coalesce("lstm_trained", F.lit(False)).alias("lstm_trained"),
                     F.lit(False).alias("prophet_trained"), "data_points",

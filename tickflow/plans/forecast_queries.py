@@ -105,7 +105,7 @@ def _paths_with_ctes(body: str, extra: list[tuple[str, str]]) -> str:
 def start_and_coefs(spark, sf_dir):
     b = bars(spark, sf_dir)
     start = fc.forecast_start(b)
-    return b, start, fc.equal_weights(start)
+    return b, start, fc.fixed_model()
 
 
 @register("minmax_scaled", ids=("A7",), sql=with_fixtures(
@@ -171,7 +171,7 @@ def q_model_coefficients(spark, sf_dir):
     FROM sco""", "bars", extra=_TR_EXTRA + [("sco", SCORES_SQL)]))
 def q_window_scores(spark, sf_dir):
     ts = fc.training_set(bars(spark, sf_dir))
-    s = fc.score_windows(ts, fc.equal_weights(ts))
+    s = fc.score_windows(ts, fc.fixed_model())
     return s.select("symbol", "ts", "j", "split", F.round("prediction", 6).alias("prediction"),
                     F.round("actual", 6).alias("actual"))
 
@@ -183,7 +183,7 @@ def q_window_scores(spark, sf_dir):
     FROM sco GROUP BY symbol, split""", "bars", extra=_TR_EXTRA + [("sco", SCORES_SQL)]))
 def q_forecast_metrics(spark, sf_dir):
     ts = fc.training_set(bars(spark, sf_dir))
-    m = fc.forecast_metrics(fc.score_windows(ts, fc.equal_weights(ts)))
+    m = fc.forecast_metrics(fc.score_windows(ts, fc.fixed_model()))
     return m.select("symbol", "split", F.round("mae", 4).alias("mae"),
                     F.round("rmse", 4).alias("rmse"), "samples")
 

@@ -150,7 +150,7 @@ def q_user_action_counts(spark, sf_dir):
 
 def _metrics_frame(spark, sf_dir):
     ts = fc.training_set(bars(spark, sf_dir))
-    sc = fc.score_windows(ts, fc.equal_weights(ts))
+    sc = fc.score_windows(ts, fc.fixed_model())
     m = fc.forecast_metrics(sc)
     last = ts.groupBy("symbol").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
     piv = m.groupBy("symbol").agg(
@@ -240,8 +240,7 @@ def q_msg_price_alert(spark, sf_dir):
 @register("msg_predictions", ids=("S5a",))
 def q_msg_predictions(spark, sf_dir):
     b = materialize(bars(spark, sf_dir))  # read by four branches
-    start = fc.forecast_start(b)
-    doc = fc.prediction_document(fc.forecast(b, fc.equal_weights(start)))
+    doc = fc.prediction_document(fc.forecast(b, fc.fixed_model()))
     last = ind.latest_bar(b).select("symbol", "ts", F.col("close").alias("last_actual_price"))
     return msg.prediction_results(doc.join(last, "symbol"))
 

@@ -13,6 +13,7 @@ from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import register, rounded
 from tickflow.sources import fixtures as fx
 from tickflow.sources import history as hist
+from tickflow.session import materialize
 from tickflow.sources.tables import Tables
 
 NO_DATA_SYMBOL = "3-MEDIUM"
@@ -39,8 +40,9 @@ def q_daily_bars_clean(spark, sf_dir):
 
 
 def _fallback_candidates(orders):
-    b = fx.daily_bars(orders)
-    pending = fx.daily_bars(orders.filter(F.col("o_orderstatus") == "P"))
+    # each source is read by several branches (window cut, counts, choice)
+    b = materialize(fx.daily_bars(orders))
+    pending = materialize(fx.daily_bars(orders.filter(F.col("o_orderstatus") == "P")))
     return [(hist.last_n_days(pending, 365), S.MIN_ROWS),
             (hist.last_n_days(b, 730), 1),
             (hist.last_n_days(b, 365), 1)]

@@ -106,11 +106,10 @@ _FC_EXTRA = [("band", BAND_SQL.replace("FROM paths", "FROM paths_all")), ("fc",
 @register("result_document", ids=("C7",), sql=_paths_with_ctes(_C7_BODY, _FC_EXTRA))
 def q_result_document(spark, sf_dir):
     b = materialize(bars(spark, sf_dir))  # read by four branches
-    coefs = fc.equal_weights(fc.forecast_start(b))
-    doc = fc.prediction_document(fc.forecast(b, coefs))
+    doc = fc.prediction_document(fc.forecast(b, fc.fixed_model()))
     cur = ind.current_data(b, order_quotes(spark, sf_dir), digits=6)
     total = F.round(F.aggregate("prices", F.lit(0.0), lambda a, x: a + x), 2)
-    j = doc.join(cur, "symbol").join(coefs.select("symbol"), "symbol", "left")
+    j = doc.join(cur, "symbol")
     return j.select(
         "symbol", wf.analysis_id(F.col("symbol"), F.lit(ASOF)).alias("request_id"),
         F.lit("completed").alias("status"), F.lit(S.MODEL_TYPE_RESULT).alias("model_type"),
@@ -131,7 +130,7 @@ def q_result_document(spark, sf_dir):
     FROM fc""", _FC_EXTRA))
 def q_chart_series(spark, sf_dir):
     b = materialize(bars(spark, sf_dir))  # read by four branches
-    f = fc.forecast(b, fc.equal_weights(fc.forecast_start(b)))
+    f = fc.forecast(b, fc.fixed_model())
     f = f.select("symbol", "step", "date", *[F.round(c, 6).alias(c)
                                              for c in ("prediction", "lower", "upper")])
     return wf.chart_series(b, f, 200)
@@ -153,7 +152,7 @@ def q_chart_series(spark, sf_dir):
 def q_model_performance(spark, sf_dir):
     b = bars(spark, sf_dir)
     ts = fc.training_set(b)
-    coefs = fc.equal_weights(ts)
+    coefs = fc.fixed_model()
     m = fc.forecast_metrics(fc.score_windows(ts, coefs))
     m = m.select("symbol", "split", *[F.round(c, 4).alias(c) for c in ("mae", "rmse")])
     return wf.model_performance(b, coefs, m)
