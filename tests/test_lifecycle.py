@@ -206,3 +206,14 @@ def test_workflow_log_folds_to_expected_states(spark, sf_dir):
     assert (st["CLICK"]["status"], st["CLICK"]["version"]) == ("running", 3)
     assert (st["AAPL"]["status"], st["AAPL"]["version"]) == ("running", 2)
     assert rm["AAPL"]["status"] == "running"
+
+
+def test_fused_state_and_read_model_equal_separate(spark, sf_dir):
+    log = fx.event_log(Tables(spark, sf_dir).events)
+    fused = rmo.state_with_read_model(log)
+    state = evo.aggregate_state(log)
+    assert fused.select(*state.columns).exceptAll(state).count() == 0
+    rm = rmo.read_model(log)
+    got = fused.filter(F.col("rm_status").isNotNull()).select(
+        F.col("aggregate_id").alias("symbol"), *[F.col("rm_" + c).alias(c) for c in rm.columns[1:]])
+    assert got.count() == rm.count() and got.exceptAll(rm).count() == 0

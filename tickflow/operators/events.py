@@ -61,8 +61,12 @@ def aggregate_state(log: DataFrame) -> DataFrame:
     last_analysis_timestamp: Completed; version: events applied through the
     aggregate (TrainingStarted, PredictionStarted, AnalysisFailed are not).
     """
-    ev = parsed(log)
-    return (ev.groupBy("aggregate_id").agg(
+    return parsed(log).groupBy("aggregate_id").agg(*state_aggregates())
+
+
+def state_aggregates() -> list[Column]:
+    """The fold's aggregate expressions over ``parsed`` log rows."""
+    return [
         F.coalesce(last_where(_status_of(), [S.ANALYSIS_REQUESTED, S.ANALYSIS_STARTED,
                                            S.ANALYSIS_COMPLETED]),
                    F.lit(S.STATUS_IDLE)).alias("status"),
@@ -74,7 +78,7 @@ def aggregate_state(log: DataFrame) -> DataFrame:
         last_where("d.completion_timestamp", [S.ANALYSIS_COMPLETED])
          .alias("last_analysis_timestamp"),
         count_where(S.VERSIONED_EVENT_TYPES).cast("bigint").alias("version"),
-        F.count(F.lit(1)).alias("n_events")))
+        F.count(F.lit(1)).alias("n_events")]
 
 
 def event_history(log: DataFrame, unit: str = "day") -> DataFrame:

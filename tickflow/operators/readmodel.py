@@ -11,48 +11,60 @@ stream (update mode) and a batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
-from tickflow.operators.events import last_where, newest_where, oldest_where, parsed
+from tickflow.operators.events import (last_where, newest_where, oldest_where, parsed,
+                                       state_aggregates)
 
 _SO = [S.ANALYSIS_STARTED, S.ANALYSIS_COMPLETED]
 
 
-def read_model_partials(log: DataFrame) -> DataFrame:
-    """The per-symbol aggregate the read model is finished from."""
-    ev = parsed(log).filter(F.col("event_type").isin(S.READ_MODEL_EVENT_TYPES))
+def read_model_aggregates(prefix: str = "") -> list[Column]:
+    """The read model's aggregate expressions over ``parsed`` log rows (each
+    filters by event type itself, so they can share a scan with the fold)."""
     status = F.when(F.col("event_type") == S.ANALYSIS_STARTED, F.lit(S.STATUS_RUNNING)) \
         .otherwise(F.lit(S.STATUS_COMPLETED))
-    return ev.groupBy(F.col("aggregate_id").alias("symbol")).agg(
-        last_where(status, _SO).alias("status"),
-        last_where("d.analysis_id", _SO).alias("analysis_id"),
-        newest_where(_SO).alias("so"),
-        oldest_where(_SO).alias("smin"),
-        newest_where([S.ANALYSIS_STARTED]).alias("sto"),
-        last_where("d.results", [S.ANALYSIS_COMPLETED]).alias("results"),
+    p = prefix
+    return [
+        last_where(status, _SO).alias(p + "status"),
+        last_where("d.analysis_id", _SO).alias(p + "analysis_id"),
+        newest_where(_SO).alias(p + "so"),
+        oldest_where(_SO).alias(p + "smin"),
+        newest_where([S.ANALYSIS_STARTED]).alias(p + "sto"),
+        last_where("d.results", [S.ANALYSIS_COMPLETED]).alias(p + "results"),
         last_where("d.completion_timestamp", [S.ANALYSIS_COMPLETED])
-        .alias("completion_timestamp"),
-        newest_where([S.LSTM_TRAINING_COMPLETED]).alias("tco"))
+        .alias(p + "completion_timestamp"),
+        newest_where([S.LSTM_TRAINING_COMPLETED]).alias(p + "tco")]
 
 
-def finish_read_model(p: DataFrame) -> DataFrame:
-    tc_valid = F.col("tco").isNotNull() & (F.col("tco") > F.col("smin"))
-    started = F.col("sto").isNotNull()
-    lstm = (F.when(tc_valid & (~started | (F.col("tco") > F.col("sto"))), F.lit("completed"))
+def read_model_partials(log: DataFrame) -> DataFrame:
+    """The per-symbol aggregate the read model is finished from."""
+    ev = parsed(log).filter(F.col("event_type").isin(S.READ_MODEL_EVENT_TYPES))
+    return ev.groupBy(F.col("aggregate_id").alias("symbol")).agg(*read_model_aggregates())
+
+
+def read_model_columns(prefix: str = "") -> list[tuple[str, Column]]:
+    """Finished read-model columns (name, expression) from the partials."""
+    c = lambda n: F.col(prefix + n)
+    tc_valid = c("tco").isNotNull() & (c("tco") > c("smin"))
+    started = c("sto").isNotNull()
+    lstm = (F.when(tc_valid & (~started | (c("tco") > c("sto"))), F.lit("completed"))
             .when(started, F.lit("pending")))
     pending = F.when(started, F.lit("pending"))
-    last_updated = F.when(tc_valid & (F.col("tco") > F.col("so")), F.col("tco.timestamp")) \
-        .otherwise(F.col("so.timestamp"))
+    last_updated = F.when(tc_valid & (c("tco") > c("so")), c("tco").getField("timestamp")) \
+        .otherwise(c("so").getField("timestamp"))
+    return [("status", c("status")), ("analysis_id", c("analysis_id")),
+            ("start_timestamp", c("sto").getField("timestamp")),
+            ("results", c("results")), ("completion_timestamp", c("completion_timestamp")),
+            ("progress_data_fetch", pending), ("progress_lstm_training", lstm),
+            ("progress_prediction_generation", pending), ("last_updated", last_updated)]
+
+
+def finish_read_model(p: DataFrame) -> DataFrame:
     return p.filter(F.col("smin").isNotNull()).select(
-        "symbol", "status", "analysis_id",
-        F.col("sto.timestamp").alias("start_timestamp"),
-        "results", "completion_timestamp",
-        pending.alias("progress_data_fetch"),
-        lstm.alias("progress_lstm_training"),
-        pending.alias("progress_prediction_generation"),
-        last_updated.alias("last_updated"))
+        "symbol", *[col.alias(name) for name, col in read_model_columns()])
 
 
 def read_model(log: DataFrame) -> DataFrame:
@@ -122,6 +134,33 @@ def state_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     return requests.select("symbol").distinct().join(st, "symbol", "left")
 
 
+def state_with_read_model(log: DataFrame) -> DataFrame:
+    """Aggregate state (A8) and read model (A9) of every aggregate from one
+    aggregate over the log: one scan instead of one per view.  Read-model
+    columns are null where the read model has no row."""
+    fused = parsed(log).groupBy("aggregate_id").agg(*state_aggregates(),
+                                                    *read_model_aggregates("_rm_"))
+    has_rm = F.col("_rm_smin").isNotNull()
+    state_cols = [c for c in fused.columns if not c.startswith("_rm_")]
+    return fused.select(*state_cols, *[F.when(has_rm, col).alias("rm_" + name)
+                                       for name, col in read_model_columns("_rm_")])
+
+
+def workflow_debug_view_from_log(proc: DataFrame, log: DataFrame) -> DataFrame:
+    """J5 with the aggregate and the read model from one scan of the log."""
+    f = state_with_read_model(log)
+    p = proc.select("symbol", F.col("status").alias("processing_status"),
+                    F.col("step").alias("processing_step"))
+    v = f.select(F.col("aggregate_id").alias("symbol"),
+                 F.col("status").alias("aggregate_status"),
+                 F.col("lstm_training").alias("training_progress"),
+                 F.col("predictions").isNotNull().alias("has_predictions"),
+                 "current_analysis_id", "version",
+                 F.col("rm_status").alias("read_model_status"),
+                 F.col("rm_analysis_id").alias("read_model_analysis_id"))
+    return p.join(v, "symbol", "full")
+
+
 def workflow_debug_view(proc: DataFrame, state: DataFrame, rm: DataFrame) -> DataFrame:
     """Processing status, aggregate and read model side by side per symbol."""
     p = proc.select("symbol", F.col("status").alias("processing_status"),

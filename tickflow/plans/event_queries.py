@@ -230,8 +230,7 @@ def q_state_lookup(spark, sf_dir):
     "step_log", extra=[("state", STATE_SQL), ("rm", READ_MODEL_SQL), ("proc", PROC_SQL)]))
 def q_workflow_debug_view(spark, sf_dir):
     lg = log(spark, sf_dir)
-    return rmo.workflow_debug_view(evo.processing_status(fx.step_log(lg)),
-                                   evo.aggregate_state(lg), rmo.read_model(lg))
+    return rmo.workflow_debug_view_from_log(evo.processing_status(fx.step_log(lg)), lg)
 
 
 @register("commands_to_events_asof", ids=("C1",), sql=with_fixtures(f"""
