@@ -75,7 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; we only invent one when
-    the session has none (local tests), never on top of a configured one.
+    the session has none and runs in local mode (tests).  On a cluster a
+    machine-local folder would be lost with its executor, so there we refuse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -83,6 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
         configured = tempfile.mkdtemp(prefix="tickflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
