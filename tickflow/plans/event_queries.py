@@ -28,9 +28,10 @@ def requests(spark, sf_dir):
     """Requested symbols: every signed-up user plus the raw event types
     (the latter have no analysis and exercise the not-found paths)."""
     ev = Tables(spark, sf_dir).events
-    users = ev.filter(F.col("event_type") == "signup") \
-        .select(F.upper(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("symbol"))
-    return users.unionByName(ev.select(F.upper("event_type").alias("symbol"))).distinct()
+    user = F.when(F.col("event_type") == "signup",
+                  F.upper(F.concat(F.lit("u"), F.col("user_id").cast("string"))))
+    both = F.explode(F.array(user, F.upper("event_type"))).alias("symbol")
+    return ev.select(both).filter(F.col("symbol").isNotNull()).distinct()  # one scan
 
 
 REQUESTS_SQL = """
