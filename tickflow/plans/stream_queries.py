@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickflow import schemas as S
 from tickflow.operators import messages as msg
 from tickflow.operators import ticks as tk
 from tickflow.plans.registry import register
@@ -70,7 +71,8 @@ def q_live_bars_stream(spark, sf_dir):
     t = fx.events_as_ticks(Tables(spark, sf_dir).events)
     msg.write_records(msg.ohlcv_messages(tk.ohlcv(t, "1 minute")), "json", path=topic)
     schema = "key string, value string"
-    stream = live.folder_stream(spark, f"{topic}/topic=finnhub-ohlc-1min", schema, fmt="json")
+    stream = live.folder_stream(spark, f"{topic}/topic={S.TOPICS['finnhub_ohlc']}", schema,
+                                fmt="json")
     out, ckpt = live.scratch(spark, "bars-out"), live.scratch(spark, "bars-ckpt")
     symbols = t.select("symbol").distinct()
     live.run_available(live.live_bars(stream, symbols, live.changelog_writer(out), ckpt))
