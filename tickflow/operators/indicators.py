@@ -8,6 +8,8 @@ one ``select`` share one exchange on ``symbol`` and one sort on ``ts``.
 Parallelism of the windows is the number of symbols; the rows of one symbol
 are its bars, which the calendar bounds (one per day or per minute), so a
 hot symbol in the raw trades does not turn into a hot window partition.
+Where one symbol's bars are still too many for a task, the window operators
+take ``block_rows`` and run per halo block of the symbol instead (exact).
 """
 
 from __future__ import annotations
