@@ -121,3 +121,16 @@ def test_workflow_reads_raw_tables_once(spark, sf_dir, capsys):
     assert "MapInPandas" not in p and "FlatMapGroupsInPandas" not in p
     assert "events.parquet" not in p
     assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*orders\.parquet", p)) == 1
+
+
+def test_appended_log_prunes_date_partitions(spark, sf_dir, capsys):
+    """The log is written partitioned by event date; a time-bounded read
+    only lists the matching partitions."""
+    from tickflow.streaming import live
+    path = live.scratch(spark, "pruned-log")
+    evo.append_events(fx.event_log(Tables(spark, sf_dir).events), path)
+    day = spark.read.parquet(path).filter(F.col("event_date") == F.lit("2024-01-05").cast("date"))
+    p = plan(day, capsys)
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date", p), p
+    assert day.count() == fx.event_log(Tables(spark, sf_dir).events) \
+        .filter(F.to_date("timestamp") == F.lit("2024-01-05").cast("date")).count()
