@@ -1,5 +1,6 @@
-"""Randomised event logs: the fold, the read model and the as-of status
-against a row-by-row replay of the application's rules."""
+"""Randomised inputs: the fold, the read model and the as-of status against
+a row-by-row replay of the application's rules; halo-block windows against
+whole-symbol windows."""
 
 from datetime import datetime, timedelta
 
@@ -103,3 +104,24 @@ def test_status_asof_matches_replay(spark, events, cmd_minutes):
         prior = [r for r in rows if r[2] == agg and r[1] in status_of and r[6] <= ts]
         want = status_of[max(prior, key=lambda r: (r[6], r[8]))[1]] if prior else "idle"
         assert got[cid] == want, (cid, ts)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(lengths=st.lists(st.integers(1, 60), min_size=1, max_size=3),
+       block=st.integers(4, 12), seed=st.integers(0, 1000))
+def test_halo_blocks_match_whole_symbol(spark, lengths, block, seed):
+    """Random symbol lengths and block sizes, including blocks shorter than a
+    symbol, equal to the halo, and symbols shorter than one block."""
+    import random
+    from tickflow.operators import indicators as ind
+    rnd = random.Random(seed)
+    rows = []
+    for k, n in enumerate(lengths):
+        for i in range(n):
+            c = round(rnd.uniform(1, 100), 2)
+            rows.append((f"S{k}", T0 + timedelta(days=i), c, c + 1, c - 1, c, i))
+    bars = spark.createDataFrame(rows, S.BARS)
+    whole = ind.moving_averages(bars, (3, 5))
+    split = ind.moving_averages(bars, (3, 5), block_rows=block)
+    assert split.count() == whole.count()
+    assert split.exceptAll(whole.select(*split.columns)).count() == 0
