@@ -128,6 +128,34 @@ def status_with_processing(status: DataFrame, proc: DataFrame) -> DataFrame:
             .withColumn("processing_step", F.coalesce("processing_step", F.lit("unknown"))))
 
 
+def status_with_processing_from_log(requests: DataFrame, log_with_steps: DataFrame) -> DataFrame:
+    """J2 from one aggregate over the log: read model and processing status
+    (the log carries each event's step write: ``step_status``, ``step``,
+    ``step_analysis_id``, ``step_error``) come out of the same groupBy, and
+    the requests join it once."""
+    order = F.struct("timestamp", "seq")
+    proc = F.max_by(F.struct(F.col("step_status").alias("status"), F.col("step"),
+                             F.col("step_analysis_id").alias("analysis_id"),
+                             F.col("step_error").alias("error")), order)
+    agg = (parsed(log_with_steps).groupBy(F.col("aggregate_id").alias("symbol"))
+           .agg(*read_model_aggregates("_rm_"), proc.alias("_proc")))
+    j = requests.select("symbol").distinct().join(agg, "symbol", "left")
+    has_rm = F.col("_rm_smin").isNotNull()
+    rm = {name: F.when(has_rm, col) for name, col in read_model_columns("_rm_")}
+    failed = F.col("_proc.step") == "workflow_failed"
+    return j.select(
+        "symbol",
+        F.coalesce(rm["status"], F.lit("not_found")).alias("status"),
+        rm["analysis_id"].alias("analysis_id"),
+        *[rm[c].alias(c) for c in ("progress_data_fetch", "progress_lstm_training",
+                                   "progress_prediction_generation", "last_updated")],
+        F.lit(0).alias("n_error_messages"),
+        F.coalesce(F.when(failed, F.lit("error")).otherwise(F.col("_proc.status")),
+                   F.lit("not_found")).alias("processing_status"),
+        F.coalesce(F.when(failed, F.lit("request_failed")).otherwise(F.col("_proc.step")),
+                   F.lit("unknown")).alias("processing_step"))
+
+
 def state_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Aggregate state for many requested symbols at once."""
     st = state.withColumnRenamed("aggregate_id", "symbol")

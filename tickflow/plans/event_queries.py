@@ -206,9 +206,8 @@ def q_analysis_results(spark, sf_dir):
     "step_log", extra=[("rm", READ_MODEL_SQL), ("req", REQUESTS_SQL), ("st", _STATUS_SQL),
                        ("proc", PROC_SQL)]))
 def q_status_with_processing(spark, sf_dir):
-    lg = log(spark, sf_dir)
-    st = rmo.analysis_status(requests(spark, sf_dir), rmo.read_model(lg))
-    return rmo.status_with_processing(st, evo.processing_status(fx.step_log(lg)))
+    return rmo.status_with_processing_from_log(requests(spark, sf_dir),
+                                               fx.with_steps(log(spark, sf_dir)))
 
 
 @register("state_lookup", ids=("J3",), sql=with_fixtures("""

@@ -213,19 +213,27 @@ STATUS_OF_STEP = {"workflow_completed": "completed", "workflow_failed": "error",
                   "request_failed": "error"}
 
 
-def step_log(log: DataFrame) -> DataFrame:
-    """Event log -> processing-status writes, one per event."""
+def with_steps(log: DataFrame) -> DataFrame:
+    """The log with the processing-status write of each event alongside
+    (``step_status``, ``step``, ``step_analysis_id``, ``step_error``)."""
     step = F.create_map(*[x for kv in STEP_OF_EVENT.items() for x in map(F.lit, kv)])[
         F.col("event_type")]
     status = F.coalesce(
         F.create_map(*[x for kv in STATUS_OF_STEP.items() for x in map(F.lit, kv)])[step],
         F.lit("started"))
-    return log.select(F.col("aggregate_id").alias("symbol"), status.alias("status"),
-                      step.alias("step"),
-                      F.get_json_object("data", "$.analysis_id").alias("analysis_id"),
-                      F.when(F.col("event_type") == S.ANALYSIS_FAILED,
-                             F.get_json_object("data", "$.error")).alias("error"),
-                      F.col("timestamp").alias("ts"), F.col("seq"))
+    return log.withColumns({
+        "step_status": status, "step": step,
+        "step_analysis_id": F.get_json_object("data", "$.analysis_id"),
+        "step_error": F.when(F.col("event_type") == S.ANALYSIS_FAILED,
+                             F.get_json_object("data", "$.error"))})
+
+
+def step_log(log: DataFrame) -> DataFrame:
+    """Event log -> processing-status writes, one per event."""
+    return with_steps(log).select(
+        F.col("aggregate_id").alias("symbol"), F.col("step_status").alias("status"), "step",
+        F.col("step_analysis_id").alias("analysis_id"), F.col("step_error").alias("error"),
+        F.col("timestamp").alias("ts"), F.col("seq"))
 
 
 def committed_log(log: DataFrame) -> DataFrame:
