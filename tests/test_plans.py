@@ -134,3 +134,11 @@ def test_appended_log_prunes_date_partitions(spark, sf_dir, capsys):
     assert re.search(r"PartitionFilters: \[[^\]]*event_date", p), p
     assert day.count() == fx.event_log(Tables(spark, sf_dir).events) \
         .filter(F.to_date("timestamp") == F.lit("2024-01-05").cast("date")).count()
+
+
+def test_status_views_scan_events_twice(spark, sf_dir, capsys):
+    """Request list and log: read model, state and processing status share
+    one aggregate, so no status view reads the events table a third time."""
+    for name in ("status_with_processing", "analysis_status", "workflow_debug_view"):
+        p = plan(entry.queries()[name](spark, sf_dir), capsys)
+        assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*events\.parquet", p)) <= 2, name
