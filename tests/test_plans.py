@@ -142,3 +142,16 @@ def test_status_views_scan_events_twice(spark, sf_dir, capsys):
     for name in ("status_with_processing", "analysis_status", "workflow_debug_view"):
         p = plan(entry.queries()[name](spark, sf_dir), capsys)
         assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*events\.parquet", p)) <= 2, name
+
+
+def test_fit_groups_only_summed_statistics(spark, sf_dir, capsys):
+    """The per-symbol Python group receives summed normal equations (one row
+    per matrix entry), never the symbol's training windows."""
+    from tickflow.operators import forecast as fc
+    coefs = fc.fit_linear(fc.training_set(fx.daily_bars(Tables(spark, sf_dir).orders)))
+    p = plan(coefs, capsys)
+    assert "MapInPandas" in p and "FlatMapGroupsInPandas" in p
+    m = re.search(r"\(\d+\) FlatMapGroupsInPandas\nInput \[\d+\]: \[([^\]]*)\]", p)
+    assert m and "lags" not in m.group(1) and "v#" in m.group(1), m
+    # the entries are summed with a partial aggregate before the shuffle
+    assert "partial_sum(v#" in p
