@@ -22,6 +22,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # top-n per key (tails, ring buffers) keeps its pre-shuffle limit for n
+    # up to this size (Spark's default stops at 1000)
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
