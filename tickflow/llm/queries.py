@@ -6,15 +6,26 @@ parameters and derives the digest columns from the operator's output.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, vocab
+from tickflow.llm import bpe, chat, langid, packing, quality, sharding, vectors, vocab
+
+
+def importable(spark: SparkSession) -> None:
+    """Put this checkout on the Python workers' path, for sessions that were started without it."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,9 +42,57 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(remainder("doc_id", 4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_read(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+                      "law", "shard", "slot", "grown_shard")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+#: A conversation whose texts are control strings of the template.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocab.default_path("byte_bpe_50k.tiktoken")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CONTROL_TURNS, turns.schema))
+    return chat.read_back(chat.format_turns(turns, path), path)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"),
+                          vocab.default_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_language_id": op2_language_id,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_sharding": op7_sharding,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_chat_format": op9_chat_format,
+        "op10_packing": op10_packing,
     }
 
 
