@@ -8,7 +8,8 @@ To keep the shuffles small the explosion is per block of texts (some MB): a
 block's positions travel as one compact list of word codes per row, and each
 distinct pre-token of a block as one row (block, code, word).  The word rows
 are dealt by word, so that all blocks' rows of a word meet and the word is
-encoded once; the ids return to the block, where codes are replaced by ids.
+encoded once; the ids return to the block (all its words of one task packed in
+one row), where codes are replaced by ids.
 A word has one row per block at most, whatever its frequency, so no word is a
 hot key.  A block's id is the digest of its rows and words: if an input is
 not stable between its two readings, ids go missing and the job fails.
@@ -16,6 +17,7 @@ not stable between its two readings, ids go missing and the job fails.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from tickflow.llm.text import BLOCK_BYTES, pack_varints, ragged_take, sliced, te
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Where a space may lie inside a pre-token: after white space, and before more or at the end.
 _INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
+#: Letters of the Latin blocks, where all tables agree on what a letter is.
+_LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 _PATTERN = regex.compile(vocab.PATTERN)
 
 
@@ -61,18 +65,28 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         rows = np.flatnonzero(inner)
         index[offsets[:-1][rows]] = len(units) + np.arange(len(rows))
         units += texts.take(pa.array(rows)).to_pylist()
-    code: dict[str, int] = {}
-    flat: list[int] = []
-    ends = np.zeros(len(units) + 1, np.int64)
     used = np.zeros(len(units), bool)
     used[index] = True
-    find, add, put = _PATTERN.findall, code.setdefault, flat.append
-    for i, (unit, wanted) in enumerate(zip(units, used.tolist())):
-        if wanted:
-            for token in find(unit):
-                put(add(token, len(code)))
-        ends[i + 1] = len(flat)
-    codes, cut = ragged_take(ends, np.asarray(flat, np.int64), index)
+    whole = np.zeros(len(units), bool)  # a piece of letters alone is one pre-token, as it stands
+    whole[:len(encoded.dictionary)] = pc.match_substring_regex(encoded.dictionary, _LETTERS).to_numpy(zero_copy_only=False)
+    whole &= used
+    words = [units[i] for i in np.flatnonzero(whole).tolist()]
+    code = dict(zip(words, range(len(words))))
+    lengths = np.zeros(len(units), np.int64)
+    lengths[whole] = 1
+    rest: list[int] = []
+    find, add, put = _PATTERN.findall, code.setdefault, rest.append
+    for i in np.flatnonzero(used & ~whole).tolist():
+        tokens = find(units[i])
+        lengths[i] = len(tokens)
+        for token in tokens:
+            put(add(token, len(code)))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.empty(ends[-1], np.int64)
+    own = np.repeat(whole, lengths)
+    flat[own] = np.arange(len(words))
+    flat[~own] = rest
+    codes, cut = ragged_take(ends, flat, index)
     offsets = cut[offsets]
     order = np.argsort(-np.bincount(codes, minlength=len(code)), kind="stable")
     rank = np.empty(len(code), np.int64)
@@ -112,38 +126,68 @@ def _code_rows(block_bytes: int):
 
 
 def _encode_words(ranks):
+    """Rows sorted by word to rows (block, codes, lengths, ids): some blocks' words, packed together."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocab.encoding(ranks.value).encode_ordinary
-        word, ids = None, b""
-        for batch in batches:  # sorted by word: each is encoded when it first appears
-            out = []
+        word, last, held, n = None, 0, [], 0
+        table: list[list[int]] = []
+
+        def flush():
+            block, code, at = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((code, block))
+            block, code, at = block[order], code[order], at[order]
+            lengths = np.fromiter(map(len, table), np.int64, len(table))
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            ids, cut = ragged_take(ends, np.fromiter(itertools.chain.from_iterable(table), np.uint32, ends[-1]), at)
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            bounds = np.concatenate([first, [len(block)]])
+            gaps = np.diff(code, prepend=0)
+            gaps[first] = code[first]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block[first]), pa.array(pack_varints(gaps, bounds), pa.binary()),
+                 pa.array(pack_varints(lengths[at], bounds), pa.binary()),
+                 pa.array(pack_varints(ids, cut[bounds]), pa.binary())], names=["block", "codes", "lengths", "ids"])
+
+        for batch in batches:  # each word is encoded when it first appears
+            at = []
             for w in batch.column("word").to_pylist():
-                if w != word:
-                    word, ids = w, np.asarray(encode(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("code"), pa.array(out, pa.binary())],
-                names=["block", "code", "ids"])
+                if w != word or not table:
+                    word, last = w, len(table)
+                    table.append(encode(w))
+                at.append(last)
+            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy().astype(np.int64),
+                         np.asarray(at, np.int64)))
+            n += len(at)
+            if n >= 1 << 19:
+                yield flush()
+                held, n, table = [], 0, []
+        if n:
+            yield flush()
     return run
 
 
 def _assemble(key, rows: pa.Table, words: pa.Table) -> pa.Table:
     rows, words = rows.combine_chunks(), words.combine_chunks()
-    code = words.column("code").to_numpy()
-    order = np.argsort(code)
-    packed = words.column("ids").take(pa.array(order)).combine_chunks().cast(pa.large_binary())
-    cut = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
-    table = np.frombuffer(packed.buffers()[2] or b"", "<u4")
-    # exactly one row for each code, or the input changed (or the same block came twice: see _unique)
-    codes, offsets = unpack_varints(rows.column("codes").combine_chunks())
-    known = code[order]
-    if len(codes) and (not len(known) or codes.max() >= len(np.unique(known))):
+    one = lambda name: unpack_varints(words.column(name).combine_chunks()) if len(words) else (np.empty(0, np.int64), None)
+    gaps, runs = one("codes")
+    lengths, ids = one("lengths")[0], one("ids")[0].astype("<u4")
+    if len(gaps):  # gaps back to codes, for each run of words
+        total = np.cumsum(gaps)
+        gaps = total - np.repeat(total[runs[:-1]] - gaps[runs[:-1]], np.diff(runs))
+    known, first = np.unique(gaps, return_index=True)  # copies of a block repeat its words
+    if len(known) and known[-1] != len(known) - 1:
         raise ValueError("word ids are missing: the input changed between its two readings; write it first")
-    first = np.searchsorted(known, np.arange(known[-1] + 1 if len(known) else 0))  # copies of a block repeat its words
-    ids, ends = ragged_take(cut // 4, table, first[codes] if len(codes) else codes)
-    raw, at = ids.astype("<u4").tobytes(), (4 * ends[offsets]).tolist()
-    return pa.table([rows.column("row"), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                    names=["row", "ids"])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    out: list[bytes] = []
+    packed = rows.column("codes").combine_chunks()
+    for start in range(0, len(rows), 256):  # few rows at a time: ids take several times a text's bytes
+        codes, offsets = unpack_varints(packed.slice(start, 256))
+        if len(codes) and codes.max() >= len(known):
+            raise ValueError("word ids are missing: the input changed between its two readings; write it first")
+        part, cut = ragged_take(ends, ids, first[codes] if len(codes) else codes)
+        raw, at = part.tobytes(), (4 * cut[offsets]).tolist()
+        out += [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+    return pa.table([rows.column("row"), pa.array(out, pa.binary())], names=["row", "ids"])
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
@@ -161,7 +205,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
     ranks = spark.sparkContext.broadcast(vocab.read_ranks(ranks_path))
     words = (source.select("text").mapInArrow(_word_rows(block_bytes), "block long, code int, word string")
              .repartition("word").sortWithinPartitions("word")
-             .mapInArrow(_encode_words(ranks), "block long, code int, ids binary"))
+             .mapInArrow(_encode_words(ranks), "block long, codes binary, lengths binary, ids binary"))
     schema = T.StructType([T.StructField("block", T.LongType()), source.schema["row"],
                            T.StructField("codes", T.BinaryType())])
     rows = source.mapInArrow(_code_rows(block_bytes), schema)
