@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, langid, packing, quality, sharding, vectors, vocab
+from tickflow.llm import bpe, chat, langid, packing, quality, sharding, substrings, vectors, vocab
 
 
 def importable(spark: SparkSession) -> None:
@@ -55,6 +55,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_read(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -89,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_language_id": op2_language_id,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_sharding": op7_sharding,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_chat_format": op9_chat_format,
