@@ -6,22 +6,14 @@ parameters and derives the digest columns from the operator's output.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, langid, packing, quality, sharding, substrings, vectors, vocab
-
-
-def importable(spark: SparkSession) -> None:
-    """Put this checkout on the Python workers' path, for sessions that were started without it."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+import corpus_pipeline
+from tickflow.llm import bpe, brown, chat, jaccard, langid, packing, quality, sharding, substrings, vectors, vocab
+from tickflow.llm.frames import importable
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +41,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
@@ -62,6 +60,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicate_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_read(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -95,12 +98,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_language_id": op2_language_id,
+        "op3_brown_lm": op3_brown_lm,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_sharding": op7_sharding,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

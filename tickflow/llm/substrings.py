@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,6 +185,12 @@ def _remove(width: int):
     return run
 
 
+@F.pandas_udf("string")
+def as_text(kept: pd.Series) -> pd.Series:
+    """Kept bytes as text; what a removal left of a character cut in two is dropped."""
+    return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """``docs`` plus kept (binary: the bytes that stay) and spans (begin, end in bytes of what was removed, in order).
 
