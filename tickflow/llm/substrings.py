@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,10 +185,13 @@ def _remove(width: int):
     return run
 
 
-@F.pandas_udf("string")
-def as_text(kept: pd.Series) -> pd.Series:
-    """Kept bytes as text; what a removal left of a character cut in two is dropped."""
-    return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
+def as_text(kept: str) -> Column:
+    """A column of kept bytes as text; what a removal left of a character cut in two is dropped."""
+    @F.pandas_udf("string")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: x.decode("utf-8", "ignore"))
+
+    return run(F.col(kept))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, group: int = GROUP, block: int = BLOCK) -> DataFrame:
