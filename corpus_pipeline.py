@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickflow.llm import jaccard, langid, packing, quality, substrings, vocab
-from tickflow.llm.frames import importable, written
+from tickflow.llm.frames import prepare, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language: those with a letter whose prediction is more likely right than wrong."""
-    importable(spark)
+    prepare(spark)
     tagged = langid.identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), langid.train(docs))
     return tagged.where(langid.accepted()).select("doc.*")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the quality rules, learned from the labels."""
-    importable(spark)
+    prepare(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.judge(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
     return judged.where("kept").select("doc.*")
@@ -32,7 +32,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
-    importable(spark)
+    prepare(spark)
     grouped = jaccard.near_duplicate_components(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
     first = grouped.where("n_shingles = 0 or component_id is null or doc_id = component_id")
     single = first.where("n_shingles > 0 and component_id is not null").dropDuplicates(["component_id"])  # repeated rows
@@ -41,14 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every passage of 200 bytes or more that occurs again; the text that stays may be empty."""
-    importable(spark)
+    prepare(spark)
     cut = substrings.remove_repeats(docs).withColumn("text", substrings.as_text("kept"))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048: one row per piece of a document."""
-    importable(spark)
+    prepare(spark)
     return packing.pack(docs.select("doc_id", "text"), vocab.default_path("byte_bpe_50k.json"))
 
 
@@ -66,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's table is written to the shared folder and read again."""
-    importable(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from tickflow.session import shared_path
 
 
-def importable(spark: SparkSession) -> None:
-    """Put this checkout on the Python workers' path, for sessions that were started without it."""
+#: Bytes of an Arrow batch on its way to Python: long texts make short batches.
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, and put this checkout on the Python workers' path where it is not yet."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -33,10 +38,20 @@ def outputs_last(df: DataFrame, row: str, **outputs) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a fresh table in the shared folder and read back (cuts the lineage)."""
+    """``df`` written to a fresh table in the shared folder and read back (cuts the lineage).
+
+    The write's shuffle files are removed as soon as it is done: nothing
+    needs them again, and a job of many steps would fill the disks.
+    """
     spark = df.sparkSession
     path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickflow.llm import bpe, brown, chat, jaccard, langid, packing, quality, sharding, substrings, vectors, vocab
-from tickflow.llm.frames import importable
+from tickflow.llm.frames import prepare
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
