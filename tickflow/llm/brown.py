@@ -282,7 +282,7 @@ def _class_pairs(raw: list[bytes], end_class: int) -> tuple[np.ndarray, np.ndarr
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
-    """``docs`` plus n_tokens, n_known, train_tokens, base_score and score of each whole text.
+    """``docs`` without its text, plus n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     ``train`` tells the training documents, all of which are learned from.
     Tokens are the words (A-Z lower-cased) and one end; ``score`` is the
@@ -294,7 +294,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = C
     if classes > 120:
         raise ValueError("classes are kept in a byte: 120 at most")
     spark = docs.sparkSession
-    source = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+    others = [F.col(c) for c in docs.columns if c.lower() != text.lower()]
+    source = docs.select(F.struct(*(others or [F.lit(None).cast("int").alias("_")])).alias("row"),
                          F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     learned = source.where("train").select("text")
     counts = written(learned.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown")
@@ -339,8 +340,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = C
         return pd.Series([float(x.sum()) for x in np.split(each, cut[1:-1])]) + own.to_numpy()
 
     ready = ready.withColumn("score", class_score("classes", "own") if total else F.col("base"))
-    return outputs_last(ready, "row", n_tokens="n_tokens", n_known="n_known", train_tokens=F.lit(total).cast("long"),
-                        base_score="base", score="score")
+    out = outputs_last(ready, "row", n_tokens="n_tokens", n_known="n_known", train_tokens=F.lit(total).cast("long"),
+                       base_score="base", score="score")
+    return out if others else out.drop("_")
 
 
 def _estimate(ready: DataFrame, n: int, end_class: int, unknown: int, rare: int, once: int, twice: int):
