@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm.features import word_hashes
@@ -161,12 +161,29 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by whole texts (t, text)."""
-    left = texts.select(F.col("t").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("t").alias("b"), F.col("text").alias("right"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-            .mapInArrow(_linked(width, percent), "a long, b long"))
+def least_common(n: str, m: str, percent: int) -> Column:
+    """Prefix shingles that two sets of n and m must share to reach the threshold.
+
+    An overlap of ``percent`` of the union is at least percent (n + m) /
+    (100 + percent).  Of the set whose prefix ends first in the order, the
+    common shingles that are not in both prefixes lie behind its prefix.
+    """
+    rest = lambda c: f"((99L + {percent} * {c}) div 100 - 1)"
+    need = f"((99L + {percent} + {percent}L * ({n} + {m})) div {100 + percent})"
+    return F.expr(f"greatest(1L, {need} - greatest({rest(n)}, {rest(m)}))")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), and those of them that are linked, by the whole texts (t, text)."""
+    pairs = written(pairs, "jaccard")
+    if pairs.isEmpty():
+        return pairs, pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    found = written(texts.dropDuplicates(["t"]).join(ends, "t"), "jaccard")  # each needed text once
+    left = found.select(F.col("t").alias("a"), F.col("text").alias("left"))
+    right = found.select(F.col("t").alias("b"), F.col("text").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return pairs, written(both.mapInArrow(_linked(width, percent), "a long, b long"), "jaccard")
 
 
 def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE,
@@ -192,27 +209,27 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
     columns = texts.mapInArrow(_prefix_rows(shared, width, percent), "shingle long, t long, n int")
     pivots = columns.groupBy("shingle").agg(F.min("t").alias("pivot"), F.max("t").alias("other")).where("pivot < other")
     product = written(columns.join(pivots.select("shingle", "pivot"), "shingle"), "jaccard")
-    # texts are fetched once per distinct text that any pair needs
-    strongest = (product.where("t <> pivot").groupBy("t", "pivot").agg(F.count("*").alias("common"))
+    sizes = base.where("t is not null").select("t", "n").distinct()
+    pairs = (product.where("t <> pivot").groupBy("t", "n", "pivot").agg(F.count("*").alias("common"))
+             .join(sizes.select(F.col("t").alias("pivot"), F.col("n").alias("m")), "pivot"))
+    strongest = (pairs.where(F.col("common") >= least_common("n", "m", percent))
                  .groupBy("t").agg(F.max(F.struct("common", "pivot")).alias("best"))
                  .select(F.col("t").alias("a"), F.col("best.pivot").alias("b")))
-    needed = written(strongest, "jaccard")
-    distinct = written(texts.join(product.select("t").distinct(), "t").dropDuplicates(["t"]), "jaccard")
-    links = written(_checked(needed, distinct, width, percent), "jaccard")
+    known, links = _checked(strongest, texts, width, percent)
     roots = written(components(links, spark), "jaccard")
     placed = (product.join(roots.withColumnRenamed("node", "t"), "t", "left")
-              .select("shingle", "t", "n", F.coalesce("root", "t").alias("root")))
+              .select("shingle", "t", "n", F.coalesce("root", "t").alias("root")).distinct())
     mixed_columns = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    placed = written(placed.join(mixed_columns.select("shingle"), "shingle").distinct(), "jaccard")
+    placed = written(placed.join(mixed_columns.select("shingle"), "shingle"), "jaccard")
     a, b = (placed.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root")]) for side in "ab")
     apart = (a.join(b, "shingle").where("t_a < t_b and root_a <> root_b")
              .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-             .select(F.col("t_a").alias("a"), F.col("t_b").alias("b")).distinct())
-    known = needed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_checked(apart.join(known, ["a", "b"], "left_anti"), distinct, width, percent), "jaccard")
+             .groupBy(F.col("t_a").alias("a"), F.col("t_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"))
+             .where(F.col("common") >= least_common("n_a", "n_b", percent)).select("a", "b"))
+    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    _, more = _checked(apart.join(known, ["a", "b"], "left_anti"), texts, width, percent)
     if not more.isEmpty():
         roots = components(links.union(more), spark)
-    sizes = base.where("t is not null").select("t", "n").distinct()
     nodes = (sizes.where("n > 0").join(roots.withColumnRenamed("node", "t"), "t", "left")
              .select("t", "n", F.coalesce("root", "t").alias("root")))  # no words: linked with nothing
     second = F.xxhash64(F.lit(23), F.coalesce("text", F.lit("")))
