@@ -60,6 +60,15 @@ def ngram_features(words: pa.Array, sizes: range, bits: int) -> tuple[np.ndarray
     return np.concatenate(out_word), np.concatenate(out_feature)
 
 
+def word_sums(words: pa.Array, sizes: range, bits: int, weights: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Sum of ``weights`` (features, columns) over each word's n-grams, some words at a time."""
+    out = np.zeros((len(words), weights.shape[1]))
+    for at in range(0, len(words), step):
+        word, feature = ngram_features(words.slice(at, step), sizes, bits)
+        out[at:at + step] = summed(word, weights[feature], min(step, len(words) - at))
+    return out
+
+
 def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of ``values`` summed by index: an array (n, columns)."""
     return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1)
@@ -88,22 +97,23 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
     """Weights (the last is the bias) of an L2 logistic regression by accelerated gradient steps; y is 0 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     ridge = np.full(x.shape[1], penalty, x.dtype)
     ridge[-1] = 0
     vector = np.ones(x.shape[1], x.dtype)
     for _ in range(12):  # largest eigenvalue of x'x / n, for the step
-        vector = x.T @ (x @ vector)
+        vector = (x @ vector) @ x
         size = np.sqrt(vector @ vector)
-        vector = vector / max(size, 1e-30)
+        vector = (vector / max(size, 1e-30)).astype(x.dtype)
     step = 1 / (0.25 * float(size) / len(x) * 1.1 + penalty)
     w = ahead = np.zeros(x.shape[1], x.dtype)
     for i in range(rounds):
-        gradient = x.T @ (sigmoid(x @ ahead) - y) / len(x) + ridge * ahead
+        miss = (sigmoid(x @ ahead) - y).astype(x.dtype)  # in one precision: no copy of x is made
+        gradient = (miss @ x) / len(x) + ridge * ahead
         new = (ahead - step * gradient).astype(x.dtype)
-        ahead = new + (i / (i + 3)) * (new - w)
+        ahead = (new + (i / (i + 3)) * (new - w)).astype(x.dtype)
         w = new
     return w.astype(np.float64)
 

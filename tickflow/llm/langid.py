@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickflow.llm.features import linear_svm, ngram_features, platt, sigmoid, summed
+from tickflow.llm.features import linear_svm, ngram_features, platt, sigmoid, word_sums
 from tickflow.llm.frames import outputs_last
 from tickflow.llm.text import sliced, sums, texts_of, words_of
 
@@ -40,6 +40,8 @@ SIZES, BITS = range(1, 5), 12
 #: Training rows for the SVMs have mean 1/2**BITS; this brings them to a useful size.
 SCALE = 30.0
 UNKNOWN = "und"
+#: Text bytes scored at once.
+BLOCK = 4 << 20
 
 
 def family_of(language: str) -> str:
@@ -107,9 +109,8 @@ def predict(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
     if model["families"]:
         codes, offsets, words = words_of(texts)
         pairs = [*model["between"], *[p for f in model["families"] for p in model["within"][f]]]
-        word, feature = ngram_features(words, SIZES, BITS)
         weights = np.stack([*[p[2][:-1] for p in pairs], np.ones(1 << BITS)], axis=1)
-        by_text = sums(summed(word, weights[feature], len(words))[codes], offsets)
+        by_text = sums(word_sums(words, SIZES, BITS, weights)[codes], offsets)
         margins = SCALE * by_text[:, :-1] / np.maximum(by_text[:, -1:], 1) + np.array([p[2][-1] for p in pairs])
         families = list(model["families"])
         at = len(model["between"])
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     source = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BLOCK):
             names, scores = predict(texts_of(batch, "text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores)],
                                              names=["row", "lang_pred", "score"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickflow.llm.features import bucket, logistic, ngram_features, platt, sigmoid, summed, word_hashes
+from tickflow.llm.features import bucket, logistic, ngram_features, platt, sigmoid, word_hashes, word_sums
 from tickflow.llm.frames import outputs_last
 from tickflow.llm.text import U64, sliced, sums, texts_of, words_of
 
@@ -35,6 +35,8 @@ SCALE, PENALTY = 30.0, 1e-4
 KEEP_AT = 0.5
 #: The counting rules: words a text must have, and percent of its words that may lie in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
+#: Text bytes scored at once.
+BLOCK = 4 << 20
 _PAIR = U64(0x94D049BB133111EB)
 
 
@@ -71,14 +73,13 @@ def duplicate_lines(texts: pa.Array) -> np.ndarray:
 
 
 def _parts(texts: pa.Array):
-    """Words as codes, and the features of distinct words, of words and of neighbouring pairs."""
+    """Words as codes, and the features of distinct words and of neighbouring pairs."""
     codes, offsets, words = words_of(texts, lower=False)
-    word, ngram = ngram_features(words, SIZES, NGRAM_BITS)
     hashes = word_hashes(words)
     single = (1 << NGRAM_BITS) + bucket(hashes, WORD_BITS)
     pair = bucket(hashes[codes[:-1]] * _PAIR + hashes[codes[1:]], WORD_BITS) if len(codes) > 1 else np.empty(0, np.int64)
     pair = pair + (1 << NGRAM_BITS) + (1 << WORD_BITS)
-    return codes, offsets, words, word, ngram, single, pair
+    return codes, offsets, words, single, pair
 
 
 def _pair_offsets(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +89,8 @@ def _pair_offsets(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def profiles(texts: pa.Array) -> np.ndarray:
     """Feature vectors (texts, DIMENSIONS): the shares of n-grams, of words and of pairs."""
-    codes, offsets, words, word, ngram, single, pair = _parts(texts)
+    codes, offsets, words, single, pair = _parts(texts)
+    word, ngram = ngram_features(words, SIZES, NGRAM_BITS)
     order = np.argsort(word, kind="stable")
     cut = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
     first, last = _pair_offsets(offsets)
@@ -107,7 +109,7 @@ def profiles(texts: pa.Array) -> np.ndarray:
 
 def measure(texts: pa.Array, weights: np.ndarray | None, slope: float, shift: float) -> dict[str, np.ndarray]:
     """The counts of each text and its probability of good quality (1 without a model)."""
-    codes, offsets, words, word, ngram, single, pair = _parts(texts)
+    codes, offsets, words, single, pair = _parts(texts)
     n_words = np.diff(offsets)
     out = {"n_words": n_words,
            "word_chars": sums(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[codes], offsets),
@@ -117,7 +119,8 @@ def measure(texts: pa.Array, weights: np.ndarray | None, slope: float, shift: fl
                                       np.int64)}
     if weights is None:
         return out | {"quality": np.ones(len(texts))}
-    by_word = summed(word, np.stack([weights[ngram], np.ones(len(ngram))], axis=1), len(words))
+    ngrams = weights[:1 << NGRAM_BITS]
+    by_word = word_sums(words, SIZES, NGRAM_BITS, np.stack([ngrams, np.ones(len(ngrams))], axis=1))
     by_word = np.concatenate([by_word, weights[single][:, None]], axis=1)
     by_text = sums(by_word[codes], offsets)
     first, last = _pair_offsets(offsets)
@@ -175,7 +178,7 @@ def judge(docs: DataFrame, model: tuple, text: str = "text", keep_at: float = KE
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BLOCK):
             out = measure(texts_of(batch, "text"), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(out[c]) for c in [*counts, "quality"]]],
                                              names=["row", *counts, "quality"])
