@@ -9,7 +9,7 @@ Its product with itself is formed only where a pair can reach the threshold:
   order puts very frequent shingles last, so that passages which many
   documents share make no candidates; it decides cost, never the result.
 * Columns of the product with one text are dropped.  In each other column
-  every text is paired with the column's pivot (its smallest text) alone;
+  every text is paired with the column's pivot (its most central text) alone;
   pairs accumulate their counts over all columns, and each text's strongest
   pair is checked first, exactly, on whole texts.  Groups of copies become
   stars: no group's pairs are listed.
@@ -38,10 +38,10 @@ from tickflow.llm.text import U64, mixed, shingle_hashes, sliced, texts_of, word
 
 #: Words in a shingle; percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
-#: Frequent shingles are counted among hashes below this share (a prefix lies there), in blocks of so many.
-LOW_SHARE, COUNT_BLOCK = 0.3, 4 << 20
-#: A shingle this frequent goes to the end of the order; so many of them at most, the most frequent.
-FREQUENT, MOST_FREQUENT = 24, 200_000
+#: Shingles counted at once in a task, on the way to the frequent ones.
+COUNT_BLOCK = 4 << 20
+#: A shingle this frequent goes to the end of the order; so many of them at most (8 MB), the most frequent.
+FREQUENT, MOST_FREQUENT = 24, 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -98,11 +98,11 @@ def _sizes_and_counts(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t", "n", "shingle", "times"]
         seen: set = set()
-        low: list[np.ndarray] = []
+        held_sets: list[np.ndarray] = []
         held = 0
 
         def counted():
-            value, times = np.unique(np.concatenate(low), return_counts=True)
+            value, times = np.unique(np.concatenate(held_sets), return_counts=True)
             value, times = value[times > 1].view(np.int64), times[times > 1]
             null = pa.nulls(len(value), pa.int64())
             return pa.RecordBatch.from_arrays([null, null, pa.array(value), pa.array(times.astype(np.int64))], names=names)
@@ -112,14 +112,14 @@ def _sizes_and_counts(width: int):
             for i, own in _sets(batch, seen, width):
                 rows.append(i)
                 sizes.append(len(own))
-                low.append(own[:np.searchsorted(own, U64(int(LOW_SHARE * 2.0**64)))])
-                held += len(low[-1])
+                held_sets.append(own)
+                held += len(own)
             null = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([t.take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), null, null], names=names)
             if held >= COUNT_BLOCK:
                 yield counted()
-                low, held = [], 0
-        if low:
+                held_sets, held = [], 0
+        if held_sets:
             yield counted()
     return run
 
@@ -207,10 +207,16 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
              .orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).select("shingle").toPandas()["shingle"])
     shared = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(U64)))  # MOST_FREQUENT hashes at most
     columns = texts.mapInArrow(_prefix_rows(shared, width, percent), "shingle long, t long, n int")
-    pivots = columns.groupBy("shingle").agg(F.min("t").alias("pivot"), F.max("t").alias("other")).where("pivot < other")
-    product = written(columns.join(pivots.select("shingle", "pivot"), "shingle"), "jaccard")
+    shared_columns = columns.groupBy("shingle").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("texts"))
+    product = written(columns.join(shared_columns.where("low < high").select("shingle", "texts"), "shingle"), "jaccard")
+    # a column's pivot is its most central text: a text that shares more of its shingles, with more texts, is nearer to
+    # the middle of its group
+    central = product.groupBy("t").agg((F.sum(F.log2("texts")) / F.max("n")).alias("weight"))
+    weighed = product.select("shingle", "t", "n").join(central, "t")
+    pivots = weighed.groupBy("shingle").agg(F.max_by("t", "weight").alias("pivot"))
     sizes = base.where("t is not null").select("t", "n").distinct()
-    pairs = (product.where("t <> pivot").groupBy("t", "n", "pivot").agg(F.count("*").alias("common"))
+    pairs = (product.select("shingle", "t", "n").join(pivots, "shingle").where("t <> pivot")
+             .groupBy("t", "n", "pivot").agg(F.count("*").alias("common"))
              .join(sizes.select(F.col("t").alias("pivot"), F.col("n").alias("m")), "pivot"))
     strongest = (pairs.where(F.col("common") >= least_common("n", "m", percent))
                  .groupBy("t").agg(F.max(F.struct("common", "pivot")).alias("best"))
