@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tickflow.llm import vocab
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import BLOCK_BYTES, pack_varints, ragged_take, sliced, texts_of, unpack_varints
+from tickflow.llm.text import give_back, pack_varints, ragged_take, sliced, texts_of, unpack_varints
 
 #: White space as a character class (Unicode White_Space and the ASCII separators).
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -39,6 +39,8 @@ _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 _INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
 #: Letters of the Latin blocks, where all tables agree on what a letter is.
 _LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
+#: Text bytes of a block: larger ones have fewer distinct words in all, and take more memory.
+BLOCK_BYTES = 14 << 20
 _PATTERN = regex.compile(vocab.PATTERN)
 
 
@@ -57,7 +59,7 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     pieces = split.flatten()
     encoded = pieces.dictionary_encode()
     units = [" " + p for p in encoded.dictionary.to_pylist()]
-    index = encoded.indices.to_numpy().astype(np.int64)
+    index = encoded.indices.to_numpy().astype(np.int32)
     heads = pieces.take(pa.array(offsets[:-1])).dictionary_encode()  # a text's first piece has no space before it
     index[offsets[:-1]] = len(units) + heads.indices.to_numpy()
     units += heads.dictionary.to_pylist()
@@ -65,6 +67,7 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         rows = np.flatnonzero(inner)
         index[offsets[:-1][rows]] = len(units) + np.arange(len(rows))
         units += texts.take(pa.array(rows)).to_pylist()
+    del split, pieces, plain
     used = np.zeros(len(units), bool)
     used[index] = True
     whole = np.zeros(len(units), bool)  # a piece of letters alone is one pre-token, as it stands
@@ -82,14 +85,14 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         for token in tokens:
             put(add(token, len(code)))
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.empty(ends[-1], np.int64)
+    flat = np.empty(ends[-1], np.int32)
     own = np.repeat(whole, lengths)
     flat[own] = np.arange(len(words))
     flat[~own] = rest
     codes, cut = ragged_take(ends, flat, index)
     offsets = cut[offsets]
     order = np.argsort(-np.bincount(codes, minlength=len(code)), kind="stable")
-    rank = np.empty(len(code), np.int64)
+    rank = np.empty(len(code), np.int32)
     rank[order] = np.arange(len(code))
     words = list(code)
     return rank[codes] if len(code) else codes, offsets, [words[i] for i in order.tolist()]
@@ -113,6 +116,8 @@ def _word_rows(block_bytes: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
                      pa.array(part, pa.string())], names=["block", "code", "word"])
+            del words
+            give_back()
     return run
 
 
@@ -122,6 +127,8 @@ def _code_rows(block_bytes: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, block)), batch.column("row"),
                  pa.array(pack_varints(codes, offsets), pa.binary())], names=["block", "row", "codes"])
+            del codes, batch
+            give_back()
     return run
 
 
@@ -180,6 +187,7 @@ def _assemble(key, rows: pa.Table, words: pa.Table) -> pa.Table:
     ends = np.concatenate([[0], np.cumsum(lengths)])
     out: list[bytes] = []
     packed = rows.column("codes").combine_chunks()
+    part = ids[:0]
     for start in range(0, len(rows), 256):  # few rows at a time: ids take several times a text's bytes
         codes, offsets = unpack_varints(packed.slice(start, 256))
         if len(codes) and codes.max() >= len(known):
@@ -187,6 +195,8 @@ def _assemble(key, rows: pa.Table, words: pa.Table) -> pa.Table:
         part, cut = ragged_take(ends, ids, first[codes] if len(codes) else codes)
         raw, at = part.tobytes(), (4 * cut[offsets]).tolist()
         out += [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+    del part
+    give_back()
     return pa.table([rows.column("row"), pa.array(out, pa.binary())], names=["row", "ids"])
 
 

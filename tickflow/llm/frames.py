@@ -13,7 +13,7 @@ from tickflow.session import shared_path
 
 
 #: Bytes of an Arrow batch on its way to Python: long texts make short batches.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

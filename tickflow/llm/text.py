@@ -7,6 +7,8 @@ weighing) is done once for each distinct word of a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, block_bytes: int = BLOC
         yield joined(held)
 
 
+def give_back() -> None:
+    """Return freed memory to the system between blocks (workers live on and would keep it)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One record batch with the rows of all."""
     if len(batches) == 1:
@@ -116,8 +125,9 @@ def ragged_take(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> t
     out = np.concatenate([[0], ends]).astype(np.int64)
     if not len(index) or not out[-1]:
         return values[:0], out
-    at = np.repeat(offsets[index] - (ends - lengths), lengths)
-    at += np.arange(len(at), dtype=at.dtype)
+    kind = np.int32 if max(len(values), out[-1]) < 1 << 31 else np.int64
+    at = np.repeat((offsets[index] - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(len(at), dtype=kind)
     return values[at], out
 
 
@@ -129,6 +139,9 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def pack_varints(codes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """LEB128 bytes of each run of ``codes`` (below 2**28)."""
+    if len(offsets) > 257:  # some runs at a time
+        return [x for at in range(0, len(offsets) - 1, 256) for x in pack_varints(
+            codes[offsets[at]:offsets[min(at + 256, len(offsets) - 1)]], offsets[at:at + 257] - offsets[at])]
     codes = codes.astype(np.uint32)
     lengths = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
