@@ -158,13 +158,15 @@ def test_event_history_positions_equal_window(spark, sf_dir):
     assert got.count() == ref.count()
 
 
+LATER = T0 + timedelta(days=30)
+
+
 def test_commands_keep_previous_status(spark):
     log = make_log(spark, SUCCESS)
-    state = evo.aggregate_state(log)
     cmds = spark.createDataFrame(
-        [("c1", "RequestAnalysis", "AAPL", "{}", '{"requester":"ui"}', T0, None),
+        [("c1", "RequestAnalysis", "AAPL", "{}", '{"requester":"ui"}', LATER, None),
          ("c2", "RequestAnalysis", "MSFT", "{}", "{}", T0, None)], S.COMMANDS)
-    ev = {r["aggregate_id"]: r for r in evo.commands_to_events(cmds, state).collect()}
+    ev = {r["aggregate_id"]: r for r in evo.commands_to_events(cmds.withColumn("seq", F.lit(99)), log).collect()}
     assert ev["AAPL"]["previous_status"] == "completed" and ev["AAPL"]["requester"] == "ui"
     assert ev["MSFT"]["previous_status"] == "idle" and ev["MSFT"]["requester"] == "system"
     assert len(ev["AAPL"]["analysis_id"]) == 32
@@ -174,7 +176,8 @@ def test_uncommitted_and_append_idempotent(spark, tmp_path):
     log = make_log(spark, SUCCESS)
     path = str(tmp_path / "log")
     evo.append_events(log.filter(F.col("seq") < 4), path)
-    evo.append_events(log, path)  # retry of an overlapping batch
+    again = evo.append_events(log.union(log), path)  # retry of an overlapping batch, each event twice
+    assert sorted(r["seq"] for r in again.collect()) == [r["seq"] for r in log.filter(F.col("seq") >= 4).orderBy("seq").collect()]
     stored = spark.read.parquet(path)
     assert stored.count() == 8
     assert evo.uncommitted(log, stored).count() == 0
@@ -217,3 +220,14 @@ def test_fused_state_and_read_model_equal_separate(spark, sf_dir):
     got = fused.filter(F.col("rm_status").isNotNull()).select(
         F.col("aggregate_id").alias("symbol"), *[F.col("rm_" + c).alias(c) for c in rm.columns[1:]])
     assert got.count() == rm.count() and got.exceptAll(rm).count() == 0
+
+
+def test_append_fails_on_an_unreadable_log(spark, tmp_path):
+    log = make_log(spark, SUCCESS)
+    path = tmp_path / "log"
+    evo.append_events(log, str(path))
+    for part in path.rglob("*.parquet"):
+        part.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        evo.append_events(log, str(path))
+    assert len(list(path.rglob("*.parquet"))) == len([p for p in path.rglob("*.parquet") if p.read_bytes() == b"not parquet"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tickflow import schemas as S
 from tickflow.functions.ordering import positions
 from tickflow.functions.timecols import floor_time
+from tickflow.session import materialize, path_exists
 
 
 def order_key(ts: str = "timestamp", seq: str = "seq") -> Column:
@@ -135,21 +136,29 @@ def uncommitted(produced: DataFrame, committed: DataFrame, key: str = "event_id"
     return produced.join(committed.select(key), key, "left_anti")
 
 
-def append_events(events: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Acknowledged append (S7): write only events not already in the log.
+def append_events(events: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Acknowledged append (S7): write the events that the log has not, once each, and return them.
 
     The log is partitioned by event date so readers prune by time; a retry
     after a lost executor re-runs the whole write and the anti join drops
-    what a previous attempt already committed.
+    what a previous attempt already committed.  An event repeated in the
+    batch is written once.  Only the log's partitions of the batch's dates
+    are read (an event id keeps its date).  A log that cannot be read fails
+    the append; only a path that does not exist is a first append.  What is
+    returned was written, so it is what dispatch may hand on.
     """
     spark = events.sparkSession
-    out = events.withColumn("event_date", F.to_date("timestamp"))
-    try:
-        existing = spark.read.format(fmt).load(path).select("event_id")
+    out = events.withColumn("event_date", F.to_date("timestamp")).dropDuplicates(["event_id"])
+    if path_exists(spark, path):
+        days = out.agg(F.min("event_date"), F.max("event_date")).first()
+        if days[0] is None:  # nothing to append
+            return out.drop("event_date").limit(0)
+        existing = (spark.read.format(fmt).load(path)
+                    .filter(F.col("event_date").between(F.lit(days[0]), F.lit(days[1]))).select("event_id"))
         out = out.join(existing, "event_id", "left_anti")
-    except Exception:  # noqa: BLE001 - first append: no log yet
-        pass
-    out.write.mode("append").partitionBy("event_date").format(fmt).save(path)
+    written = materialize(out)  # fixed before the log changes under its own anti join
+    written.write.mode("append").partitionBy("event_date").format(fmt).save(path)
+    return written.drop("event_date")
 
 
 def deterministic_id(*parts: Column | str) -> Column:
@@ -158,30 +167,6 @@ def deterministic_id(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 32)
 
 
-def commands_to_events(commands: DataFrame, state: DataFrame) -> DataFrame:
-    """RequestAnalysis commands -> AnalysisRequested events.
-
-    The analysis id is derived from the command id (stable under replay);
-    requester defaults to ``system``; previous_status is the aggregate's
-    status in the current state (``idle`` for a new aggregate).
-    """
-    meta = F.from_json("metadata", "requester string")
-    c = commands.select("command_id", "aggregate_id", "timestamp",
-                        F.coalesce(meta.getField("requester"), F.lit(S.DEFAULT_REQUESTER))
-                        .alias("requester"))
-    j = c.join(state.select("aggregate_id", F.col("status").alias("previous_status")),
-               "aggregate_id", "left")
-    analysis_id = deterministic_id(F.lit("analysis"), F.col("command_id"))
-    return j.select(
-        deterministic_id(F.lit("event"), F.col("command_id")).alias("event_id"),
-        F.lit(S.ANALYSIS_REQUESTED).alias("event_type"),
-        "aggregate_id",
-        analysis_id.alias("analysis_id"),
-        "requester",
-        F.coalesce("previous_status", F.lit(S.STATUS_IDLE)).alias("previous_status"),
-        "timestamp")
-
-
 def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataFrame:
     """As-of join: every ``requests`` row (``aggregate_id``, ``timestamp``,
     ``seq`` and any other columns) gets ``previous_status``, the aggregate's
@@ -220,9 +205,12 @@ def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataF
             .select("_req.*", "previous_status"))
 
 
-def commands_to_events_asof(commands: DataFrame, log: DataFrame) -> DataFrame:
-    """C1 on replay: like ``commands_to_events`` but previous_status is the
-    aggregate's status when the command arrived (as-of join on the log)."""
+def commands_to_events(commands: DataFrame, log: DataFrame) -> DataFrame:
+    """RequestAnalysis commands -> AnalysisRequested events.
+
+    The analysis id is derived from the command id (stable under replay);
+    requester defaults to ``system``; previous_status is the aggregate's
+    status when the command arrived (as-of join on the log)."""
     c = status_asof(commands, log)
     meta = F.from_json("metadata", "requester string")
     return c.select(

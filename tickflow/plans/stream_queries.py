@@ -1,9 +1,8 @@
 """Registered streaming queries.
 
 Each runs a bounded stream (``availableNow``) over the driver's tables into a
-fresh folder under ``spark.checkpoint.dir`` and returns the sink read back.
-No SQL twin: the driver checks rows, and pytest checks each against its
-batch twin.
+fresh folder under ``spark.checkpoint.dir`` and returns the sink read back;
+those whose result equals a batch query's have its SQL twin.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from tickflow import schemas as S
 from tickflow.operators import messages as msg
 from tickflow.operators import ticks as tk
-from tickflow.plans.registry import register
+from tickflow.plans import event_queries, message_queries  # noqa: F401 - the batch twins
+from tickflow.plans.oracle import with_fixtures
+from tickflow.plans.registry import REGISTRY, register
 from tickflow.sources import fixtures as fx
 from tickflow.sources.tables import Tables
 from tickflow.streaming import live
@@ -23,14 +24,15 @@ def _events(spark, sf_dir, max_files=None):
     return live.table_stream(spark, sf_dir, "events", live.EVENTS_SCHEMA, max_files)
 
 
-@register("event_stream", ids=("T1", "S7", "T8"))
+@register("event_stream", ids=("T1", "S7", "T8"), sql=with_fixtures(
+    "SELECT *, CAST(timestamp AS DATE) AS event_date FROM event_log", "event_log"))
 def q_event_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "log"), live.scratch(spark, "log-ckpt")
     live.run_available(live.append_log(fx.event_log(_events(spark, sf_dir)), path, ckpt))
     return spark.read.parquet(path)
 
 
-@register("read_model_stream", ids=("T6", "T8"))
+@register("read_model_stream", ids=("T6", "T8"), sql=REGISTRY["read_model"].sql)
 def q_read_model_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "rm"), live.scratch(spark, "rm-ckpt")
     live.run_available(live.read_model_stream(fx.event_log(_events(spark, sf_dir)), path, ckpt))
@@ -55,7 +57,7 @@ def q_events_dedup_stream(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("last_price_stream", ids=("T3",))
+@register("last_price_stream", ids=("T3",), sql=REGISTRY["last_price"].sql)
 def q_last_price_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "last"), live.scratch(spark, "last-ckpt")
     live.run_available(live.last_price_stream(fx.events_as_ticks(_events(spark, sf_dir)),
@@ -79,14 +81,15 @@ def q_live_bars_stream(spark, sf_dir):
     return live.read_changelog(spark, out).select("symbol", "type", "value")
 
 
-@register("event_append", ids=("S7",))
+@register("event_append", ids=("S7",), sql=with_fixtures(
+    "SELECT *, CAST(timestamp AS DATE) AS event_date FROM event_log", "event_log"))
 def q_event_append(spark, sf_dir):
-    """Append the log to a date-partitioned table, then append it again as a
-    retry would: the anti join on event id keeps the table exact."""
+    """Append a batch that holds every event twice to a date-partitioned table,
+    then append it again as a retry would: the table holds each event once."""
     from tickflow.operators import events as evo
     path = live.scratch(spark, "event-append")
     log = fx.event_log(Tables(spark, sf_dir).events)
-    evo.append_events(log, path)
+    evo.append_events(log.union(log), path)
     evo.append_events(log, path)
     return spark.read.parquet(path)
 
@@ -101,7 +104,7 @@ def q_price_alerts_stream(spark, sf_dir):
     return spark.read.schema("topic string, key string, value string").json(path)
 
 
-@register("training_status_stream", ids=("T5",))
+@register("training_status_stream", ids=("T5",), sql=REGISTRY["training_status"].sql)
 def q_training_status_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "train"), live.scratch(spark, "train-ckpt")
     live.run_available(live.training_status_stream(fx.event_log(_events(spark, sf_dir)),
@@ -109,7 +112,7 @@ def q_training_status_stream(spark, sf_dir):
     return live.read_changelog(spark, path, "symbol")
 
 
-@register("last_1000_stream", ids=("T7",))
+@register("last_1000_stream", ids=("T7",), sql=REGISTRY["last_1000"].sql)
 def q_last_1000_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "ring"), live.scratch(spark, "ring-ckpt")
     live.run_available(live.ring_buffer_stream(fx.events_as_ticks(_events(spark, sf_dir)),

@@ -8,7 +8,6 @@ the operators rely on (UTC session time zone, adaptive execution on).
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -70,16 +69,16 @@ def build_session(master: str | None = None, app_name: str = "tickflow",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one when
-    the session has none and runs in local mode (tests).  On a cluster a
-    machine-local folder would be lost with its executor, so there we refuse.
+    A session without that setting is refused: a machine-local folder would
+    be lost with its executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -87,10 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
-        configured = tempfile.mkdtemp(prefix="tickflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -112,3 +108,9 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there; any other failure to look is the caller's error, never "no"."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)

@@ -17,18 +17,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``spark.read.parquet`` of an input table, listed and footer-read once
-    per session (inputs are read-only; the DataFrame itself stays lazy)."""
-    key = (id(spark._jsparkSession), table_path(sf_dir, name))
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(table_path(sf_dir, name))
-        _READS[key] = df
-    return df
+    """``spark.read.parquet`` of an input table, listed anew each time: files added meanwhile are seen."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 class Tables:

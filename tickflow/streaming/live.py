@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickflow.operators import readmodel as rmo
 from tickflow.operators import ticks as tk
-from tickflow.session import shared_path
+from tickflow.session import path_exists, shared_path
 from tickflow.sources.tables import read_table
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
@@ -71,11 +71,15 @@ def event_time(df: DataFrame, col: str = "ts", out: str = "event_time") -> DataF
 
 
 def run_available(writer, timeout: float | None = None) -> StreamingQuery:
-    """Process what is available now, then stop (bounded consumption)."""
+    """Process what is available now, then stop (bounded consumption).
+
+    A run that ``timeout`` (seconds) ends before its input is used up raises
+    ``TimeoutError``; its checkpoint lets the next run go on."""
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout)
     if q.isActive:
         q.stop()
+        raise TimeoutError(f"input left after {timeout} seconds")
     if q.exception() is not None:
         raise q.exception()
     return q
@@ -97,13 +101,12 @@ def append_log(log_stream: DataFrame, path: str, checkpoint: str):
 def _newest_version(spark: SparkSession, path: str, column: str, below: int | None = None):
     """Largest ``column=<n>`` partition under ``path`` (below ``below``; None
     when absent)."""
-    try:
-        versions = spark.read.parquet(path).select(column)
-        if below is not None:
-            versions = versions.filter(F.col(column) < below)
-        return versions.agg(F.max(column)).collect()[0][0]
-    except Exception:  # noqa: BLE001 - nothing written yet
+    if not path_exists(spark, path):  # nothing written yet; any failing read is an error
         return None
+    versions = spark.read.parquet(path).select(column)
+    if below is not None:
+        versions = versions.filter(F.col(column) < below)
+    return versions.agg(F.max(column)).collect()[0][0]
 
 
 def changelog_writer(path: str, key: str | None = None, compact_every: int | None = None):
@@ -243,12 +246,9 @@ def ring_buffer_writer(path: str, n: int):
         spark = batch.sparkSession
         cols = ["trade_id", "symbol", "ts", "price", "size"]
         merged = batch.select(*cols)
-        if batch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{path}/version={batch_id - 1}").select(*cols)
-                merged = merged.unionByName(prev)
-            except Exception:  # noqa: BLE001 - previous batch wrote nothing
-                pass
+        prev = f"{path}/version={batch_id - 1}"
+        if batch_id > 0 and path_exists(spark, prev):  # a read that fails fails the batch, and loses nothing
+            merged = merged.unionByName(spark.read.parquet(prev).select(*cols))
         tk.last_n(merged, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
     return write
 
