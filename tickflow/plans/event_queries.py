@@ -129,20 +129,6 @@ def q_uncommitted_events(spark, sf_dir):
     return out.select("event_id", "event_type", "aggregate_id", "timestamp", "seq")
 
 
-@register("commands_to_events", ids=("C1",), sql=with_fixtures("""
-    SELECT substr(sha256('event|' || c.command_id), 1, 32) AS event_id,
-           'AnalysisRequested' AS event_type, c.aggregate_id,
-           substr(sha256('analysis|' || c.command_id), 1, 32) AS analysis_id,
-           coalesce(json_extract_string(c.metadata, '$.requester'), 'system') AS requester,
-           coalesce(s.status, 'idle') AS previous_status, c.timestamp
-    FROM commands c LEFT JOIN state s ON c.aggregate_id = s.aggregate_id""",
-    "commands", "event_log", extra=[("state", STATE_SQL)]))
-def q_commands_to_events(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    state = evo.aggregate_state(fx.event_log(t.events))
-    return evo.commands_to_events(fx.commands(t.events), state)
-
-
 @register("processing_status", ids=("C4",), sql=with_fixtures(PROC_SQL, "step_log"))
 def q_processing_status(spark, sf_dir):
     return evo.processing_status(fx.step_log(log(spark, sf_dir)))
@@ -164,8 +150,7 @@ def q_system_status(spark, sf_dir):
 
 
 @register("processing_stats", ids=("A3",), sql=with_fixtures("""
-    SELECT status, count(*) AS symbols, CAST(sum(count(*)) OVER () AS BIGINT) AS total_processing
-    FROM proc GROUP BY status""", "step_log", extra=[("proc", PROC_SQL)]))
+    SELECT *, (SELECT count(*) FROM proc) AS total_processing FROM proc""", "step_log", extra=[("proc", PROC_SQL)]))
 def q_processing_stats(spark, sf_dir):
     return rmo.processing_stats(evo.processing_status(fx.step_log(log(spark, sf_dir))))
 
@@ -233,7 +218,7 @@ def q_workflow_debug_view(spark, sf_dir):
     return rmo.workflow_debug_view_from_log(evo.processing_status(fx.step_log(lg)), lg)
 
 
-@register("commands_to_events_asof", ids=("C1",), sql=with_fixtures(f"""
+_COMMANDS_SQL = with_fixtures(f"""
     SELECT substr(sha256('event|' || c.command_id), 1, 32) AS event_id,
            'AnalysisRequested' AS event_type, c.aggregate_id,
            substr(sha256('analysis|' || c.command_id), 1, 32) AS analysis_id,
@@ -245,7 +230,11 @@ def q_workflow_debug_view(spark, sf_dir):
                                  ELSE 'completed' END AS status
           FROM event_log WHERE event_type IN ('{RQ}', '{ST}', '{CO}')) e
       ON c.aggregate_id = e.aggregate_id AND c.timestamp >= e.timestamp""",
-    "commands", "event_log"))
-def q_commands_to_events_asof(spark, sf_dir):
+    "commands", "event_log")
+
+
+@register("commands_to_events_asof", ids=("C1",), sql=_COMMANDS_SQL)
+@register("commands_to_events", ids=("C1",), sql=_COMMANDS_SQL)
+def q_commands_to_events(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return evo.commands_to_events_asof(fx.commands(t.events), fx.event_log(t.events))
+    return evo.commands_to_events(fx.commands(t.events), fx.event_log(t.events))

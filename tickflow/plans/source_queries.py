@@ -13,7 +13,6 @@ from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import register, rounded
 from tickflow.sources import fixtures as fx
 from tickflow.sources import history as hist
-from tickflow.session import materialize
 from tickflow.sources.tables import Tables
 
 NO_DATA_SYMBOL = "3-MEDIUM"
@@ -39,16 +38,22 @@ def q_daily_bars_clean(spark, sf_dir):
     return rounded(hist.clean_daily_history(src))
 
 
+#: The moment at which all sources are read ("now" of the request).
+FALLBACK_ASOF = "2001-08-02"
+
+
 def _fallback_candidates(orders):
-    # each source is read by several branches (window cut, counts, choice)
-    b = materialize(fx.daily_bars(orders))
-    pending = materialize(fx.daily_bars(orders.filter(F.col("o_orderstatus") == "P")))
-    return [(hist.last_n_days(pending, 365), S.MIN_ROWS),
-            (hist.last_n_days(b, 730), 1),
-            (hist.last_n_days(b, 365), 1)]
+    """Three sources cut at the same moment.  The first (orders still open) lacks one symbol and is too short for
+    others; no source has the last symbol."""
+    served = orders.filter(F.col("o_orderpriority") != "5-LOW")
+    open_ = served.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") != "2-HIGH"))
+    every = fx.daily_bars(served)
+    return [(hist.last_n_days(fx.daily_bars(open_), 730, FALLBACK_ASOF), S.MIN_ROWS),
+            (hist.last_n_days(every, 730, FALLBACK_ASOF), 1),
+            (hist.last_n_days(every, 365, FALLBACK_ASOF), 1)]
 
 
-_FALLBACK_SQL = with_fixtures("""
+_FALLBACK_SQL = with_fixtures(f"""
     SELECT c.symbol, c.ts, c.open, c.high, c.low, c.close, c.volume,
            c.priority AS source_priority
     FROM cand c JOIN (SELECT symbol, min(priority) AS priority
@@ -61,16 +66,16 @@ _FALLBACK_SQL = with_fixtures("""
                arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
                min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close,
                count(*) AS volume
-        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2"""),
-    ("cand", """
-        SELECT p.*, 0 AS priority, 100 AS m FROM pbars p
-          WHERE ts >= (SELECT max(ts) FROM pbars q WHERE q.symbol = p.symbol) - INTERVAL 365 DAY
+        FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority NOT IN ('2-HIGH', '5-LOW') GROUP BY 1, 2"""),
+    ("cand", f"""
+        SELECT p.*, 0 AS priority, {S.MIN_ROWS} AS m FROM pbars p
+          WHERE ts >= TIMESTAMP '{FALLBACK_ASOF}' - INTERVAL 730 DAY
         UNION ALL
         SELECT b.*, 1, 1 FROM bars b
-          WHERE ts >= (SELECT max(ts) FROM bars q WHERE q.symbol = b.symbol) - INTERVAL 730 DAY
+          WHERE symbol <> '5-LOW' AND ts >= TIMESTAMP '{FALLBACK_ASOF}' - INTERVAL 730 DAY
         UNION ALL
         SELECT b.*, 2, 1 FROM bars b
-          WHERE ts >= (SELECT max(ts) FROM bars q WHERE q.symbol = b.symbol) - INTERVAL 365 DAY""")])
+          WHERE symbol <> '5-LOW' AND ts >= TIMESTAMP '{FALLBACK_ASOF}' - INTERVAL 365 DAY""")])
 
 
 @register("source_fallback", ids=("S3", "P7"), sql=_FALLBACK_SQL)
