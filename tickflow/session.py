@@ -8,6 +8,8 @@ the operators rely on (UTC session time zone, adaptive execution on).
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -91,6 +93,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def own_folder_if_local(spark: SparkSession) -> None:
+    """For entry code: name a folder of our own where none is set and one process is the whole cluster."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickflow-ckpt-"))
+
+
 def materialize(df):
     """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
     shared ``spark.checkpoint.dir`` (never a local one).
