@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.session import shared_path
+from tickflow.session import own_folder_if_local, shared_path
 
 
 #: Bytes of an Arrow batch on its way to Python: long texts make short batches.
@@ -18,6 +18,7 @@ ARROW_BYTES = 4 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, and put this checkout on the Python workers' path where it is not yet."""
+    own_folder_if_local(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
