@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.features import word_hashes
 from tickflow.llm.frames import components, outputs_last, written
-from tickflow.llm.text import U64, mixed, shingle_hashes, sliced, texts_of, words_of
+from tickflow.llm.text import U64, give_back, mixed, shingle_hashes, sliced, texts_of, words_of
 
 #: Words in a shingle; percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
+#: Text bytes of one unit of work: its words and shingles take many times that.
+BLOCK_BYTES = 4 << 20
 #: Shingles counted at once in a task, on the way to the frequent ones.
 COUNT_BLOCK = 4 << 20
 #: A shingle this frequent goes to the end of the order; so many of them at most (8 MB), the most frequent.
@@ -107,7 +109,7 @@ def _sizes_and_counts(width: int):
             null = pa.nulls(len(value), pa.int64())
             return pa.RecordBatch.from_arrays([null, null, pa.array(value), pa.array(times.astype(np.int64))], names=names)
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BLOCK_BYTES):
             t, rows, sizes = batch.column("t"), [], []
             for i, own in _sets(batch, seen, width):
                 rows.append(i)
@@ -119,6 +121,7 @@ def _sizes_and_counts(width: int):
             if held >= COUNT_BLOCK:
                 yield counted()
                 held_sets, held = [], 0
+            give_back()
         if held_sets:
             yield counted()
     return run
@@ -127,7 +130,7 @@ def _sizes_and_counts(width: int):
 def _prefix_rows(frequent, width: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BLOCK_BYTES):
             t, shingle, size = batch.column("t").to_numpy(), [], []
             rows = []
             for i, own in _sets(batch, seen, width):
@@ -140,6 +143,8 @@ def _prefix_rows(frequent, width: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(shingle).view(np.int64)), pa.array(np.repeat(t[rows], lengths)),
                  pa.array(np.repeat(np.asarray(size, np.int32), lengths))], names=["shingle", "t", "n"])
+            del shingle
+            give_back()
     return run
 
 
@@ -169,8 +174,17 @@ def least_common(n: str, m: str, percent: int) -> Column:
     common shingles that are not in both prefixes lie behind its prefix.
     """
     rest = lambda c: f"((99L + {percent} * {c}) div 100 - 1)"
-    need = f"((99L + {percent} + {percent}L * ({n} + {m})) div {100 + percent})"
-    return F.expr(f"greatest(1L, {need} - greatest({rest(n)}, {rest(m)}))")
+    return F.expr(f"greatest(1L, {_need(n, m, percent)} - greatest({rest(n)}, {rest(m)}))")
+
+
+def _need(n: str, m: str, percent: int) -> str:
+    """SQL of the overlap that two sets of n and m need."""
+    return f"((99L + {percent} + {percent}L * ({n} + {m})) div {100 + percent})"
+
+
+def most_common(n: str, shared: str, percent: int) -> str:
+    """SQL of the largest overlap of a set of n, if ``shared`` shingles of its prefix occur in texts it may be linked with."""
+    return f"((99L + {percent} * {n}) div 100 - 1 + {shared})"
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -227,9 +241,13 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
               .select("shingle", "t", "n", F.coalesce("root", "t").alias("root")).distinct())
     mixed_columns = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     placed = written(placed.join(mixed_columns.select("shingle"), "shingle"), "jaccard")
-    a, b = (placed.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root")]) for side in "ab")
+    # a text's shingles that no other component has cannot be common: what is left bounds its overlaps
+    most = placed.groupBy("t").agg(F.expr(most_common("any_value(n)", "count(*)", percent)).cast("int").alias("most"))
+    placed = written(placed.join(most, "t"), "jaccard")
+    a, b = (placed.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root", "most")]) for side in "ab")
     apart = (a.join(b, "shingle").where("t_a < t_b and root_a <> root_b")
              .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
+             .where(f"least(most_a, most_b) >= {_need('n_a', 'n_b', percent)}")
              .groupBy(F.col("t_a").alias("a"), F.col("t_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"))
              .where(F.col("common") >= least_common("n_a", "n_b", percent)).select("a", "b"))
     known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
