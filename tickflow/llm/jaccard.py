@@ -200,6 +200,35 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tu
     return pairs, written(both.mapInArrow(_linked(width, percent), "a long, b long"), "jaccard")
 
 
+def _apart(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of texts of two components that share as many prefix shingles as their sizes ask for.
+
+    ``placed`` has distinct rows (shingle, t, n, root).  Columns of one
+    component cannot be common to such a pair: a text's row keeps the others,
+    rare ones first, and its length bounds the text's overlaps.  Two lists
+    with k common members share one of all but the last k - 1 members of
+    both; where they do, the lists are compared.
+    """
+    several = (placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts"))
+               .where("low < high").select("shingle", "texts"))
+    lists = (placed.join(several, "shingle").groupBy("t", "n", "root")
+             .agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("own"))  # one text's shingles at most
+             .select("t", "n", "root", F.col("own.shingle").alias("own")))
+    lists = written(lists.withColumn("most", F.expr(most_common("n", "size(own)", percent))), "jaccard")
+    rows = lists.select("t", "n", "root", "most", F.size("own").alias("size"), F.posexplode("own").alias("at", "shingle"))
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root", "most", "size", "at")])
+            for side in "ab")
+    least = least_common("n_a", "n_b", percent)
+    pairs = (a.join(b, "shingle").where("t_a < t_b and root_a <> root_b")
+             .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
+             .where(f"least(most_a, most_b) >= {_need('n_a', 'n_b', percent)}")
+             .where(F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) >= least)
+             .select(F.col("t_a").alias("a"), F.col("t_b").alias("b"), least.alias("least")).distinct())
+    own_a, own_b = (lists.select(F.col("t").alias(side), F.col("own").alias(f"own_{side}")) for side in "ab")
+    return (pairs.join(own_a, "a").join(own_b, "b")
+            .where(F.size(F.array_intersect("own_a", "own_b")) >= F.col("least")).select("a", "b"))
+
+
 def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE,
                               percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` plus n_shingles (size of its set) and component_id (smallest key reachable by links).
@@ -239,17 +268,7 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
     roots = written(components(links, spark), "jaccard")
     placed = (product.join(roots.withColumnRenamed("node", "t"), "t", "left")
               .select("shingle", "t", "n", F.coalesce("root", "t").alias("root")).distinct())
-    mixed_columns = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    placed = written(placed.join(mixed_columns.select("shingle"), "shingle"), "jaccard")
-    # a text's shingles that no other component has cannot be common: what is left bounds its overlaps
-    most = placed.groupBy("t").agg(F.expr(most_common("any_value(n)", "count(*)", percent)).cast("int").alias("most"))
-    placed = written(placed.join(most, "t"), "jaccard")
-    a, b = (placed.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root", "most")]) for side in "ab")
-    apart = (a.join(b, "shingle").where("t_a < t_b and root_a <> root_b")
-             .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-             .where(f"least(most_a, most_b) >= {_need('n_a', 'n_b', percent)}")
-             .groupBy(F.col("t_a").alias("a"), F.col("t_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"))
-             .where(F.col("common") >= least_common("n_a", "n_b", percent)).select("a", "b"))
+    apart = _apart(placed, percent)
     known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     _, more = _checked(apart.join(known, ["a", "b"], "left_anti"), texts, width, percent)
     if not more.isEmpty():
