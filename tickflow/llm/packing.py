@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tickflow.llm import vocab
 from tickflow.llm.bpe import pretokens
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import ragged_take, sliced, texts_of
+from tickflow.llm.text import give_back, ragged_take, sliced, texts_of
 
 #: Text bytes tokenized at once.
 BLOCK_BYTES = 8 << 20
@@ -117,6 +117,7 @@ def _pack(ranks, size: int, end_id: int, block_bytes: int):
         first = next(batches := iter(batches), None)
         if first is None:
             return
+        give_back()  # what the stage before left in this worker
         kind = first.schema.field("row").type
 
         def flush():
@@ -137,14 +138,18 @@ def _pack(ranks, size: int, end_id: int, block_bytes: int):
             codes, offsets, words = pretokens(texts_of(batch, "text"))
             parts = [encode(w) for w in words]  # each distinct pre-token of the block once
             cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(parts), np.int64, cut[-1])
+            flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, cut[-1])
+            del parts, words
             ids, ends = ragged_take(cut, flat, codes)
             ends = ends[offsets].tolist()
+            del codes, offsets
             for i, row in enumerate(batch.column("row").to_pylist()):
                 own = np.append(ids[ends[i]:ends[i + 1]], end_id).astype(np.uint32)
                 emit(packer.add((row, len(own)), own))
                 if len(rows) >= 4096:
                     yield flush()
+            del ids
+            give_back()
         emit(packer.close())
         if rows:
             yield flush()
