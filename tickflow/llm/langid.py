@@ -13,6 +13,7 @@ whole text is scored, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from tickflow.llm.features import linear_svm, ngram_features, platt, sigmoid, word_sums
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import sliced, sums, texts_of, words_of
+from tickflow.llm.text import give_back, sliced, sums, texts_of, words_of
 
 #: Language families; a language of none of them is a family of its own.
 FAMILIES = {
@@ -145,13 +146,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         for batch in sliced(batches, "text", 1 << 20):
             rows = profiles(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("h"), pa.array([r.tobytes() for r in rows], pa.binary())],
+                [batch.column("lang"), batch.column("h"), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())],
                 names=["lang", "h", "x"])
 
     few = (usable.where(F.pmod("h", F.lit(1 << 40)) < share).orderBy("h").limit(2 * quota * len(counts))
            .mapInArrow(run, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"], kind="stable"))
-    x = np.stack([np.frombuffer(b, np.float32) for b in few["x"]])
-    return fit(x, few["lang"].to_numpy(object).astype(str))
+    x = np.stack([np.frombuffer(zlib.decompress(b), np.float32) for b in few["x"]])
+    names = few["lang"].to_numpy(object).astype(str)
+    del few
+    model = fit(x, names)
+    del x
+    give_back()  # the driver goes on with other steps
+    return model
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ chosen by a hash of their id.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from tickflow.llm.features import bucket, logistic, ngram_features, platt, sigmoid, word_hashes, word_sums
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import U64, sliced, sums, texts_of, words_of
+from tickflow.llm.text import U64, give_back, sliced, sums, texts_of, words_of
 
 #: Labelled texts in the training sample at most (twice that if hashes fall badly).
 SAMPLE = 2000
@@ -156,13 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in sliced(batches, "text", 1 << 20):
             x = profiles(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "y", "x"])
+                [batch.column("h"), batch.column("y"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], names=["h", "y", "x"])
 
     few = rows.mapInArrow(run, "h long, y int, x binary").orderBy("h", "y").limit(2 * sample).toPandas()
     y = few["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None, 1.0, 0.0
-    return fit(np.stack([np.frombuffer(b, np.float32) for b in few["x"]]), y)
+    x = np.stack([np.frombuffer(zlib.decompress(b), np.float32) for b in few["x"]])
+    del few
+    model = fit(x, y)
+    del x
+    give_back()  # the driver goes on with other steps
+    return model
 
 
 def judge(docs: DataFrame, model: tuple, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
