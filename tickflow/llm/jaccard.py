@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.features import word_hashes
 from tickflow.llm.frames import components, outputs_last, written
-from tickflow.llm.text import U64, give_back, mixed, shingle_hashes, sliced, texts_of, words_of
+from tickflow.llm.text import U64, give_back, mixed, shingle_hashes, sliced, texts_of, tidy, words_of
 
 #: Words in a shingle; percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
@@ -197,7 +197,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tu
     left = found.select(F.col("t").alias("a"), F.col("text").alias("left"))
     right = found.select(F.col("t").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return pairs, written(both.mapInArrow(_linked(width, percent), "a long, b long"), "jaccard")
+    return pairs, written(both.mapInArrow(tidy(_linked(width, percent)), "a long, b long"), "jaccard")
 
 
 def _apart(placed: DataFrame, percent: int) -> DataFrame:
@@ -245,11 +245,11 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
                          F.col(text).cast("string").alias("text"))
     source = source.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = source.where("text is not null").select("t", "text")
-    base = written(texts.mapInArrow(_sizes_and_counts(width), "t long, n long, shingle long, times long"), "jaccard")
+    base = written(texts.mapInArrow(tidy(_sizes_and_counts(width)), "t long, n long, shingle long, times long"), "jaccard")
     often = (base.where("t is null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= frequent)
              .orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).select("shingle").toPandas()["shingle"])
     shared = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(U64)))  # MOST_FREQUENT hashes at most
-    columns = texts.mapInArrow(_prefix_rows(shared, width, percent), "shingle long, t long, n int")
+    columns = texts.mapInArrow(tidy(_prefix_rows(shared, width, percent)), "shingle long, t long, n int")
     shared_columns = columns.groupBy("shingle").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("texts"))
     product = written(columns.join(shared_columns.where("low < high").select("shingle", "texts"), "shingle"), "jaccard")
     # a column's pivot is its most central text: a text that shares more of its shingles, with more texts, is nearer to

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tickflow.llm.features import linear_svm, ngram_features, platt, sigmoid, word_sums
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import give_back, sliced, sums, texts_of, words_of
+from tickflow.llm.text import give_back, sliced, sums, texts_of, tidy, words_of
 
 #: Language families; a language of none of them is a family of its own.
 FAMILIES = {
@@ -42,7 +42,7 @@ SIZES, BITS = range(1, 5), 12
 SCALE = 30.0
 UNKNOWN = "und"
 #: Text bytes scored at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def family_of(language: str) -> str:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 names=["lang", "h", "x"])
 
     few = (usable.where(F.pmod("h", F.lit(1 << 40)) < share).orderBy("h").limit(2 * quota * len(counts))
-           .mapInArrow(run, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"], kind="stable"))
+           .mapInArrow(tidy(run), "lang string, h long, x binary").toPandas().sort_values(["lang", "h"], kind="stable"))
     x = np.stack([np.frombuffer(zlib.decompress(b), np.float32) for b in few["x"]])
     names = few["lang"].to_numpy(object).astype(str)
     del few
@@ -175,9 +175,11 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             names, scores = predict(texts_of(batch, "text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores)],
                                              names=["row", "lang_pred", "score"])
+            del batch, names, scores
+            give_back()
 
     schema = T.StructType([source.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return outputs_last(source.mapInArrow(run, schema), "row", lang_pred="lang_pred", score="score")
+    return outputs_last(source.mapInArrow(tidy(run), schema), "row", lang_pred="lang_pred", score="score")
 
 
 def accepted(least: float = 0.5) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tickflow.llm import vocab
 from tickflow.llm.bpe import pretokens
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import give_back, ragged_take, sliced, texts_of
+from tickflow.llm.text import give_back, ragged_take, sliced, texts_of, tidy
 
 #: Text bytes tokenized at once.
 BLOCK_BYTES = 8 << 20
@@ -117,7 +117,6 @@ def _pack(ranks, size: int, end_id: int, block_bytes: int):
         first = next(batches := iter(batches), None)
         if first is None:
             return
-        give_back()  # what the stage before left in this worker
         kind = first.schema.field("row").type
 
         def flush():
@@ -176,7 +175,7 @@ def pack(docs: DataFrame, vocab_path: str, text: str = "text", size: int = 2048,
     schema = T.StructType([source.schema["row"], *[T.StructField(n, T.LongType()) for n in ("start", "length")],
                            T.StructField("ids", T.BinaryType()),
                            *[T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset")]])
-    pieces = source.mapInArrow(_pack(ranks, size, end_id, block_bytes), schema)
+    pieces = source.mapInArrow(tidy(_pack(ranks, size, end_id, block_bytes)), schema)
     out = outputs_last(pieces, "row", **{n: n for n in schema.names[1:]})
     return out if others else out.drop("_")
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tickflow.llm.features import bucket, logistic, ngram_features, platt, sigmoid, word_hashes, word_sums
 from tickflow.llm.frames import outputs_last
-from tickflow.llm.text import U64, give_back, sliced, sums, texts_of, words_of
+from tickflow.llm.text import U64, give_back, sliced, sums, texts_of, tidy, words_of
 
 #: Labelled texts in the training sample at most (twice that if hashes fall badly).
 SAMPLE = 2000
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             yield pa.RecordBatch.from_arrays(
                 [batch.column("h"), batch.column("y"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], names=["h", "y", "x"])
 
-    few = rows.mapInArrow(run, "h long, y int, x binary").orderBy("h", "y").limit(2 * sample).toPandas()
+    few = rows.mapInArrow(tidy(run), "h long, y int, x binary").orderBy("h", "y").limit(2 * sample).toPandas()
     y = few["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None, 1.0, 0.0
@@ -188,10 +188,12 @@ def judge(docs: DataFrame, model: tuple, text: str = "text", keep_at: float = KE
             out = measure(texts_of(batch, "text"), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(out[c]) for c in [*counts, "quality"]]],
                                              names=["row", *counts, "quality"])
+            del batch, out
+            give_back()
 
     schema = T.StructType([source.schema["row"], *[T.StructField(c, T.LongType()) for c in counts],
                            T.StructField("quality", T.DoubleType())])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    scored = source.mapInArrow(run, schema).withColumn("base_failed", failed)
+    scored = source.mapInArrow(tidy(run), schema).withColumn("base_failed", failed)
     return outputs_last(scored, "row", **{c: c for c in [*counts, "base_failed", "quality"]},
                         kept=~F.col("base_failed") & (F.col("quality") >= keep_at))

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow.llm.frames import outputs_last, written
-from tickflow.llm.suffixes import BLOCK, GRAM, Hashes, anchors
-from tickflow.llm.text import U64, mixed
+from tickflow.llm.suffixes import BLOCK, GRAM, Hashes, anchors, forget_powers
+from tickflow.llm.text import U64, mixed, tidy
 
 #: Bytes of a window.
 WIDTH = 200
@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
     source = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
     source = source.withColumn("t", F.xxhash64("text")).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
     found = (source.where(F.col("n") >= width).select("t", "n", "text")
-             .mapInArrow(_anchor_rows(width, block), "digit long, region long, t long, n int, place long"))
+             .mapInArrow(tidy(_anchor_rows(width, block), forget_powers), "digit long, region long, t long, n int, place long"))
     shared = found.groupBy("digit").agg(F.count("*").alias("count")).where("count > 1")
     equal = written(found.join(shared, "digit"), "substrings")
     regions = equal.groupBy("digit", "region").agg(
@@ -221,10 +221,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
                      F.struct("digit", "region", "count", (F.col("times") == 1).alias("alone"), F.col("one.place").alias("place")).alias("a"))
              .groupBy("t", "n").agg(F.collect_list("a").alias("open")))  # anchors of one text, at most one per byte
     third = source.join(open_, ["t", "n"]).mapInArrow(
-        _open_rows(width, group), "digit long, region long, alone boolean, t long, n int, place long, raw binary, w1 long, w2 long")
+        tidy(_open_rows(width, group), forget_powers), "digit long, region long, alone boolean, t long, n int, place long, raw binary, w1 long, w2 long")
     third = written(third, "substrings")
     small = (third.where("raw is not null").repartition("digit").sortWithinPartitions("digit", "region")
-             .mapInArrow(_equal_windows(width), "t long, n int, place long"))
+             .mapInArrow(tidy(_equal_windows(width), forget_powers), "t long, n int, place long"))
     large = third.where("raw is null").select("w1", "w2", "region", "alone", "t", "n", "place")
     twice = large.groupBy("w1", "w2").agg(F.min("region").alias("a"), F.max("region").alias("b")).where("a < b")
     singles = large.where("alone").join(twice.select("w1", "w2"), ["w1", "w2"]).select("t", "n", "place").distinct()
@@ -232,4 +232,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
     schema = T.StructType([source.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(
         T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
     joined = source.join(places, ["t", "n"], "left").select("row", "text", "places")
-    return outputs_last(joined.mapInArrow(_remove(width), schema), "row", kept="kept", spans="spans")
+    return outputs_last(joined.mapInArrow(tidy(_remove(width)), schema), "row", kept="kept", spans="spans")

@@ -23,7 +23,7 @@ _POWERS: dict = {}
 
 
 def _powers(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the k-th multiplier and of its inverse, kept between blocks."""
+    """Powers of the k-th multiplier and of its inverse, kept between the blocks of a task."""
     have = _POWERS.get(k)
     if have is None or len(have[0]) < n:
         size = max(n, BLOCK + 4096)
@@ -32,6 +32,11 @@ def _powers(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget_powers() -> None:
+    """Drop them (some 60 MB); the next task that needs them makes them anew."""
+    _POWERS.clear()
+
+
 class Hashes:
     """Hashes of any substring of a block of bytes, from running sums."""
 

@@ -55,6 +55,22 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run, forget=None):
+    """``run`` for mapInArrow; its worker, which goes on to other stages, keeps nothing of the stage before or of this one.
+
+    ``forget`` empties what the module of ``run`` keeps between blocks.
+    """
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+    return tidied
+
+
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One record batch with the rows of all."""
     if len(batches) == 1:
