@@ -11,9 +11,11 @@ pass are exactly the repeated windows.  The passes are shuffles:
    for.  Anchors with equal regions are equal in all their windows.
 3. Third digit, for anchors whose first digit is shared by different regions
    (the edges of copies): their single windows.  Groups of at most ``GROUP``
-   anchors are sorted within a task; those of larger groups are exploded into
-   one row per window and counted by the cluster, so no group is ever
-   gathered.  Both ways give the same windows.
+   anchors are sorted within a task.  Larger groups take two more passes, so
+   none is ever gathered: the windows of an anchor in runs of ``STEP``, first
+   digit the bytes common to a run's windows, second digit all bytes of the
+   run; only runs with equal first and different second digits are exploded
+   into one row per window.  Both ways give the same windows.
 
 Counts are aggregated before they are shuffled, and members get them by plain
 joins, which adaptive execution splits where a digit is hot.  Texts are
@@ -39,6 +41,8 @@ from tickflow.llm.text import U64, mixed, tidy
 WIDTH = 200
 #: Anchors with the same first digit that are sorted in one task.
 GROUP = 256
+#: Windows of a run, in groups of more anchors.
+STEP = 12
 
 
 def _pieces(batch: pa.RecordBatch, width: int, block: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -85,30 +89,61 @@ def _anchor_rows(width: int, block: int):
     return run
 
 
+def _runs(raw: bytes, digit: int, more: int, shift: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(digit, region, first and further windows, bytes) of an anchor's runs of at most STEP windows.
+
+    Runs are cut by the anchor's place in the window, so equal windows lie in
+    runs of the same name; a run at the end of the region may be shorter.
+    """
+    h = Hashes(np.frombuffer(raw, np.uint8))
+    b = np.arange((shift - more) // STEP, shift // STEP + 1)
+    low, high = np.maximum(b * STEP, shift - more), np.minimum(b * STEP + STEP - 1, shift)
+    core = shift - b * STEP  # where the last window of a whole run begins
+    digits = mixed(mixed(h.of(core, core + width - STEP + 1) + U64(digit & (1 << 64) - 1)) + b.astype(U64))
+    regions = mixed(h.of(shift - high, shift - low + width) + (low * 512 + high).astype(U64))
+    for d, r, i, j in zip(digits.view(np.int64).tolist(), regions.view(np.int64).tolist(), (shift - high).tolist(), (shift - low).tolist()):
+        yield d, r, i, j - i, raw[i:j + width]
+
+
 def _open_rows(width: int, group: int):
-    """Texts with their open anchors to (digit, region, t, n, place, raw, w1, w2): bytes of small groups, windows of large."""
+    """Texts with their open anchors to (digit, region, alone, t, n, place, raw, run): whole in small groups, runs of large."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digit", "region", "alone", "t", "n", "place", "raw", "w1", "w2"]
+        names = ["digit", "region", "alone", "t", "n", "place", "raw", "run"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
         for batch in batches:
-            small: list[tuple] = []
-            large: list[tuple] = []
+            out: list[tuple] = []
             for t, n, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("t", "n", "text", "open"))):
                 text = text.encode()
                 for a in open_:
-                    start, more = a["place"] >> 16, (a["place"] >> 8) & 255
+                    start, more, shift = a["place"] >> 16, (a["place"] >> 8) & 255, a["place"] & 255
                     raw = text[start:start + more + width]
                     if a["count"] <= group:
-                        small.append((a["digit"], a["region"], a["alone"], t, n, a["place"], raw, None, None))
+                        out.append((a["digit"], a["region"], a["alone"], t, n, a["place"], raw, False))
                     else:
-                        h = Hashes(np.frombuffer(raw, np.uint8))
-                        i = np.arange(more + 1)
-                        for k, (w1, w2) in enumerate(zip(*(h.of(i, i + width, x).view(np.int64).tolist() for x in (0, 1)))):
-                            large.append((a["digit"], a["region"], a["alone"], t, n, (start + k) << 16, None, w1, w2))
-            for out in (small, large):
-                for at in range(0, len(out), 1 << 14):
-                    columns = list(zip(*out[at:at + (1 << 14)]))
-                    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=names)
+                        out += [(digit, region, a["alone"], t, n, ((start + first) << 16) | (further << 8), part, True)
+                                for digit, region, first, further, part in _runs(raw, a["digit"], more, shift, width)]
+            for at in range(0, len(out), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at:at + (1 << 14)]), types)], names=names)
+    return run
+
+
+def _windows(width: int):
+    """Runs (region, alone, t, n, place, raw) to one row for each of their windows."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                raw, place = part.column("raw").to_pylist(), part.column("place").to_numpy()
+                count = ((place >> 8) & 255) + 1
+                owner = np.repeat(np.arange(len(raw)), count)
+                k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])[owner] + k
+                h = Hashes(np.frombuffer(b"".join(raw), np.uint8))
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(h.of(begin, begin + width, x).view(np.int64)) for x in (0, 1)),
+                     *(part.column(c).take(rows) for c in ("region", "alone", "t", "n")), pa.array(((place >> 16)[owner] + k) << 16)],
+                    names=["w1", "w2", "region", "alone", "t", "n", "place"])
     return run
 
 
@@ -221,14 +256,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
                      F.struct("digit", "region", "count", (F.col("times") == 1).alias("alone"), F.col("one.place").alias("place")).alias("a"))
              .groupBy("t", "n").agg(F.collect_list("a").alias("open")))  # anchors of one text, at most one per byte
     third = source.join(open_, ["t", "n"]).mapInArrow(
-        tidy(_open_rows(width, group), forget_powers), "digit long, region long, alone boolean, t long, n int, place long, raw binary, w1 long, w2 long")
+        tidy(_open_rows(width, group), forget_powers),
+        "digit long, region long, alone boolean, t long, n int, place long, raw binary, run boolean")
     third = written(third, "substrings")
-    small = (third.where("raw is not null").repartition("digit").sortWithinPartitions("digit", "region")
+    small = (third.where("not run").drop("run").repartition("digit").sortWithinPartitions("digit", "region")
              .mapInArrow(tidy(_equal_windows(width), forget_powers), "t long, n int, place long"))
-    large = third.where("raw is null").select("w1", "w2", "region", "alone", "t", "n", "place")
+    runs = third.where("run").drop("run")
+    classes = written(runs.groupBy("digit", "region").agg(
+        F.count("*").alias("times"), F.min(F.struct("alone", "t", "n", "place", "raw")).alias("one")), "substrings")
+    equal_runs = (runs.where("alone").join(classes.where("times > 1").select("digit", "region"), ["digit", "region"])
+                  .select("t", "n", "place"))
+    mixed_digits = classes.groupBy("digit").agg(F.count("*").alias("classes")).where("classes > 1").select("digit")
+    single = (classes.join(mixed_digits, "digit")
+              .select("region", (F.col("one.alone") & (F.col("times") == 1)).alias("alone"), "one.t", "one.n", "one.place", "one.raw"))
+    large = written(single.mapInArrow(tidy(_windows(width), forget_powers),
+                                      "w1 long, w2 long, region long, alone boolean, t long, n int, place long"), "substrings")
     twice = large.groupBy("w1", "w2").agg(F.min("region").alias("a"), F.max("region").alias("b")).where("a < b")
     singles = large.where("alone").join(twice.select("w1", "w2"), ["w1", "w2"]).select("t", "n", "place").distinct()
-    places = (whole.union(small).union(singles).groupBy("t", "n").agg(F.collect_list("place").alias("places")))
+    places = (whole.union(small).union(equal_runs).union(singles).groupBy("t", "n").agg(F.collect_list("place").alias("places")))
     schema = T.StructType([source.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(
         T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
     joined = source.join(places, ["t", "n"], "left").select("row", "text", "places")
