@@ -248,6 +248,40 @@ def test_jaccard_near_the_threshold(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_components(table).collect()} == dict(enumerate(root))
 
 
+def test_jaccard_of_contained_texts(spark):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(40):  # a text of 100 shingles, passages of 80 to 88 of them, and edited copies
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(104)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            m = rng.randint(80, 88)
+            at = rng.randint(0, 100 - m)
+            texts.append(" ".join(base[at:at + m + 4]))
+        for _ in range(4):
+            own = list(base)
+            for i in rng.sample(range(104), rng.randint(2, 3)):
+                own[i] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    _, root = linked_components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_components(table).collect()} == dict(enumerate(root))
+
+
+def test_jaccard_lists_of_unequal_sizes(spark):
+    rng = random.Random(22)
+    rows, wanted = [], set()
+    length = lambda n: n - -(-80 * n // 100) + 1
+    for k in range(200):  # pairs that reach the threshold, as prefix rows of two components
+        x = rng.sample(range(1000 * k, 1000 * k + 1000), 100)
+        y = rng.sample(x, 80 + k % 9)
+        for t, own in ((2 * k, x), (2 * k + 1, y)):
+            rows += [(s, t, len(own), t) for s in sorted(own)[:length(len(own))]]
+        wanted.add((2 * k, 2 * k + 1))
+    placed = spark.createDataFrame(rows, "shingle long, t long, n int, root long")
+    assert {(r["a"], r["b"]) for r in jaccard._apart(placed, 80).collect()} == wanted
+
+
 def test_least_common_never_drops_a_linked_pair(spark):
     rows = [(n, m) for n in range(1, 60) for m in range(n, 60) if 100 * n >= 80 * m]
     out = spark.createDataFrame(rows, "n long, m long").withColumn("c", jaccard.least_common("n", "m", 80)).collect()

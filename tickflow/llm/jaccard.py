@@ -182,11 +182,6 @@ def _need(n: str, m: str, percent: int) -> str:
     return f"((99L + {percent} + {percent}L * ({n} + {m})) div {100 + percent})"
 
 
-def most_common(n: str, shared: str, percent: int) -> str:
-    """SQL of the largest overlap of a set of n, if ``shared`` shingles of its prefix occur in texts it may be linked with."""
-    return f"((99L + {percent} * {n}) div 100 - 1 + {shared})"
-
-
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b), and those of them that are linked, by the whole texts (t, text)."""
     pairs = written(pairs, "jaccard")
@@ -214,14 +209,13 @@ def _apart(placed: DataFrame, percent: int) -> DataFrame:
     lists = (placed.join(several, "shingle").groupBy("t", "n", "root")
              .agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("own"))  # one text's shingles at most
              .select("t", "n", "root", F.col("own.shingle").alias("own")))
-    lists = written(lists.withColumn("most", F.expr(most_common("n", "size(own)", percent))), "jaccard")
-    rows = lists.select("t", "n", "root", "most", F.size("own").alias("size"), F.posexplode("own").alias("at", "shingle"))
-    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root", "most", "size", "at")])
+    lists = written(lists, "jaccard")
+    rows = lists.select("t", "n", "root", F.size("own").alias("size"), F.posexplode("own").alias("at", "shingle"))
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "n", "root", "size", "at")])
             for side in "ab")
     least = least_common("n_a", "n_b", percent)
     pairs = (a.join(b, "shingle").where("t_a < t_b and root_a <> root_b")
              .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-             .where(f"least(most_a, most_b) >= {_need('n_a', 'n_b', percent)}")
              .where(F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) >= least)
              .select(F.col("t_a").alias("a"), F.col("t_b").alias("b"), least.alias("least")).distinct())
     own_a, own_b = (lists.select(F.col("t").alias(side), F.col("own").alias(f"own_{side}")) for side in "ab")
