@@ -416,6 +416,23 @@ def test_packing(spark, docs, texts, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path, mark = vocab.default_path("byte_bpe_50k.json"), "<|endoftext|>"
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["x" + mark, mark, "plain text", "one " + mark + mark + "  two \n" + mark + " three", "<|endoftext" + mark + "|>", "", None,
+             "a  " + mark, "tail end"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for block_bytes in (1 << 20, 16):
+        out = packing.pack(table, path, size=8, block_bytes=block_bytes).orderBy("doc_id", "start").collect()
+        ids = defaultdict(list)
+        for r in out:
+            ids[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+        assert all(r["doc_tokens"] == len(ids[r["doc_id"]]) for r in out)
+
+
 def test_sum_of_squares_choice():
     rng = random.Random(12)
     packer, size = packing.Packer(16), 16

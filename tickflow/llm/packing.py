@@ -15,10 +15,12 @@ open windows, a few hundred windows, and the ids of those.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +108,29 @@ class Packer:
         self.__init__(self.size)
 
 
-def _pack(ranks, size: int, end_id: int, block_bytes: int):
+def cut_at(texts: pa.Array, added: dict[str, int]) -> tuple[pa.Array, np.ndarray, dict[int, int]]:
+    """The texts cut at the added tokens: pieces, each text's first piece, and the ids of pieces that are such tokens.
+
+    A piece that is an added token is empty in the first.  Of tokens that
+    begin at the same character the longest counts.
+    """
+    pattern = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
+    has = pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) if added else np.zeros(len(texts), bool)
+    if not has.any():
+        return texts, np.arange(len(texts) + 1), {}
+    split, lengths, chunks, ids, done, n = re.compile(f"({pattern})").split, np.ones(len(texts), np.int64), [], {}, 0, 0
+    for i in np.flatnonzero(has).tolist():
+        own = split(texts[i].as_py())  # text, token, text, ...
+        n += i - done
+        ids.update((n + k, added[own[k]]) for k in range(1, len(own), 2))
+        own[1::2] = [""] * (len(own) // 2)
+        chunks += [texts.slice(done, i - done), pa.array(own, texts.type)]
+        lengths[i] = len(own)
+        n, done = n + len(own), i + 1
+    return pa.concat_arrays([*chunks, texts.slice(done)]), np.concatenate([[0], np.cumsum(lengths)]), ids
+
+
+def _pack(ranks, added: dict[str, int], size: int, end_id: int, block_bytes: int):
     schema = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -134,16 +158,20 @@ def _pack(ranks, size: int, end_id: int, block_bytes: int):
 
         encode = vocab.encoding(ranks.value).encode_ordinary
         for batch in sliced(itertools.chain([first], batches), "text", block_bytes):
-            codes, offsets, words = pretokens(texts_of(batch, "text"))
+            pieces, first_piece, marks = cut_at(texts_of(batch, "text"), added)
+            codes, offsets, words = pretokens(pieces)
             parts = [encode(w) for w in words]  # each distinct pre-token of the block once
             cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
             flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, cut[-1])
             del parts, words
             ids, ends = ragged_take(cut, flat, codes)
             ends = ends[offsets].tolist()
-            del codes, offsets
+            del codes, offsets, pieces
             for i, row in enumerate(batch.column("row").to_pylist()):
-                own = np.append(ids[ends[i]:ends[i + 1]], end_id).astype(np.uint32)
+                a, b = first_piece[i], first_piece[i + 1]
+                parts = [ids[ends[a]:ends[b]]] if b - a == 1 else [
+                    [marks[k]] if k in marks else ids[ends[k]:ends[k + 1]] for k in range(a, b)]
+                own = np.concatenate([*parts, [end_id]]).astype(np.uint32)
                 emit(packer.add((row, len(own)), own))
                 if len(rows) >= 4096:
                     yield flush()
@@ -159,9 +187,9 @@ def pack(docs: DataFrame, vocab_path: str, text: str = "text", size: int = 2048,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece: the document's other columns, then start, length, ids, doc_tokens, sequence_id, offset.
 
-    A document is its token ids (byte-level BPE without special tokens, the
-    strings of special tokens being ordinary text) and ``end_id``; a null or
-    empty text is ``end_id`` alone.  ``ids`` are packed little-endian uint32;
+    A document is its token ids (byte-level BPE; the strings of the file's
+    added tokens, wherever a text has them, are those tokens) and ``end_id``;
+    a null or empty text is ``end_id`` alone.  ``ids`` are packed little-endian uint32;
     ``start`` counts the document's ids before the piece, ``offset`` those
     before it in its sequence.  A sequence holds ``size`` tokens, or a smaller
     power of two for the last few of a partition.  Rows with equal columns
@@ -175,7 +203,7 @@ def pack(docs: DataFrame, vocab_path: str, text: str = "text", size: int = 2048,
     schema = T.StructType([source.schema["row"], *[T.StructField(n, T.LongType()) for n in ("start", "length")],
                            T.StructField("ids", T.BinaryType()),
                            *[T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset")]])
-    pieces = source.mapInArrow(tidy(_pack(ranks, size, end_id, block_bytes)), schema)
+    pieces = source.mapInArrow(tidy(_pack(ranks, vocab.added_tokens(vocab_path), size, end_id, block_bytes)), schema)
     out = outputs_last(pieces, "row", **{n: n for n in schema.names[1:]})
     return out if others else out.drop("_")
 

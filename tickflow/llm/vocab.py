@@ -44,6 +44,14 @@ def read_json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the added tokens of a ``.json`` file: those that match as they stand, wherever they are."""
+    added = json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at the text around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 _LAST: list = [None, None]
 
 
