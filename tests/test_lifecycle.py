@@ -183,6 +183,21 @@ def test_uncommitted_and_append_idempotent(spark, tmp_path):
     assert evo.uncommitted(log, stored).count() == 0
 
 
+def test_append_of_events_without_timestamp_or_id(spark, tmp_path):
+    columns = "event_id string, event_type string, aggregate_id string, timestamp timestamp_ntz, data string, seq bigint"
+    at = datetime(2024, 3, 1, 12, 0, 0, 5)
+    rows = [("a", "x", "AAPL", at, "{}", 1), ("b", "x", "AAPL", None, "{}", 2), (None, "x", "AAPL", at, "{}", 3),
+            (None, "x", "AAPL", at.replace(microsecond=6), "{}", 3), (None, "x", "MSFT", None, None, 4)]
+    path, frame = str(tmp_path / "log"), lambda own: spark.createDataFrame(own, columns)
+    evo.append_events(frame([("first", "x", "AAPL", at, "{}", 0)]), path)
+    assert evo.append_events(frame([rows[1]]), path).count() == 1  # no event of the batch has a timestamp
+    assert evo.append_events(frame(rows + rows), path).count() == 4
+    for retry in (rows, [rows[1]], [rows[4]]):
+        assert evo.append_events(frame(retry), path).count() == 0
+    got = [tuple(r) for r in spark.read.parquet(path).select(*frame(rows).columns).collect()]
+    assert sorted(got, key=str) == sorted([("first", "x", "AAPL", at, "{}", 0), *rows], key=str)
+
+
 def test_dispatch_handlers(spark, sf_dir):
     log = fx.event_log(Tables(spark, sf_dir).events)
     out = evo.dispatch(log, evo.routing_table(spark), {

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tickflow import schemas as S
 from tickflow.functions.ordering import positions
 from tickflow.functions.timecols import floor_time
+from tickflow.operators.messages import JSON_OPTIONS
 from tickflow.session import materialize, path_exists
 
 
@@ -142,21 +143,31 @@ def append_events(events: DataFrame, path: str, fmt: str = "parquet") -> DataFra
     The log is partitioned by event date so readers prune by time; a retry
     after a lost executor re-runs the whole write and the anti join drops
     what a previous attempt already committed.  An event repeated in the
-    batch is written once.  Only the log's partitions of the batch's dates
-    are read (an event id keeps its date).  A log that cannot be read fails
-    the append; only a path that does not exist is a first append.  What is
-    returned was written, so it is what dispatch may hand on.
+    batch is written once; an event without an id is known by its whole row.
+    Only the log's partitions of the batch's dates are read (an event id keeps
+    its date), that of events without a timestamp if the batch has such.  A
+    log that cannot be read fails the append; only a path that does not exist
+    is a first append.  What is returned was written, so it is what dispatch
+    may hand on.
     """
     spark = events.sparkSession
-    out = events.withColumn("event_date", F.to_date("timestamp")).dropDuplicates(["event_id"])
+    whole = F.to_json(F.struct(*events.columns), JSON_OPTIONS)
+    key = F.coalesce(F.concat(F.lit("id "), F.col("event_id").cast("string")), F.concat(F.lit("row "), whole))
+    out = events.withColumn("event_date", F.to_date("timestamp")).withColumn("_key", key).dropDuplicates(["_key"])
     if path_exists(spark, path):
-        days = out.agg(F.min("event_date"), F.max("event_date")).first()
-        if days[0] is None:  # nothing to append
-            return out.drop("event_date").limit(0)
-        existing = (spark.read.format(fmt).load(path)
-                    .filter(F.col("event_date").between(F.lit(days[0]), F.lit(days[1]))).select("event_id"))
-        out = out.join(existing, "event_id", "left_anti")
-    written = materialize(out)  # fixed before the log changes under its own anti join
+        batch = out.agg(F.count(F.lit(1)).alias("rows"), F.min("event_date").alias("low"), F.max("event_date").alias("high"),
+                        F.count("event_date").alias("dated"), F.count("event_id").alias("named")).first()
+        if not batch["rows"]:  # nothing to append
+            return out.drop("event_date", "_key").limit(0)
+        days = F.col("event_date").between(F.lit(batch["low"]), F.lit(batch["high"])) if batch["dated"] else F.lit(False)
+        if batch["dated"] < batch["rows"]:
+            days = days | F.col("event_date").isNull()
+        existing = spark.read.format(fmt).load(path).filter(days)
+        if batch["named"] == batch["rows"]:  # ids are all that is compared
+            out = out.join(existing.select("event_id"), "event_id", "left_anti")
+        else:
+            out = out.join(existing.select(key.alias("_key")), "_key", "left_anti")
+    written = materialize(out.drop("_key"))  # fixed before the log changes under its own anti join
     written.write.mode("append").partitionBy("event_date").format(fmt).save(path)
     return written.drop("event_date")
 
