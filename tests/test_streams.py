@@ -47,6 +47,25 @@ def test_ohlcv_append_equals_batch_minus_open_windows(spark, sf_dir, stream_file
     assert g.count() > 0.9 * batch.count()
 
 
+def test_ohlcv_update_stream_has_open_windows(spark, sf_dir, stream_files):
+    """Six micro-batches, some windows updated in several: all bars, the last ones too."""
+    out, ckpt = live.scratch(spark, "ou"), live.scratch(spark, "ouc")
+    src = fx.events_as_ticks(_files_stream(spark, stream_files))
+    live.run_available(live.ohlcv_update_stream(src, out, ckpt, "1 hour", "1 hour", compact_every=2))
+    batch = tk.ohlcv(fx.events_as_ticks(Tables(spark, sf_dir).events), "1 hour")
+    got = live.ohlcv_table(spark, out)
+    assert got.schema.simpleString() == batch.schema.simpleString()
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_ohlcv_query_equals_batch(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    got, batch = (entry.queries()[q](spark, sf_dir) for q in ("ohlcv_1min_stream", "ohlcv_1min"))
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0
+    assert got.count() == batch.count()
+
+
 def test_read_model_stream_equals_batch(spark, sf_dir, stream_files):
     src = _files_stream(spark, stream_files)
     out, ckpt = live.scratch(spark, "rm"), live.scratch(spark, "rmc")

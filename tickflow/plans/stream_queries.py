@@ -39,11 +39,11 @@ def q_read_model_stream(spark, sf_dir):
     return live.read_model_table(spark, path)
 
 
-@register("ohlcv_1min_stream", ids=("T2",))
+@register("ohlcv_1min_stream", ids=("T2",), sql=REGISTRY["ohlcv_1min"].sql)
 def q_ohlcv_1min_stream(spark, sf_dir):
     path, ckpt = live.scratch(spark, "ohlcv"), live.scratch(spark, "ohlcv-ckpt")
-    live.run_available(live.ohlcv_stream(fx.events_as_ticks(_events(spark, sf_dir)), path, ckpt))
-    return spark.read.parquet(path)
+    live.run_available(live.ohlcv_update_stream(fx.events_as_ticks(_events(spark, sf_dir)), path, ckpt))
+    return live.ohlcv_table(spark, path)
 
 
 @register("events_dedup_stream", ids=("T10",))

@@ -186,6 +186,24 @@ def ohlcv_stream(ticks_stream: DataFrame, path: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).outputMode("append"))
 
 
+def ohlcv_update_stream(ticks_stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 hour",
+                        every: str = "1 minute", compact_every: int | None = 100):
+    """T2 live: every bar as it stands, open windows too, update mode into a changelog."""
+    t = event_time(ticks_stream).withWatermark("event_time", watermark)
+    bars = tk.ohlcv(t.drop("ts").withColumnRenamed("event_time", "ts"), every)
+    keyed = bars.select(F.struct("symbol", "ts").alias("bar"), *[c for c in bars.columns if c not in ("symbol", "ts")])
+    return (keyed.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(changelog_writer(path, "bar", compact_every)))
+
+
+def ohlcv_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each bar of ``ohlcv_update_stream``."""
+    return read_changelog(spark, path, "bar").select(
+        F.col("bar.symbol").alias("symbol"), F.col("bar.ts").cast("timestamp_ntz").alias("ts"),
+        F.col("ts_end").cast("timestamp_ntz").alias("ts_end"), "open", "high", "low", "close", "volume", "trades")
+
+
 def dedup_stream(events_stream: DataFrame, path: str, checkpoint: str,
                  watermark: str = "1 hour", key: str = "event_id"):
     """Drop redelivered events within the watermark (state bounded by it)."""
