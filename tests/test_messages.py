@@ -42,3 +42,22 @@ def test_records_sink_and_decode_round_trip(spark):
     assert msg.decode(back, schema, ["other"]).count() == 0
     assert back.select(msg.message_type().alias("t")).distinct().collect()[0]["t"] == "user_action"
     assert back.filter(F.col("key").isNull()).count() == 0
+
+
+def test_sink_returns_success_flag(spark):
+    records = msg.user_actions(spark.createDataFrame([("view", datetime(2024, 1, 1), 7)],
+                                                     "action string, ts timestamp_ntz, user_id bigint"))
+    path = live.scratch(spark, "flag")
+    assert msg.write_records(records, "json", path=path) is True
+    assert msg.write_records(records, "json", path=path, mode="errorifexists") is False
+    assert spark.read.schema("topic string, key string, value string").json(path).count() == 1
+
+
+def test_kafka_records_are_read_from_their_topics(spark, sf_dir):
+    import __spark_entry__ as entry
+    got = entry.queries()["kafka_records"](spark, sf_dir)
+    assert got.columns == ["topic", "key", "value"] and got.inputFiles()
+    assert {r["topic"] for r in got.select("topic").distinct().collect()} == \
+        {S.TOPICS["user_actions"], S.TOPICS["alerts"]}
+    events = entry.queries()["topic_source"](spark, sf_dir).count()
+    assert got.filter(F.col("topic") == S.TOPICS["user_actions"]).count() == events

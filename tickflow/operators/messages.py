@@ -9,6 +9,8 @@ wall clock, so a replay writes the same bytes.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,20 +102,26 @@ def message_type(value: str | Column = "value") -> Column:
     return F.get_json_object(v, "$.type")
 
 
-def write_records(records: DataFrame, fmt: str = "kafka", **options) -> None:
-    """Write ``(topic, key, value)`` records.
+def write_records(records: DataFrame, fmt: str = "kafka", **options) -> bool:
+    """Write ``(topic, key, value)`` records; whether the write was acknowledged.
 
     ``fmt='kafka'`` needs the Kafka connector on the cluster (options
     ``kafka.bootstrap.servers``, ``kafka.acks=all``, ...); any file format
-    works for tests, partitioned by topic.
+    works for tests, partitioned by topic.  A failed write is logged and
+    returns False: the caller decides what that ends.
     """
-    w = records.select("topic", "key", "value").write
-    if fmt == "kafka":
-        w.format("kafka").options(**options).save()
-    else:
-        path = options.pop("path")
-        w.mode(options.pop("mode", "append")).partitionBy("topic").format(fmt) \
-            .options(**options).save(path)
+    try:
+        w = records.select("topic", "key", "value").write
+        if fmt == "kafka":
+            w.format("kafka").options(**options).save()
+        else:
+            path = options.pop("path")
+            w.mode(options.pop("mode", "append")).partitionBy("topic").format(fmt) \
+                .options(**options).save(path)
+    except Exception:  # noqa: BLE001
+        logging.getLogger(__name__).exception("records were not written")
+        return False
+    return True
 
 
 def decode(messages: DataFrame, schema, types: list[str] | None = None) -> DataFrame:

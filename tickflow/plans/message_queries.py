@@ -17,6 +17,7 @@ from tickflow.plans.registry import register
 from tickflow.sources import fixtures as fx
 from tickflow.session import materialize
 from tickflow.sources.tables import Tables
+from tickflow.streaming import live
 
 ISO_SQL = "'%Y-%m-%dT%H:%M:%S.%f'"
 ORD_T = "{'t': ts, 'i': trade_id}"
@@ -247,9 +248,14 @@ def q_msg_predictions(spark, sf_dir):
 
 @register("kafka_records", ids=("S4",))
 def q_kafka_records(spark, sf_dir):
+    """Records of two topics, written to their topic folders and read back."""
     ev = Tables(spark, sf_dir).events.select(F.col("event_type").alias("action"), "ts",
                                              "user_id", "value")
-    return msg.user_actions(ev).unionByName(msg.price_alerts(_alerts(spark, sf_dir)))
+    records = msg.user_actions(ev).unionByName(msg.price_alerts(_alerts(spark, sf_dir)))
+    path = live.scratch(spark, "records")
+    if not msg.write_records(records, "json", path=path):
+        raise RuntimeError("the topics were not written")
+    return spark.read.schema("topic string, key string, value string").json(path).select("topic", "key", "value")
 
 
 @register("topic_source", ids=("S6",))

@@ -71,7 +71,8 @@ def q_live_bars_stream(spark, sf_dir):
     through a file stream (S6) and reach a per-batch callback (S9)."""
     topic = live.scratch(spark, "topic")
     t = fx.events_as_ticks(Tables(spark, sf_dir).events)
-    msg.write_records(msg.ohlcv_messages(tk.ohlcv(t, "1 minute")), "json", path=topic)
+    if not msg.write_records(msg.ohlcv_messages(tk.ohlcv(t, "1 minute")), "json", path=topic):
+        raise RuntimeError("the topic was not written")
     schema = "key string, value string"
     stream = live.folder_stream(spark, f"{topic}/topic={S.TOPICS['finnhub_ohlc']}", schema,
                                 fmt="json")
