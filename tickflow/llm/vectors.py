@@ -12,7 +12,7 @@ is two blocks, and a large cell is spread over the cluster.  Links are not
 emitted as pairs: a unit returns counts of links and a spanning forest.  A
 pair that meets in several cells counts in the first they share.  Vectors
 go to all cells whose cosine is within ``margin`` of the nearest, which
-keeps recall high; below ``exact_rows`` rows one cell holds all.
+keeps recall high; below two times ``cell_rows`` classes one cell holds all.
 """
 
 from __future__ import annotations
