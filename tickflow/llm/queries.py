@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the corpus pipeline.
+"""Registered queries of the thirteen operators and the corpus pipeline.
 
 Each query reads its whole table, applies its operator with production
 parameters and derives the digest columns from the operator's output.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickflow.llm import bpe, brown, chat, jaccard, langid, packing, quality, sharding, substrings, vectors, vocab
+from tickflow.llm import bpe, brown, chat, jaccard, langid, packing, quality, runs, sharding, substrings, vectors, vocab
 from tickflow.llm.frames import prepare
 
 
@@ -94,6 +94,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text of each document, where crc32 of the id divides by ten with its words periodic from one on.
+
+    With g = crc32 div 10 and n words, word i >= a = g mod n becomes word a + (i - a) mod p of the original,
+    p = 1 + (n - a) div (3 + g mod 8).  A null id leaves the text as it is.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def periodic(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1),
+                            lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.get(w, i.cast("int"))), " ")).otherwise("")
+
+    tail = F.get(F.transform(F.array(words), periodic), F.lit(0))
+    return docs.select("doc_id", F.when((crc % 10 == 0) & F.col("text").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_periodic_tails(_read(spark, sf_dir, "documents")))
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"),
+                                                               r.period.cast("string")), F.lit("\n")))
+    return out.select(
+        "doc_id", "runs", F.size("runs").cast("long").alias("n_runs"), greatest.alias("g"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", (-F.col("g.start")).alias("start"), F.col("g.length").alias("length"),
+             (-F.col("g.period")).alias("period"), F.expr("1000 * g.length div -g.period").alias("exponent_milli"),
+             "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -106,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op12_periodic_runs": op12_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -18,12 +18,14 @@ import xxhash
 
 #: Text bytes of one unit of work inside a task (bounds a Python worker's memory).
 BLOCK_BYTES = 16 << 20
+#: Bytes that a row counts for besides its text, so that many short texts fill a block too.
+ROW_BYTES = 64
 
 U64 = np.uint64
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, cut where ``block_bytes`` of text are full.
+    """The rows of ``batches`` in order, cut where ``block_bytes`` of text (and ROW_BYTES a row) are full.
 
     The cuts depend on the rows alone, not on the size of the Arrow batches
     in which they arrive.  A longer text is a block of its own.
@@ -35,7 +37,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, block_bytes: int = BLOC
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start = 0
-        for i, n in enumerate(lengths.tolist()):
+        for i, n in enumerate((lengths + ROW_BYTES).tolist()):
             if size and size + n > block_bytes:
                 if i > start:
                     held.append(batch.slice(start, i - start))
