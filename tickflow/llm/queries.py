@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickflow.llm import bpe, brown, chat, jaccard, langid, packing, quality, runs, sharding, substrings, vectors, vocab
+from tickflow.llm import bpe, brown, chat, dialogue, jaccard, langid, packing, quality, runs, sharding, substrings, vectors, vocab
 from tickflow.llm.frames import prepare
 
 
@@ -130,6 +130,32 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
              "runs_sha256", "collapsed_sha256")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of conversation rows after the damage that crc32 of ``conv_id:turn`` deals out.
+
+    The remainder by 20 drops a row (0), empties its text (1), takes out its ``.!?`` (2), repeats it (3) or makes its
+    role user (4).  A null reads as one space.
+    """
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    copies = F.when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return (turns.where(k != 0).select("conv_id", "turn", F.when(k == 4, "user").otherwise(space("role")).alias("role"),
+                                       text.alias("text"), F.explode(copies).alias("copy")).drop("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = dialogue.repair(damaged(turns))
+    out = turns.select(F.col("conv_id").alias("c")).distinct()
+    for part in (fixed.totals, dialogue.report(fixed)):
+        out = out.join(part, F.col("c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(F.col("c").alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -143,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
