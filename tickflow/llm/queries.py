@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickflow.llm import bpe, brown, chat, dialogue, jaccard, langid, packing, quality, runs, sharding, substrings, vectors, vocab
+from tickflow.llm import bpe, brown, chat, decontaminate, dialogue, jaccard, langid, oracle, packing, quality, runs, sharding, substrings, vectors, vocab
 from tickflow.llm.frames import prepare
 
 
@@ -94,6 +94,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text of each document, where crc32 of the id divides by ten with its words periodic from one on.
 
@@ -168,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op11_decontamination": op11_decontamination,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
@@ -175,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
