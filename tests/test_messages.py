@@ -56,7 +56,7 @@ def test_sink_returns_success_flag(spark):
 def test_kafka_records_are_read_from_their_topics(spark, sf_dir):
     import __spark_entry__ as entry
     got = entry.queries()["kafka_records"](spark, sf_dir)
-    assert got.columns == ["topic", "key", "value"] and got.inputFiles()
+    assert got.columns == ["topic", "key", "type", "amount", "timestamp"] and got.inputFiles()
     assert {r["topic"] for r in got.select("topic").distinct().collect()} == \
         {S.TOPICS["user_actions"], S.TOPICS["alerts"]}
     events = entry.queries()["topic_source"](spark, sf_dir).count()

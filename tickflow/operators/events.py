@@ -178,6 +178,12 @@ def deterministic_id(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 32)
 
 
+def status_changes(log: DataFrame) -> DataFrame:
+    """The events that set an aggregate's status, and the status they set (stream-safe)."""
+    return (log.filter(F.col("event_type").isin(S.ANALYSIS_REQUESTED, S.ANALYSIS_STARTED, S.ANALYSIS_COMPLETED))
+            .select("aggregate_id", "timestamp", "seq", _status_of().alias("status")))
+
+
 def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataFrame:
     """As-of join: every ``requests`` row (``aggregate_id``, ``timestamp``,
     ``seq`` and any other columns) gets ``previous_status``, the aggregate's
@@ -192,10 +198,7 @@ def status_asof(requests: DataFrame, log: DataFrame, unit: str = "day") -> DataF
     Exact, with the work of a task bounded by one bucket of one aggregate.
     """
     ord_ = F.struct("timestamp", "seq")
-    ev = (log.filter(F.col("event_type").isin(S.ANALYSIS_REQUESTED, S.ANALYSIS_STARTED,
-                                               S.ANALYSIS_COMPLETED))
-          .select("aggregate_id", "timestamp", "seq", _status_of().alias("status"),
-                  F.lit(0).alias("_kind"), F.lit(None).cast(requests.schema).alias("_req")))
+    ev = status_changes(log).select("*", F.lit(0).alias("_kind"), F.lit(None).cast(requests.schema).alias("_req"))
     rq = requests.select("aggregate_id", "timestamp", "seq",
                          F.lit(None).cast("string").alias("status"), F.lit(1).alias("_kind"),
                          F.struct(*requests.columns).alias("_req"))
@@ -222,9 +225,13 @@ def commands_to_events(commands: DataFrame, log: DataFrame) -> DataFrame:
     The analysis id is derived from the command id (stable under replay);
     requester defaults to ``system``; previous_status is the aggregate's
     status when the command arrived (as-of join on the log)."""
-    c = status_asof(commands, log)
+    return requested_events(status_asof(commands, log))
+
+
+def requested_events(commands: DataFrame) -> DataFrame:
+    """AnalysisRequested events of commands that carry their ``previous_status`` (stream-safe)."""
     meta = F.from_json("metadata", "requester string")
-    return c.select(
+    return commands.select(
         deterministic_id(F.lit("event"), F.col("command_id")).alias("event_id"),
         F.lit(S.ANALYSIS_REQUESTED).alias("event_type"), "aggregate_id",
         deterministic_id(F.lit("analysis"), F.col("command_id")).alias("analysis_id"),

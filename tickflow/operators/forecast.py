@@ -1,10 +1,10 @@
 """Forecasting on Spark.
 
-Training rows are built in one window pass per symbol: min / max / count
-over the whole series (the scaler is fit on all closes, as the application
-does) and the 60 previous closes, all under one partitioning on ``symbol``
-and one sort on ``ts``.  Lag arrays stay inside the plan; nothing 60x wide
-is ever written.
+Training rows are the 60 previous closes of a bar, a row frame under one
+partitioning on ``symbol`` and one sort on ``ts``, scaled by min / max of the
+whole series (the scaler is fit on all closes, as the application does): a
+partial aggregate joined back.  Lag arrays stay inside the plan; nothing 60x
+wide is ever written.
 
 The model is a next-value linear regression on the 60 scaled lags, fitted
 per symbol.  Scoring is a dot product in SQL expressions and the recursive
@@ -16,17 +16,14 @@ per symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import schemas as S
 from tickflow.functions import lstsq
 from tickflow.functions.noise import gaussian, symbol_code
 from tickflow.functions.windows import by_symbol, carried, split_windows
-
-
-def _whole(key="symbol"):
-    return by_symbol(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+from tickflow.operators.indicators import tail_n
 
 
 def _range(mn: Column, mx: Column) -> Column:
@@ -44,11 +41,9 @@ def scaler_params(bars: DataFrame) -> DataFrame:
 
 
 def minmax_scaled(bars: DataFrame) -> DataFrame:
-    """(close - min) / (max - min) per symbol over the whole series."""
-    w = _whole()
-    mn, mx = F.min("close").over(w), F.max("close").over(w)
-    return bars.select("symbol", "ts", "close", ((F.col("close") - mn) / _range(mn, mx))
-                       .alias("scaled"))
+    """(close - min) / (max - min) per symbol over the whole series (A7); the scaler is a partial aggregate joined back."""
+    rows = bars.select("symbol", "ts", "close").join(scaler_params(bars).select("symbol", "mn", "rng"), "symbol")
+    return rows.select("symbol", "ts", "close", ((F.col("close") - F.col("mn")) / F.col("rng")).alias("scaled"))
 
 
 def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE, block_rows: int | None = None,
@@ -56,10 +51,10 @@ def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE, block_rows: int |
     """Each bar with the ``window`` previous scaled closes and its own scaled
     close as label; bars with fewer predecessors are dropped (W9).
 
-    Per symbol, one window pass gives the lags and the scaler (min / max /
-    count over the whole series).  With ``block_rows`` the lag frames run per
-    halo block (``functions.windows.split_windows``) and the scaler is a
-    partial aggregate joined back per symbol.
+    The lags are a frame of ``window`` rows; the scaler (min / max / count
+    over the whole series) is a partial aggregate joined back per symbol.
+    With ``block_rows`` the frames run per halo block
+    (``functions.windows.split_windows``) instead of per symbol.
     """
     def compute(df, part):
         w = by_symbol(part)
@@ -67,20 +62,9 @@ def lag_windows(bars: DataFrame, window: int = S.WINDOW_SIZE, block_rows: int |
         return df.select(*carried(df), "symbol", "ts", "close", i.alias("i"),
                          F.collect_list("close").over(w.rowsBetween(-window, -1)).alias("raw"))
 
-    if block_rows:
-        # whole-series scaler from a partial aggregate joined back per symbol
-        params = scaler_params(bars).select("symbol", "mn", "rng", "n_bars")
-        rows = split_windows(bars.select("symbol", "ts", "close"), compute, window, block_rows,
-                             unit=unit)
-        rows = rows.filter(F.size("raw") == window).join(params, "symbol")
-    else:
-        # one pass: the scaler is a whole-partition frame of the same window
-        whole = _whole()
-        mn, mx = F.min("close").over(whole), F.max("close").over(whole)
-        rows = compute(bars.select("symbol", "ts", "close"), "symbol").select(
-            "*", mn.alias("mn"), _range(mn, mx).alias("rng"),
-            F.count(F.lit(1)).over(whole).alias("n_bars"))
-        rows = rows.filter(F.size("raw") == window)
+    rows = split_windows(bars.select("symbol", "ts", "close"), compute, window, block_rows, unit=unit)
+    params = scaler_params(bars).select("symbol", "mn", "rng", "n_bars")
+    rows = rows.filter(F.size("raw") == window).join(params, "symbol")
     return rows.select(
         "symbol", "ts", "close", "mn", "rng",
         (F.col("i") - window).cast("bigint").alias("j"),
@@ -131,6 +115,26 @@ def fit_linear(training: DataFrame, use_validation: bool = False) -> DataFrame:
     return summed.groupBy("symbol").applyInPandas(lstsq.solve, COEF_SCHEMA)
 
 
+def fit_pooled(training: DataFrame, use_validation: bool = False) -> tuple[float, list[float]]:
+    """M2, pooled: one least-squares model over the fit rows of all symbols, as literals for ``with_model``.
+
+    ``pyspark.ml``'s normal-equation solver sums one 61 x 61 system in a tree
+    of tasks; only that system reaches the driver, whatever the rows.
+    Without rows to fit there is no model, which is an error.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    rows = training.filter(F.col("split") == "train")
+    if not use_validation:
+        rows = rows.filter(~F.col("is_validation"))
+    rows = rows.select(array_to_vector("lags").alias("features"), "label")
+    if rows.isEmpty():
+        raise ValueError("no rows to fit")
+    model = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(rows)
+    return float(model.intercept), [float(c) for c in model.coefficients]
+
+
 def equal_weights(symbols: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
     """Fixed model as a coefficient table: the mean of the lags (weights
     1/window, intercept 0) for every symbol of ``symbols``."""
@@ -184,19 +188,13 @@ def forecast_metrics(scores: DataFrame) -> DataFrame:
 def forecast_start(bars: DataFrame, window: int = S.WINDOW_SIZE) -> DataFrame:
     """Per symbol: the last ``window`` scaled closes, the scaler and the last date.
 
-    One window pass per symbol (newest first) numbers the bars and takes the
-    whole-series min / max; the newest ``window`` rows are then gathered per
-    symbol without another exchange.  Symbols with fewer bars get no row.
+    The newest bars are a window group limit, gathered per symbol without
+    another exchange; the scaler is a partial aggregate joined back.  Symbols
+    with fewer bars get no row.
     """
-    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = bars.select("symbol", "ts", "close", F.row_number().over(newest).alias("_rn"),
-                       F.min("close").over(whole).alias("mn"),
-                       F.max("close").over(whole).alias("mx"))
-    g = (rows.filter(F.col("_rn") <= window).groupBy("symbol")
-         .agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("r"),
-              F.max("ts").alias("last_ts"), F.max("mn").alias("mn"), F.max("mx").alias("mx")))
-    g = g.filter(F.size("r") == window).withColumn("rng", _range(F.col("mn"), F.col("mx")))
+    tail = tail_n(bars.select("symbol", "ts", "close"), window)
+    g = tail.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("r"))
+    g = g.filter(F.size("r") == window).join(scaler_params(bars).select("symbol", "mn", "rng", "last_ts"), "symbol")
     return g.select("symbol", "last_ts", "mn", "rng",
                     F.transform("r", lambda x: (x["close"] - F.col("mn")) / F.col("rng"))
                     .alias("win"))

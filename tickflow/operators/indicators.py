@@ -136,10 +136,15 @@ def latest_bar(bars: DataFrame) -> DataFrame:
 
 
 def last_change(bars: DataFrame) -> DataFrame:
-    """Last close, previous close (= last when only one bar), change, change %."""
-    prev = F.coalesce(_lag_close(), F.col("close"))
-    rows = bars.select("symbol", "ts", "close", prev.alias("prev_close"), "volume")
-    last = last_row(rows)
+    """Last close, previous close (= last when only one bar), change, change %.
+
+    From the last two bars per symbol: no window runs over a history.
+    """
+    two = (bars.select("symbol", "ts", "close", F.row_number().over(newest_first()).alias("_rn"))
+           .filter(F.col("_rn") <= 2).groupBy("symbol")
+           .agg(F.max("ts").alias("ts"), F.max(F.when(F.col("_rn") == 1, F.col("close"))).alias("close"),
+                F.max(F.when(F.col("_rn") == 2, F.col("close"))).alias("_before")))
+    last = two.withColumn("prev_close", F.coalesce("_before", "close"))
     change = F.col("close") - F.col("prev_close")
     pct = F.when(F.col("prev_close") != 0,
                  F.try_divide(change, F.col("prev_close")) * 100).otherwise(F.lit(0.0))
@@ -174,11 +179,53 @@ def quote_overlay(last: DataFrame, quotes: DataFrame) -> DataFrame:
             .drop("_c", "_pc"))
 
 
+def _last_of(items: Column, n: int) -> Column:
+    """The last ``n`` of an array, null if it has fewer or a null among them: the array form of ``windows.full``."""
+    some = F.slice(items, -n, n)
+    return F.when((F.size(items) >= n) & ~F.exists(some, lambda x: x.isNull()), some)
+
+
+def _mean(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + x) / F.size(items)
+
+
+def _sample_std(items: Column) -> Column:
+    squares = F.transform(F.array(_mean(items)), lambda m: F.aggregate(items, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return F.sqrt(squares[0] / (F.size(items) - 1))
+
+
+def latest_indicators(bars: DataFrame) -> DataFrame:
+    """The newest bar's rolling indicators per symbol, from the last 252 bars alone.
+
+    The tail is a window group limit (every task keeps 252 bars per symbol
+    before the shuffle); its bars are gathered in one array per symbol and
+    folded, so no window runs over a history, however long.
+    """
+    tail = tail_n(bars.select("symbol", "ts", "close", "high", "low", "volume"), S.ANNUALISATION_DAYS)
+    last = tail.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close", "high", "low", "volume"))).alias("r"))
+    last = last.select("symbol", F.element_at("r", -1).alias("b"), F.col("r.close").alias("c"), F.col("r.high").alias("h"), F.col("r.low").alias("l"))
+    # the last 30 returns, in the order of their bars
+    pairs = F.arrays_zip(F.slice("c", -31, 30).alias("p"), F.slice("c", -30, 30).alias("q"))
+    returns = F.when(F.size("c") >= 31, F.transform(pairs, lambda x: F.try_divide(x["q"], x["p"]) - 1))
+    last = last.withColumn("d", _last_of(returns, 30))
+    return last.select(
+        "symbol", "b.ts", "b.close", "b.volume",
+        F.coalesce(F.when(F.size("c") > 1, F.try_element_at("c", F.lit(-2))), F.col("b.close")).alias("prev_close"),
+        _mean(_last_of(F.col("c"), 20)).alias("ma_20"), _mean(_last_of(F.col("c"), 50)).alias("ma_50"),
+        F.array_max(_last_of(F.col("h"), S.ANNUALISATION_DAYS)).alias("high_52w"),
+        F.array_min(_last_of(F.col("l"), S.ANNUALISATION_DAYS)).alias("low_52w"),
+        (_sample_std(F.col("d")) * math.sqrt(S.ANNUALISATION_DAYS) * 100).alias("volatility"))
+
+
 def current_data(bars: DataFrame, quotes: DataFrame | None = None,
                  digits: int = 2, block_rows: int | None = None,
                  unit: str = "month") -> DataFrame:
     """One row per symbol: price, change, volume, MA 20 / 50, annual volatility,
-    52-week high / low, all rolling over the whole history, then the last row.
+    52-week high / low of the newest bar.
+
+    The bars that these reach back to are taken first (``latest_indicators``);
+    with ``block_rows`` they roll over the whole history in halo blocks, which
+    gives the same rows.
     """
     def compute(df, part):
         rows = df.select(
@@ -192,8 +239,10 @@ def current_data(bars: DataFrame, quotes: DataFrame | None = None,
         return rows.withColumn(
             "volatility",
             rolling_std("daily_return", 30, part) * math.sqrt(S.ANNUALISATION_DAYS) * 100)
-    rows = split_windows(bars, compute, S.ANNUALISATION_DAYS - 1, block_rows, unit=unit)
-    last = last_row(rows)
+    if block_rows:
+        last = last_row(split_windows(bars, compute, S.ANNUALISATION_DAYS - 1, block_rows, unit=unit))
+    else:
+        last = latest_indicators(bars)
     if quotes is not None:
         last = quote_overlay(last, quotes)
     else:

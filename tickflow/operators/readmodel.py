@@ -81,8 +81,8 @@ def system_status(rm: DataFrame) -> DataFrame:
 
 
 def processing_stats(status: DataFrame) -> DataFrame:
-    """Every symbol's processing entry, and the number of symbols in processing (A3)."""
-    return status.withColumn("total_processing", F.lit(status.count()).cast("long"))
+    """Every symbol's processing entry, and the number of symbols in processing (A3): a scalar subquery of the same plan."""
+    return status.withColumn("total_processing", status.agg(F.count(F.lit(1))).scalar())
 
 
 def analysis_status(requests: DataFrame, rm: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered forecasting queries.
 
-SQL twins use the fixed model (weights 1/60, intercept 0); the fitted model
-(M2) is checked by row count and by a pytest that recovers known weights.
+SQL twins use the fixed model (weights 1/60, intercept 0); the fitted models
+(M2) by their errors' orthogonality, and by a pytest that recovers known weights.
 Noise is on in the driver queries: DuckDB evaluates the same integer noise.
 """
 
@@ -160,10 +160,35 @@ def q_training_set(spark, sf_dir):
                  F.round(F.sum(lag_sum), 5).alias("lag_total")))
 
 
-@register("model_coefficients", ids=("M2",))
+# A least-squares fit is the one whose errors are orthogonal to the constant and to each lag.
+_FIT_SQL = f"""
+    SELECT {{key}} count(*) AS n_fit, {W} AS n_coef, CAST(0 AS DOUBLE) AS largest_gradient
+    FROM tr WHERE split = 'train' AND NOT is_validation"""
+
+
+def _gradients(training, model, *keys):
+    """Rows fitted, coefficients, and the largest mean product of the errors with a lag (or 1), to six digits."""
+    rows = fc.with_model(training.filter((F.col("split") == "train") & ~F.col("is_validation")), model)
+    error = F.col("label") - fc.dot(F.col("lags"), F.col("coef")) - F.col("intercept")
+    terms = rows.select(*keys, F.size("coef").alias("n_coef"), error.alias("e"), F.posexplode(F.concat(F.array(F.lit(1.0)), "lags")).alias("k", "z"))
+    means = terms.groupBy(*keys, "k").agg(F.abs(F.avg(F.col("e") * F.col("z"))).alias("g"), F.count("*").alias("n"), F.max("n_coef").alias("n_coef"))
+    return means.groupBy(*keys).agg(F.max("n").alias("n_fit"), F.max("n_coef").alias("n_coef"),
+                                    F.round(F.max("g"), 6).alias("largest_gradient"))
+
+
+@register("model_coefficients", ids=("M2",), sql=with_fixtures(
+    _FIT_SQL.format(key="symbol,") + " GROUP BY symbol", "bars", extra=_TR_EXTRA))
 def q_model_coefficients(spark, sf_dir):
-    coefs = fc.fit_linear(fc.training_set(bars(spark, sf_dir)))
-    return coefs.select("symbol", "intercept", F.size("coef").alias("n_coef"), "n_fit")
+    """One model per symbol: its errors are orthogonal to every lag."""
+    training = fc.training_set(bars(spark, sf_dir))
+    return _gradients(training, fc.fit_linear(training), "symbol")
+
+
+@register("model_pooled", ids=("M2",), sql=with_fixtures(_FIT_SQL.format(key=""), "bars", extra=_TR_EXTRA))
+def q_model_pooled(spark, sf_dir):
+    """One model over all symbols: its errors are orthogonal to every lag."""
+    training = fc.training_set(bars(spark, sf_dir))
+    return _gradients(training, fc.fit_pooled(training))
 
 
 @register("window_scores", ids=("M3",), sql=with_fixtures("""
@@ -209,7 +234,7 @@ def q_simulation_band(spark, sf_dir):
                     F.round("p25", 8).alias("p25"), F.round("p75", 8).alias("p75"))
 
 
-_FC_EXTRA = _BAND_EXTRA + [("fc", FC_SQL)]
+FC_EXTRA = _BAND_EXTRA + [("fc", FC_SQL)]
 
 
 def _forecast(spark, sf_dir):
@@ -220,7 +245,7 @@ def _forecast(spark, sf_dir):
 @register("forecast", ids=("M6",), sql=_paths_with_ctes("""
     SELECT symbol, step, date, round(prediction, 6) AS prediction, round(lower, 6) AS lower,
            round(upper, 6) AS upper
-    FROM fc""", _FC_EXTRA))
+    FROM fc""", FC_EXTRA))
 def q_forecast(spark, sf_dir):
     f = _forecast(spark, sf_dir)
     return f.select("symbol", "step", "date", F.round("prediction", 6).alias("prediction"),
@@ -229,7 +254,7 @@ def q_forecast(spark, sf_dir):
 
 @register("forecast_head", ids=("L4",), sql=_paths_with_ctes("""
     SELECT symbol, step, date, round(prediction, 6) AS prediction FROM fc WHERE step <= 3""",
-    _FC_EXTRA))
+    FC_EXTRA))
 def q_forecast_head(spark, sf_dir):
     f = _forecast(spark, sf_dir)
     first = F.row_number().over(Window.partitionBy("symbol").orderBy("step"))
@@ -237,12 +262,15 @@ def q_forecast_head(spark, sf_dir):
     return head.select("symbol", "step", "date", F.round("prediction", 6).alias("prediction"))
 
 
-@register("prediction_document", ids=("M7",), sql=_paths_with_ctes("""
+DOCUMENT_SQL = """
     SELECT symbol, count(*) AS n_days, min(strftime(date, '%Y-%m-%d')) AS first_date,
            max(strftime(date, '%Y-%m-%d')) AS last_date,
            round(sum(round(prediction, 2)), 2) AS prices_sum,
            round(sum(round(lower, 2)), 2) AS lower_sum, round(sum(round(upper, 2)), 2) AS upper_sum
-    FROM fc GROUP BY symbol""", _FC_EXTRA))
+    FROM fc GROUP BY symbol"""
+
+
+@register("prediction_document", ids=("M7",), sql=_paths_with_ctes(DOCUMENT_SQL, FC_EXTRA))
 def q_prediction_document(spark, sf_dir):
     doc = fc.prediction_document(_forecast(spark, sf_dir))
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 2)

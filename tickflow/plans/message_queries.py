@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickflow import schemas as S
 from tickflow.operators import forecast as fc
 from tickflow.operators import indicators as ind
 from tickflow.operators import messages as msg
 from tickflow.operators import ticks as tk
 from tickflow.plans.event_queries import log
-from tickflow.plans.forecast_queries import SCORES_SQL, _TR_EXTRA
+from tickflow.plans.forecast_queries import DOCUMENT_SQL, FC_EXTRA, SCORES_SQL, SEED, _TR_EXTRA, _paths_with_ctes
 from tickflow.plans.market_queries import bars
 from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import register
@@ -28,7 +29,7 @@ def ticks(spark, sf_dir):
     return fx.events_as_ticks(Tables(spark, sf_dir).events)
 
 
-def _field(name, typ="string"):
+def field(name, typ="string"):
     return F.get_json_object("value", f"$.{name}").cast(typ).alias(name)
 
 
@@ -176,12 +177,12 @@ def _metrics_frame(spark, sf_dir):
       ON m.symbol = l.symbol""", "bars", extra=_TR_EXTRA + [("sco", SCORES_SQL)]))
 def q_msg_metrics(spark, sf_dir):
     out = msg.model_metrics(_metrics_frame(spark, sf_dir))
-    return out.select("topic", "key", _field("type"),
+    return out.select("topic", "key", field("type"),
                       *[F.get_json_object("value", f"$.metrics.{c}").cast("double").alias(c)
                         for c in ("train_mae", "test_mae", "train_rmse", "test_rmse")],
                       F.get_json_object("value", "$.metrics.data_points").cast("bigint")
                       .alias("data_points"),
-                      _field("timestamp"))
+                      field("timestamp"))
 
 
 @register("msg_training_status", ids=("S5c",), sql=with_fixtures(f"""
@@ -190,8 +191,8 @@ def q_msg_metrics(spark, sf_dir):
     FROM upd""", "event_log", extra=[("upd", _TS_UPDATES_SQL)]))
 def q_msg_training_status(spark, sf_dir):
     out = msg.training_status(tk.training_status_updates(log(spark, sf_dir)))
-    return out.select("topic", "key", _field("type"), _field("status"),
-                      _field("progress", "int"), _field("timestamp"))
+    return out.select("topic", "key", field("type"), field("status"),
+                      field("progress", "int"), field("timestamp"))
 
 
 @register("msg_stock_data", ids=("S5d",), sql=with_fixtures(f"""
@@ -207,10 +208,10 @@ def q_msg_stock_data(spark, sf_dir):
     cur = lc.select("symbol", "ts", F.round("close", 6).alias("close"),
                     F.round("change", 6).alias("change"))
     out = msg.stock_data(cur)
-    return out.select("topic", "key", _field("type"),
+    return out.select("topic", "key", field("type"),
                       F.get_json_object("value", "$.data.close").cast("double").alias("close"),
                       F.get_json_object("value", "$.data.change").cast("double").alias("change"),
-                      _field("timestamp"))
+                      field("timestamp"))
 
 
 @register("msg_user_action", ids=("S5e",), sql=f"""
@@ -221,11 +222,11 @@ def q_msg_user_action(spark, sf_dir):
     ev = Tables(spark, sf_dir).events.select(F.col("event_type").alias("action"), "ts",
                                              "user_id", "value", "props")
     out = msg.user_actions(ev)
-    return out.select("topic", "key", _field("type"),
+    return out.select("topic", "key", field("type"),
                       F.get_json_object("value", "$.details.user_id").cast("bigint")
                       .alias("user_id"),
                       F.get_json_object("value", "$.details.value").cast("double").alias("value"),
-                      _field("timestamp"))
+                      field("timestamp"))
 
 
 @register("msg_price_alert", ids=("S5f",), sql=with_fixtures(f"""
@@ -233,38 +234,73 @@ def q_msg_user_action(spark, sf_dir):
            alert_condition, strftime(ts, {ISO_SQL}) AS timestamp
     FROM al""", "alert_rules", extra=[("al", _ALERTS_SQL)]))
 def q_msg_price_alert(spark, sf_dir):
-    out = msg.price_alerts(_alerts(spark, sf_dir))
-    return out.select("topic", "key", _field("type"), _field("current_price", "double"),
-                      _field("alert_condition"), _field("timestamp"))
+    return alert_fields(msg.price_alerts(_alerts(spark, sf_dir)))
 
 
-@register("msg_predictions", ids=("S5a",))
+def alert_fields(records):
+    """Price-alert records by their fields."""
+    return records.select("topic", "key", field("type"), field("current_price", "double"),
+                          field("alert_condition"), field("timestamp"))
+
+
+@register("msg_predictions", ids=("S5a",), sql=_paths_with_ctes(f"""
+    SELECT 'ml-predictions' AS topic, d.symbol AS key, '{S.MSG_PREDICTION_RESULTS}' AS type,
+           '{S.MODEL_LABEL_PREDICTIONS}' AS model_type, d.n_days AS days_ahead, d.first_date, d.last_date, d.prices_sum,
+           d.lower_sum, d.upper_sum, b.close AS last_actual_price, strftime(b.ts, {ISO_SQL}) AS timestamp
+    FROM ({DOCUMENT_SQL}) d
+    JOIN (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) b
+      ON b.symbol = d.symbol AND b.rn = 1""", FC_EXTRA))
 def q_msg_predictions(spark, sf_dir):
+    """The messages by the fields of their documents, arrays by length, ends and sums."""
     b = materialize(bars(spark, sf_dir))  # read by four branches
-    doc = fc.prediction_document(fc.forecast(b, fc.fixed_model()))
+    doc = fc.prediction_document(fc.forecast(b, fc.fixed_model(), seed=SEED))
     last = ind.latest_bar(b).select("symbol", "ts", F.col("close").alias("last_actual_price"))
-    return msg.prediction_results(doc.join(last, "symbol"))
-
-
-@register("kafka_records", ids=("S4",))
+    out = msg.prediction_results(doc.join(last, "symbol"))
+    m = F.from_json("value", """timestamp string, type string, predictions struct<model_type:string, days_ahead:bigint,
+        predictions:struct<dates:array<string>, prices:array<double>, lower_bound:array<double>, upper_bound:array<double>>,
+        last_actual_price:double>""")
+    p = "m.predictions.predictions"
+    total = lambda c: F.round(F.aggregate(F.col(f"{p}.{c}"), F.lit(0.0), lambda a, x: a + x), 2)
+    return out.withColumn("m", m).select(
+        "topic", "key", "m.type", "m.predictions.model_type", "m.predictions.days_ahead",
+        F.element_at(f"{p}.dates", 1).alias("first_date"), F.element_at(f"{p}.dates", -1).alias("last_date"),
+        total("prices").alias("prices_sum"), total("lower_bound").alias("lower_sum"), total("upper_bound").alias("upper_sum"),
+        "m.predictions.last_actual_price", "m.timestamp")
+
+
+@register("kafka_records", ids=("S4",), sql=with_fixtures(f"""
+    SELECT 'user-actions' AS topic, event_type AS key, 'user_action' AS type, value AS amount,
+           strftime(ts, {ISO_SQL}) AS timestamp
+    FROM events
+    UNION ALL
+    SELECT 'price-alerts', symbol, 'price_alert', current_price, strftime(ts, {ISO_SQL}) FROM al""",
+    "alert_rules", extra=[("al", _ALERTS_SQL)]))
 def q_kafka_records(spark, sf_dir):
-    """Records of two topics, written to their topic folders and read back."""
+    """Records of two topics, written to their topic folders and read back by topic, key and type."""
     ev = Tables(spark, sf_dir).events.select(F.col("event_type").alias("action"), "ts",
                                              "user_id", "value")
     records = msg.user_actions(ev).unionByName(msg.price_alerts(_alerts(spark, sf_dir)))
     path = live.scratch(spark, "records")
     if not msg.write_records(records, "json", path=path):
         raise RuntimeError("the topics were not written")
-    return spark.read.schema("topic string, key string, value string").json(path).select("topic", "key", "value")
+    back = spark.read.schema("topic string, key string, value string").json(path)
+    amount = F.coalesce(F.get_json_object("value", "$.details.value"), F.get_json_object("value", "$.current_price"))
+    return back.select("topic", "key", field("type"), amount.cast("double").alias("amount"), field("timestamp"))
 
 
-@register("topic_source", ids=("S6",))
+ACTION = "action string, details struct<user_id:bigint,value:double>, timestamp string, type string"
+
+
+@register("topic_source", ids=("S6",), sql=f"""
+    SELECT event_type AS key, event_type AS action, 'user_action' AS type, user_id, value,
+           strftime(ts, {ISO_SQL}) AS timestamp
+    FROM events""")
 def q_topic_source(spark, sf_dir):
     ev = Tables(spark, sf_dir).events.select(F.col("event_type").alias("action"), "ts",
                                              "user_id", "value")
     records = msg.user_actions(ev)
-    schema = "action string, details struct<user_id:bigint,value:double>, timestamp string, type string"
-    return msg.decode(records, schema, ["user_action"]).select("key", "msg.*")
+    return msg.decode(records, ACTION, ["user_action"]).select(
+        "key", "msg.action", "msg.type", "msg.details.user_id", "msg.details.value", "msg.timestamp")
 
 
 @register("live_bars", ids=("S9", "P5"), sql=with_fixtures(f"""
@@ -275,7 +311,7 @@ def q_live_bars(spark, sf_dir):
     t = ticks(spark, sf_dir)
     records = msg.ohlcv_messages(tk.ohlcv(t, "1 minute"))
     subscribed = t.select(F.upper("symbol").alias("symbol")).distinct()
-    m = records.select(_field("symbol"), _field("type"), _field("timestamp"),
-                       _field("close", "double"))
+    m = records.select(field("symbol"), field("type"), field("timestamp"),
+                       field("close", "double"))
     m = m.filter(F.col("type") == "ohlcv_1min").withColumn("symbol", F.upper("symbol"))
     return m.join(subscribed, "symbol", "left_semi").select("symbol", "timestamp", "close")

@@ -1,4 +1,4 @@
-"""Registered streaming queries.
+"""Registered streaming queries (S4-S6, S9, T1-T6, T8, T10); those with states and stores of their own are in ``live_queries``.
 
 Each runs a bounded stream (``availableNow``) over the driver's tables into a
 fresh folder under ``spark.checkpoint.dir`` and returns the sink read back;
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tickflow import schemas as S
 from tickflow.operators import messages as msg
 from tickflow.operators import ticks as tk
-from tickflow.plans import event_queries, message_queries  # noqa: F401 - the batch twins
+from tickflow.plans import event_queries  # noqa: F401 - the batch twins
+from tickflow.plans.message_queries import alert_fields, field
 from tickflow.plans.oracle import with_fixtures
 from tickflow.plans.registry import REGISTRY, register
 from tickflow.sources import fixtures as fx
@@ -46,7 +47,7 @@ def q_ohlcv_1min_stream(spark, sf_dir):
     return live.ohlcv_table(spark, path)
 
 
-@register("events_dedup_stream", ids=("T10",))
+@register("events_dedup_stream", ids=("T10",), sql=REGISTRY["events_dedup"].sql)
 def q_events_dedup_stream(spark, sf_dir):
     """Every click arrives twice (the stream unioned with its clicks, as an
     at-least-once consumer would deliver it); the watermarked dedup keeps one."""
@@ -65,7 +66,7 @@ def q_last_price_stream(spark, sf_dir):
     return live.read_changelog(spark, path, "symbol")
 
 
-@register("live_bars_stream", ids=("S9", "S4", "S6"))
+@register("live_bars_stream", ids=("S9", "S4", "S6"), sql=REGISTRY["live_bars"].sql)
 def q_live_bars_stream(spark, sf_dir):
     """Bars go out as ``ohlcv_1min`` messages to a topic folder (S4), come back
     through a file stream (S6) and reach a per-batch callback (S9)."""
@@ -79,7 +80,7 @@ def q_live_bars_stream(spark, sf_dir):
     out, ckpt = live.scratch(spark, "bars-out"), live.scratch(spark, "bars-ckpt")
     symbols = t.select("symbol").distinct()
     live.run_available(live.live_bars(stream, symbols, live.changelog_writer(out), ckpt))
-    return live.read_changelog(spark, out).select("symbol", "type", "value")
+    return live.read_changelog(spark, out).select("symbol", field("timestamp"), field("close", "double"))
 
 
 @register("event_append", ids=("S7",), sql=with_fixtures(
@@ -95,14 +96,14 @@ def q_event_append(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("price_alerts_stream", ids=("T4", "S5f"))
+@register("price_alerts_stream", ids=("T4", "S5f"), sql=REGISTRY["msg_price_alert"].sql)
 def q_price_alerts_stream(spark, sf_dir):
     """Trades stream past the static per-symbol bands; alerts land on a topic folder."""
     rules = fx.alert_rules(fx.events_as_ticks(Tables(spark, sf_dir).events))
     path, ckpt = live.scratch(spark, "alerts"), live.scratch(spark, "alerts-ckpt")
     live.run_available(live.alerts_stream(fx.events_as_ticks(_events(spark, sf_dir)), rules,
                                           path, ckpt))
-    return spark.read.schema("topic string, key string, value string").json(path)
+    return alert_fields(spark.read.schema("topic string, key string, value string").json(path))
 
 
 @register("training_status_stream", ids=("T5",), sql=REGISTRY["training_status"].sql)
@@ -111,11 +112,3 @@ def q_training_status_stream(spark, sf_dir):
     live.run_available(live.training_status_stream(fx.event_log(_events(spark, sf_dir)),
                                                    path, ckpt))
     return live.read_changelog(spark, path, "symbol")
-
-
-@register("last_1000_stream", ids=("T7",), sql=REGISTRY["last_1000"].sql)
-def q_last_1000_stream(spark, sf_dir):
-    path, ckpt = live.scratch(spark, "ring"), live.scratch(spark, "ring-ckpt")
-    live.run_available(live.ring_buffer_stream(fx.events_as_ticks(_events(spark, sf_dir)),
-                                               path, ckpt, 1000))
-    return live.ring_buffer_table(spark, path)

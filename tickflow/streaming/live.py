@@ -1,4 +1,7 @@
-"""Structured Streaming versions of the live operators.
+"""Structured Streaming versions of the live operators.
+
+Topic decoding and stops are in ``topics``, keyed states (T7, C1) in ``stateful``,
+batch-wise upserts (T9, late rows) in ``upserts``, the event store (S7) in ``store``.
 
 The transformations are the batch functions of ``tickflow.operators``; this
 module adds what only a stream has: file / Kafka sources, event-time
@@ -233,7 +236,7 @@ def live_bars(messages_stream: DataFrame, symbols, callback, checkpoint: str):
             .foreachBatch(lambda df, batch_id: callback(df, batch_id)))
 
 
-# -- alerts, training status, ring buffers ----------------------------------------
+# -- alerts, training status -------------------------------------------------------
 
 def alerts_stream(ticks_stream: DataFrame, rules: DataFrame, path: str, checkpoint: str):
     """T4 + S5f live: stream-static join with the per-symbol bands; alert
@@ -250,35 +253,3 @@ def training_status_stream(log_stream: DataFrame, path: str, checkpoint: str,
     latest = tk.latest_training_status(tk.training_status_updates(log_stream))
     return (latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(changelog_writer(path, "symbol", compact_every)))
-
-
-def ring_buffer_writer(path: str, n: int):
-    """foreachBatch function keeping the last ``n`` trades per symbol.
-
-    Each batch merges its trades with the previous buffer (``n`` rows per
-    symbol at most) and writes the new buffer as version ``batch_id``; the
-    merge is the window group limit of ``last_n``, so a hot symbol's batch is
-    cut to ``n`` rows per task before it is shuffled.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["trade_id", "symbol", "ts", "price", "size"]
-        merged = batch.select(*cols)
-        prev = f"{path}/version={batch_id - 1}"
-        if batch_id > 0 and path_exists(spark, prev):  # a read that fails fails the batch, and loses nothing
-            merged = merged.unionByName(spark.read.parquet(prev).select(*cols))
-        tk.last_n(merged, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    return write
-
-
-def ring_buffer_stream(ticks_stream: DataFrame, path: str, checkpoint: str, n: int = 1000):
-    """T7 live: the last ``n`` trades per symbol after every micro-batch."""
-    return (ticks_stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(ring_buffer_writer(path, n)))
-
-
-def ring_buffer_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest buffer version."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).collect()[0][0]
-    return versions.filter(F.col("version") == newest).drop("version")
