@@ -9,17 +9,20 @@ smoothed.  The clustering is distributed in the way of Uszkoreit and Brants
 2. Bigram counts among the ``CLUSTERED`` most frequent words over the whole
    corpus, a table of fixed size, and exchange clustering of these words on
    it: each moves in turn to the class that raises the likelihood most.
-3. Every other word takes one exchange step: the counts of the classes around
-   it, gathered over the whole corpus, choose its class.  These words have
-   classes of their own beside the frequent words'.
+3. All other words are exchanged in rounds over classes of their own, beside
+   the frequent words'.  The counts of the classes around each word are folded
+   once over the whole corpus; in each round every word moves to the class
+   that raises the likelihood most given the tables of the round before, and
+   the tables are summed anew, until hardly a word moves.
 4. Transition counts between the classes of all training tokens, and word
    counts, give the probabilities.
 
 Texts are worked on in blocks of some MB.  A block sends one row per distinct
-word (never one per token), gets back the word's count and class, and turns
-its texts into sequences of classes, which are written once and then read
-for the transition counts and for the scores.  A word has one row per block
-at most, so no word is a hot key.
+word (never one per token; the frequent words' counts and classes go with the
+task), gets back the word's count and class, and turns its texts into
+sequences of classes, which are written once and then read for the transition
+counts and for the scores.  A word has one row per block at most, and its
+contexts are folded as they come, so no word is a hot key.
 
 An unseen word gets the mass of the words seen once in a class (Witten and
 Bell's share), divided by the estimated number of unseen words (Chao, 1984);
@@ -39,10 +42,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow.llm.frames import outputs_last, written
-from tickflow.llm.text import pack_varints, sliced, sums, texts_of, unpack_varints, words_of
-
-#: Frequent words that are clustered on a full bigram table, their classes, and rounds of exchange.
-CLUSTERED, CLASSES, ROUNDS = 1024, 32, 6
+from tickflow.llm.text import pack_varints, sliced, sums, texts_of, tidy, unpack_varints, words_of
+
+#: Frequent words that are clustered on a full bigram table, their classes (the other words have as many), and rounds of exchange.
+CLUSTERED, CLASSES, ROUNDS = 2048, 64, 6
+#: Rounds of exchange of the other words at most; they end when a smaller share of the tokens moves.
+ALL_ROUNDS, MOVED = 4, 0.01
+#: Places of a word in one row.
+PLACES = 1 << 16
 #: The end of a text, as a token.
 END = "\n"
 #: Weight of the class unigrams in the transitions (a Dirichlet prior).
@@ -102,10 +109,13 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = ROUNDS
     return cls
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in sliced(batches, "text"):
-        texts = texts_of(batch, "text")
-        codes, offsets, words = words_of(texts)
+        yield batch, *words_of(texts_of(batch, "text"))
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch, codes, offsets, words in _cut(batches):
         digest = xxhash.xxh3_64(offsets.tobytes())
         digest.update(codes.tobytes())
         digest.update("\n".join(words.to_pylist()))
@@ -121,7 +131,7 @@ def _tokens(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, codes, _, words, _ in _blocks(batches):
+    for batch, codes, _, words in _cut(batches):
         count = np.bincount(codes, minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.array(np.append(count, batch.num_rows))],
                                          names=["word", "n"])
@@ -139,7 +149,7 @@ def _bigram_counts(frequent: pa.Array):
     size = k + 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, codes, offsets, words, _ in _blocks(batches):
+        for _, codes, offsets, words in _cut(batches):
             tokens, _ = _tokens(_ranks_of(words, frequent)[codes], offsets, k + 1)
             pair = np.concatenate([[k + 1], tokens[:-1]]) * size + tokens
             value, n = np.unique(pair, return_counts=True)
@@ -148,7 +158,7 @@ def _bigram_counts(frequent: pa.Array):
 
 
 def _word_rows(frequent: pa.Array, classes: np.ndarray, size: int):
-    """(block, code, word, n, around): a word's training count in the block, and the classes around it as bin, count.
+    """(block, code, word, n, around) of the words that are not frequent: training count in the block, classes around as bin, count.
 
     Bins: ``size`` classes to the left, then as many to the right; packed as
     varints of bin and count in turn.
@@ -157,99 +167,197 @@ def _word_rows(frequent: pa.Array, classes: np.ndarray, size: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, codes, offsets, words, block in _blocks(batches):
-            cls = classes[_ranks_of(words, frequent)]
+            rank = _ranks_of(words, frequent)
             tokens, cut = _tokens(codes, offsets, len(words))
-            kind = np.append(cls, classes[k + 1])[tokens]
+            kind = np.append(classes[rank], classes[k + 1])[tokens]
             train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), np.diff(cut))
             left = np.concatenate([[classes[k + 1]], kind[:-1]])
             right = np.concatenate([kind[1:], [classes[k + 1]]])
-            real = train & (tokens < len(words))
-            rare = real & (kind == classes[k])
+            rare = train & (tokens < len(words)) & (kind == classes[k])
             around = np.concatenate([tokens[rare] * 2 * size + left[rare], tokens[rare] * 2 * size + size + right[rare]])
             value, count = np.unique(around, return_counts=True)
             flat = np.empty(2 * len(value), np.int64)
             flat[::2], flat[1::2] = value % (2 * size), count
             where = 2 * np.searchsorted(value // (2 * size), np.arange(len(words) + 1))
-            n = np.bincount(tokens[real], minlength=len(words))
-            packed = pack_varints(flat, where)
-            for at in range(0, len(words), 1 << 16):
-                m = min(1 << 16, len(words) - at)
+            n = np.bincount(tokens[rare], minlength=len(words))
+            packed = pa.array(pack_varints(flat, where), pa.binary())
+            own = np.flatnonzero(rank == k)
+            for at in range(0, len(own), 1 << 16):
+                some = own[at:at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, block)), pa.array(np.arange(at, at + m, dtype=np.int32)), words.slice(at, m),
-                     pa.array(n[at:at + m].astype(np.int64)), pa.array(packed[at:at + m], pa.binary())],
+                    [pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), words.take(pa.array(some)),
+                     pa.array(n[some].astype(np.int64)), packed.take(pa.array(some))],
                     names=["block", "code", "word", "n", "around"])
     return run
 
 
-def _classify(frequent: pa.Array, classes: np.ndarray, forward: np.ndarray, backward: np.ndarray):
-    """Rows sorted by word to (block, code, n, cls): the word's count in the corpus, and its class (-1: not in training).
+def _fold(size: int):
+    """Rows sorted by word to a row per word: n, the bins and counts around it, and where it stands (blocks, codes).
 
-    ``forward`` and ``backward``: log probabilities of a class after each
-    class, and before each class.
+    A word's contexts are added up as its rows come; one of more than PLACES
+    places has several rows, of which one is ``first``.
     """
-    k, size = len(frequent), len(forward)
-    weights = np.concatenate([forward, backward])  # (2 * size bins, classes)
+    bins = 2 * size
+
+    def rows(n, seen, first, blocks, codes, cut) -> pa.RecordBatch:
+        word, place = np.nonzero(seen)
+        where = np.searchsorted(word, np.arange(len(n) + 1)).astype(np.int32)
+        listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(n.astype(np.int64)), pa.array(first), listed(where, place.astype(np.int32)),
+             listed(where, seen[word, place].astype(np.int64)), listed(cut.astype(np.int32), blocks), listed(cut.astype(np.int32), codes)],
+            names=["n", "first", "bins", "counts", "blocks", "codes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        last = False
-        batches = iter(batches)
-        while not last:
-            batch = next(batches, None)
-            last = batch is None
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            if held is not None:
-                table = held if table is None else pa.concat_tables([held, table])
-            if table is None:
-                return
-            table = table.combine_chunks()
-            word = table.column("word").combine_chunks().dictionary_encode()
-            word = word.chunk(0) if isinstance(word, pa.ChunkedArray) else word
-            index = word.indices.to_numpy().astype(np.int64)
-            if not last:  # the last word may go on
-                whole = int(np.searchsorted(index, index[-1]))
-                held = table.slice(whole)
-                if not whole:
+        open_ = None  # the word that may go on: itself, n, its contexts, its places
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            _, n, seen, places = open_
+            blocks, codes = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+            for at in range(0, len(blocks), PLACES):
+                part = slice(at, at + PLACES)
+                yield rows(np.array([n]), seen[None], np.array([at == 0]), blocks[part], codes[part], np.array([0, len(blocks[part])]))
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                block, code = part.column("block").to_numpy(), part.column("code").to_numpy()
+                word = part.column("word").dictionary_encode()
+                index = word.indices.to_numpy().astype(np.int64)
+                names = word.dictionary
+                n = np.bincount(index, part.column("n").to_numpy(), len(names))
+                flat, where = unpack_varints(part.column("around"))
+                owner = np.repeat(index, np.diff(where) // 2)
+                seen = np.bincount(owner * bins + flat[::2], flat[1::2], len(names) * bins).reshape(-1, bins)
+                cut = np.searchsorted(index, np.arange(len(names) + 1))
+                begin = 0
+                if open_ is not None and open_[0] == names[0].as_py():
+                    open_[1] += n[0]
+                    open_[2] += seen[0]
+                    open_[3].append((block[:cut[1]], code[:cut[1]]))
+                    begin = 1
+                if begin == len(names):
                     continue
-                table, index = table.slice(0, whole), index[:whole]
-            n_words = int(index[-1]) + 1
-            n = np.bincount(index, table.column("n").to_numpy(), n_words).astype(np.int64)
-            flat, where = unpack_varints(table.column("around").combine_chunks())
-            owner = np.repeat(index, np.diff(where) // 2)
-            seen = np.bincount(owner * 2 * size + flat[::2], flat[1::2], n_words * 2 * size).reshape(n_words, -1)
-            rank = _ranks_of(word.dictionary.slice(0, n_words), frequent)
-            best = np.argmax(seen @ weights, axis=1)
-            cls = np.where(rank < k, classes[np.minimum(rank, k)], size + best)
-            cls[n == 0] = -1
-            yield pa.RecordBatch.from_arrays(
-                [table.column("block").combine_chunks(), table.column("code").combine_chunks(), pa.array(n[index]),
-                 pa.array(cls[index].astype(np.int32))], names=["block", "code", "n", "cls"])
+                if open_ is not None:
+                    yield from closed()
+                last = len(names) - 1
+                if begin < last:
+                    inner = slice(begin, last)
+                    at = cut[begin:last + 1]
+                    yield rows(n[inner], seen[inner], np.ones(last - begin, bool), block[at[0]:at[-1]], code[at[0]:at[-1]], at - at[0])
+                open_ = [names[last].as_py(), n[last], seen[last].copy(), [(block[cut[last]:], code[cut[last]:])]]
+        if open_ is not None:
+            yield from closed()
     return run
 
 
-def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, codes, offsets, words, block in _blocks(batches):
-        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words get short codes
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        table = pack_varints(order, np.array([0, len(order)]))
-        first = [table[0]] + [None] * (batch.num_rows - 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(batch.num_rows, block)), batch.column("row"), batch.column("train"),
-             pa.array(pack_varints(rank[codes] if len(codes) else codes, offsets), pa.binary()), pa.array(first, pa.binary())],
-            names=["block", "row", "train", "codes", "table"])
+def _contexts(batch: pa.RecordBatch, bins: int) -> np.ndarray:
+    """The counts around each word of a batch: a row a word."""
+    cut = batch.column("bins").offsets.to_numpy()
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+    place = batch.column("bins").flatten().to_numpy().astype(np.int64)
+    return np.bincount(owner * bins + place, batch.column("counts").flatten().to_numpy(), batch.num_rows * bins).reshape(-1, bins)
+
 
+def best_class(seen: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The class that each word raises the likelihood of most.
 
-def _assemble(end_count: int, end_class: int, total: int, distinct: int, unknown: int):
+    ``tables`` (classes, bins) counts what stands around each class's words:
+    the likelihood's slope is the sum of log counts around, less both of the
+    class's own terms.
+    """
+    smooth = np.log(tables + 0.1)
+    mass = np.log((tables + 0.1).sum(axis=1) / 2)
+    return np.argmax(seen @ smooth.T - 2 * n[:, None] * mass, axis=1)
+
+
+def _exchange_round(tables: np.ndarray, before: np.ndarray | None):
+    """Sums (bin of all classes' tables, n) of the words in their best classes; bin -1: tokens of words that moved."""
+    classes, bins = tables.shape
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, moved = np.zeros((classes, bins)), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                seen, n = _contexts(part, bins), part.column("n").to_numpy()
+                cls = best_class(seen, n, tables)
+                np.add.at(total, cls, seen)
+                moved += int(n.sum() if before is None else n[cls != best_class(seen, n, before)].sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total.ravel()[at], moved).astype(np.int64))],
+                                         names=["bin", "n"])
+    return run
+
+
+def _exchange_all(words: DataFrame, tables: np.ndarray, rounds: int = ALL_ROUNDS) -> np.ndarray:
+    """The tables (some thousand numbers) after rounds of exchange of all words, from those given."""
+    some = words.where("first and n > 0").select("n", "bins", "counts")
+    before, tokens = None, None
+    for _ in range(rounds):
+        sums_ = some.mapInArrow(tidy(_exchange_round(tables, before)), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+        if sums_.empty:
+            break
+        at, n = sums_["bin"].to_numpy(np.int64), sums_["n"].to_numpy(np.float64)
+        moved = n[at < 0].sum()
+        tokens = moved if tokens is None else tokens
+        if moved <= MOVED * tokens and before is not None:
+            break
+        before, tables = tables, np.zeros(tables.shape)
+        tables.ravel()[at[at >= 0]] = n[at >= 0]
+    return tables
+
+
+def _classify(tables: np.ndarray, first_class: int):
+    """Rows of words to (block, code, n, cls): the word's count in the corpus, and its class (-1: not in training)."""
+    bins = tables.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                n = part.column("n").to_numpy()
+                cls = np.where(n > 0, first_class + best_class(_contexts(part, bins), n, tables), -1)
+                blocks, codes = part.column("blocks"), part.column("codes")
+                word = np.repeat(np.arange(len(n)), np.diff(blocks.offsets.to_numpy()))
+                yield pa.RecordBatch.from_arrays(
+                    [blocks.flatten(), codes.flatten(), pa.array(n[word]), pa.array(cls[word].astype(np.int32))],
+                    names=["block", "code", "n", "cls"])
+    return run
+
+
+def _sequences(frequent: pa.Array):
+    """Rows with their words as codes; the block's first row has the codes' table, and which of them are frequent words."""
+    k = len(frequent)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, codes, offsets, words, block in _blocks(batches):
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words get short codes
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            place = _ranks_of(words, frequent)
+            known = np.where(place < k, place + 1, 0)
+            first = [pack_varints(x, np.array([0, len(order)]))[0] for x in (order, known)]
+            table, known = ([x] + [None] * (batch.num_rows - 1) for x in first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, block)), batch.column("row"), batch.column("train"),
+                 pa.array(pack_varints(rank[codes] if len(codes) else codes, offsets), pa.binary()), pa.array(table, pa.binary()),
+                 pa.array(known, pa.binary())], names=["block", "row", "train", "codes", "table", "known"])
+    return run
+
+
+def _assemble(end_count: int, end_class: int, total: int, distinct: int, unknown: int, top_count: np.ndarray, top_class: np.ndarray):
     """Texts as classes of tokens, with the parts of their scores that need counts alone."""
     def run(key, rows: pa.Table, words: pa.Table) -> pa.Table:
         rows, words = rows.combine_chunks(), words.combine_chunks()
         code, first = np.unique(words.column("code").to_numpy(), return_index=True)  # copies of a block repeat its words
-        n, cls = words.column("n").to_numpy()[first], words.column("cls").to_numpy()[first].astype(np.int64)
-        table = rows.column("table").combine_chunks()
-        order, _ = unpack_varints(table.drop_null().slice(0, 1))
-        if len(code) != len(order):
+        order, known = (unpack_varints(rows.column(c).combine_chunks().drop_null().slice(0, 1))[0] for c in ("table", "known"))
+        frequent = np.flatnonzero(known)
+        if len(code) + len(frequent) != len(order):
             raise ValueError("word counts are missing: the input changed between its readings; write it first")
+        n, cls = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        n[code], cls[code] = words.column("n").to_numpy()[first], words.column("cls").to_numpy()[first]
+        n[frequent], cls[frequent] = top_count[known[frequent] - 1], top_class[known[frequent] - 1]
         n, cls = np.append(n[order], end_count), np.append(cls[order], end_class if end_count else -1)
         cls[cls < 0] = unknown
         rare = np.log10((n + 0.1) / (total + 0.1 * (distinct + 1)))
@@ -291,7 +399,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = C
     document both are 0 for each token.  Columns named like an output are
     replaced.
     """
-    if classes > 120:
+    if not 0 < classes <= 120:
         raise ValueError("classes are kept in a byte: 120 at most")
     spark = docs.sparkSession
     others = [F.col(c) for c in docs.columns if c.lower() != text.lower()]
@@ -301,32 +409,38 @@ def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = C
     counts = written(learned.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown")
     total, distinct, once, both = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(clustered).toPandas()["word"]
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(clustered).toPandas()
     ends = counts.where(F.col("word") == END).select("n").collect()
     end_count = ends[0][0] if ends else 0
-    frequent = pa.array(top.tolist(), pa.string())
+    frequent = pa.array(top["word"].tolist(), pa.string())
     size, k = classes + 2, len(frequent)  # classes of frequent words, of all others together, of the end
     pairs = (learned.mapInArrow(_bigram_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
              .toPandas())  # (clustered + 2) squared rows at most
     bigrams = np.zeros((k + 2) ** 2)
     bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy()
-    bigrams = bigrams.reshape(k + 2, k + 2)
-    cls = exchange(bigrams, classes, 2)
-    member = np.eye(size)[cls]
-    table = member.T @ bigrams @ member + 0.1
-    forward = np.log(table / table.sum(axis=1, keepdims=True))[:, :classes]  # of a class after each class
-    backward = np.log(table / table.sum(axis=0, keepdims=True)).T[:, :classes]  # of a class before each class
+    around = bigrams.reshape(k + 2, k + 2)
+    cls = exchange(around, classes, 2)
+    del bigrams
+    member = np.zeros((k + 2, size))
+    member[np.arange(k + 2), cls] = 1
+    table = member.T @ around @ member
+    del around
     unknown, end_class = size + classes, classes + 1
-    words = (source.select("text", "train").mapInArrow(
+    near = written(source.select("text", "train").mapInArrow(
         _word_rows(frequent, cls, size), "block long, code int, word string, n long, around binary")
-        .repartition("word").sortWithinPartitions("word")
-        .mapInArrow(_classify(frequent, cls, forward, backward), "block long, code int, n long, cls int"))
+        .repartition("word").sortWithinPartitions("word").mapInArrow(
+            tidy(_fold(size)), "n long, first boolean, bins array<int>, counts array<long>, blocks array<long>, codes array<int>"), "brown")
+    # the classes of the other words begin as the frequent words' are
+    tables = _exchange_all(near, np.hstack([table[:, :classes].T, table[:classes]]))
+    words = near.select("n", "bins", "counts", "blocks", "codes").mapInArrow(
+        tidy(_classify(tables, size)), "block long, code int, n long, cls int")
     schema = T.StructType([T.StructField("block", T.LongType()), source.schema["row"], source.schema["train"],
-                           T.StructField("codes", T.BinaryType()), T.StructField("table", T.BinaryType())])
+                           *[T.StructField(c, T.BinaryType()) for c in ("codes", "table", "known")]])
     result = T.StructType([source.schema["row"], source.schema["train"], *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")],
                            *[T.StructField(c, T.DoubleType()) for c in ("base", "own")], T.StructField("classes", T.BinaryType())])
-    ready = written(source.mapInArrow(_sequences, schema).groupBy("block").cogroup(words.groupBy("block"))
-                    .applyInArrow(_assemble(end_count, end_class, total, distinct, unknown), result), "brown")
+    assemble = _assemble(end_count, end_class, total, distinct, unknown, top["n"].to_numpy(np.int64), cls[:k])
+    ready = written(source.mapInArrow(_sequences(frequent), schema).groupBy("block").cogroup(words.groupBy("block"))
+                    .applyInArrow(assemble, result), "brown")
     model = _estimate(ready, size + classes + 1, end_class, unknown, size, once, both)
     shared = spark.sparkContext.broadcast(model)  # some thousand numbers
 
@@ -360,7 +474,12 @@ def _estimate(ready: DataFrame, n: int, end_class: int, unknown: int, rare: int,
              .groupBy("pair").agg(F.sum("n").alias("n")).toPandas())  # n squared rows at most
     table = np.zeros(n * n)
     table[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy()
-    table = table.reshape(n, n)
+    return probabilities(table.reshape(n, n), unknown, rare, once, twice)
+
+
+def probabilities(table: np.ndarray, unknown: int, rare: int, once: int, twice: int) -> tuple[np.ndarray, np.ndarray]:
+    """The model from the counts of class pairs; the classes of rare words lie from ``rare`` to ``unknown``."""
+    n = len(table)
     mass = table.sum(axis=0)  # tokens of each class
     share = (mass + 0.1) / (mass + 0.1).sum()
     share[unknown] = 0.0
