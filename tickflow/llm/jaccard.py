@@ -20,7 +20,9 @@ Its product with itself is formed only where a pair can reach the threshold:
   links.
 
 Exact checks work on blocks of pairs: rows of the incidence matrix are made
-once for each distinct text of a block and overlaps are counted by merging.
+once for each distinct text of a block, with the shingles numbered by their
+words, not hashed, and overlaps are counted by merging.  Candidates come from
+64-bit hashes of the words' bytes (xxHash64), which equal shingles share.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.features import word_hashes
 from tickflow.llm.frames import components, outputs_last, written
-from tickflow.llm.text import U64, give_back, mixed, shingle_hashes, sliced, texts_of, tidy, words_of
+from tickflow.llm.text import U64, give_back, shingle_hashes, sliced, string_hashes, texts_of, tidy, words_of
 
 #: Words in a shingle; percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
@@ -49,7 +50,7 @@ FREQUENT, MOST_FREQUENT = 24, 1_000_000
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle, a text without words none."""
     codes, offsets, words = words_of(texts)
-    hashes = mixed(word_hashes(words))[codes] if len(codes) else np.empty(0, U64)
+    hashes = string_hashes(words)[codes] if len(codes) else np.empty(0, U64)
     every = shingle_hashes(hashes, width)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -63,6 +64,28 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def numbered_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+    """As :func:`shingle_sets`, with numbers that stand for the shingles of these texts exactly."""
+    codes, offsets, _ = words_of(texts)
+    ids, length = codes, 1
+    while length < width and len(ids) > 1:  # numbers of longer runs from those of two shorter ones
+        step = length if 2 * length <= width else 1
+        tail = (ids if step == length else codes)[length:][:len(codes) - length - step + 1]
+        head = ids[:len(tail)]
+        ids = np.unique(head * (int(tail.max(initial=0)) + 1) + tail, return_inverse=True)[1]
+        length += step
+    short: dict[tuple, int] = {}
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b - a >= width:
+            out.append(np.unique(ids[a:b - width + 1]))
+        elif b > a:
+            out.append(np.array([-1 - short.setdefault(tuple(codes[a:b].tolist()), len(short))]))
+        else:
+            out.append(codes[:0])
+    return out
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The first n - ceil(percent n / 100) + 1 shingles, frequent ones last, else by hash."""
     n = len(shingles)
@@ -155,7 +178,8 @@ def _linked(width: int, percent: int):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 left, right = (part.column(c).dictionary_encode() for c in ("left", "right"))
-                a, b = (shingle_sets(side.dictionary, width) for side in (left, right))
+                sets = numbered_sets(pa.concat_arrays([left.dictionary, right.dictionary]), width)
+                a, b = sets[:len(left.dictionary)], sets[len(left.dictionary):]
                 keep = []
                 for i, j in zip(left.indices.to_pylist(), right.indices.to_pylist()):
                     x, y = a[i], b[j]
@@ -224,9 +248,12 @@ def _apart(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE,
-                              percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+                              percent: int = PERCENT, frequent: int = FREQUENT, group: str | None = None) -> DataFrame:
     """``docs`` plus n_shingles (size of its set) and component_id (smallest key reachable by links).
 
+    ``group`` names one more column: a number that tells components apart
+    even where their keys repeat (null for rows linked with nothing by rule).
+
     Words are runs of characters but ASCII white space, A-Z lower-cased.  Two
     documents are linked if 100 * intersection >= percent * union of their
     sets of ``width``-word shingles; a text of fewer words is one shingle; a
@@ -274,8 +301,8 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", key: str = "d
     smallest = smallest.withColumn("id", F.when(F.col("h1") == F.col("h2"), F.col("id")).otherwise(
         F.raise_error(F.lit("two texts share a hash")).cast(source.schema["id"].dataType))).join(nodes, "t")
     names = smallest.groupBy("root").agg(F.min("id").alias("component"))
-    named = nodes.join(names, "root").select("t", "n", "component")
+    named = nodes.join(names, "root").select("t", "n", "component", "root")
     out = (source.select("row", "id", "t").join(named, "t", "left")
            .select("row", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-                   F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")))
-    return outputs_last(out, "row", n_shingles="n", component_id="component")
+                   F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "root"))
+    return outputs_last(out, "row", n_shingles="n", component_id="component", **({group: "root"} if group else {}))
