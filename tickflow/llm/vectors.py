@@ -29,6 +29,8 @@ from tickflow.llm.frames import components, outputs_last, written
 
 #: The fit: sampled vectors at most, cells at most, classes aimed at in a cell, rounds.
 SAMPLE, MAX_CELLS, CELL_ROWS, ROUNDS = 50_000, 4096, 1024, 12
+#: Products held at once in the fit (32 MB).
+FIT_NUMBERS = 4 << 20
 #: Cells of a vector: those within ``MARGIN`` in cosine of its nearest, ``PROBES`` at most.
 MARGIN, PROBES = 0.1, 4
 #: Classes in a block of the product.
@@ -44,8 +46,9 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: in
     """Unit centroids; an empty cell keeps its former centroid."""
     rng = np.random.default_rng(seed)
     centroids = vectors[rng.choice(len(vectors), min(k, len(vectors)), replace=False)]
+    step = max(1, FIT_NUMBERS // max(len(centroids), 1))  # rows whose products are held at once
     for _ in range(rounds):
-        cell = np.argmax(vectors @ centroids.T, axis=1)
+        cell = np.concatenate([np.argmax(vectors[at:at + step] @ centroids.T, axis=1) for at in range(0, len(vectors), step)])
         total = np.zeros_like(centroids)
         np.add.at(total, cell, vectors)
         size = np.sqrt(np.einsum("ij,ij->i", total, total))
