@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -124,6 +125,86 @@ def test_brown_scores(spark, docs, texts, empty):
     assert {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)}
 
 
+def brute_brown(texts, train, clustered, classes):
+    """The scores by one pass over plain lists, with the module's exchange of the frequent words and its formulas."""
+    tokens = [WORD.findall((t or "").translate(LOWER)) + ["\n"] for t in texts]
+    learned = [t for t, is_train in zip(tokens, train) if is_train]
+    counts = Counter(w for t in learned for w in t)
+    top = sorted((w for w in counts if w != "\n"), key=lambda w: (-counts[w], w))[:clustered]
+    k, size = len(top), classes + 2
+    place = {w: i for i, w in enumerate(top)} | {"\n": k + 1}
+    bigrams = np.zeros((k + 2, k + 2))
+    for t in learned:
+        for a, b in zip(["\n", *t], t):
+            bigrams[place.get(a, k), place.get(b, k)] += 1
+    cls = brown.exchange(bigrams, classes, 2)
+    member = np.eye(size)[cls]
+    table = member.T @ bigrams @ member
+    near = defaultdict(lambda: np.zeros(2 * size))
+    for t in learned:
+        for a, w, b in zip(["\n", *t], t, [*t[1:], "\n"]):
+            if w not in place:
+                near[w][cls[place.get(a, k)]] += 1
+                near[w][size + cls[place.get(b, k)]] += 1
+    names = sorted(near)
+    seen, n = np.array([near[w] for w in names]).reshape(-1, 2 * size), np.array([counts[w] for w in names])
+    tables, before = np.hstack([table[:, :classes].T, table[:classes]]), None
+    for _ in range(brown.ALL_ROUNDS):
+        now = brown.best_class(seen, n, tables)
+        if before is not None and n[now != before].sum() <= brown.MOVED * n.sum():
+            break
+        before, tables = now, np.array([seen[now == c].sum(axis=0) for c in range(classes)])
+    of = dict(zip(names, (size + brown.best_class(seen, n, tables)).tolist())) | {w: int(cls[i]) for w, i in place.items()}
+    unknown = size + classes
+    pairs = np.zeros((unknown + 1, unknown + 1))
+    for t in learned:
+        for a, b in zip(["\n", *t], t):
+            pairs[of[a], of[b]] += 1
+    once, twice = (sum(v == i for v in counts.values()) for i in (1, 2))
+    transition, emission = brown.probabilities(pairs, unknown, size, once, twice)
+    out = []
+    for t in tokens:
+        c = [of["\n"]] + [of.get(w, unknown) for w in t]
+        out.append(sum(transition[a, b] + emission[b] + (math.log10(counts[w]) if counts[w] else 0) for a, b, w in zip(c, c[1:], t)))
+    return out
+
+
+@pytest.mark.parametrize("clustered, classes", [(20, 3), (1000, 4), (0, 2)])
+def test_brown_scores_equal_brute_force(spark, texts, clustered, classes):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    own = brute_brown(texts, [i % 4 > 0 for i in range(len(texts))], clustered, classes)
+    for r in brown.score(table, F.col("doc_id") % 4 > 0, clustered=clustered, classes=classes).collect():
+        assert math.isclose(r["score"], own[r["doc_id"]], rel_tol=1e-9), r["doc_id"]
+
+
+def test_contexts_are_folded_by_word(monkeypatch):
+    rng = random.Random(9)
+    rows = sorted((rng.choice(["a", "b", "hot", "hot", "hot", "é", "z"]), i // 3, i, rng.randint(0, 4)) for i in range(300))
+    around = [{rng.randrange(6): rng.randint(1, 300) for _ in range(rng.randint(0, 3))} for _ in rows]
+    batches = []
+    for at in range(0, len(rows), 7):
+        some, near = rows[at:at + 7], around[at:at + 7]
+        flat = [x for d in near for pair in sorted(d.items()) for x in pair]
+        packed = pack_varints(np.array(flat, np.int64), np.cumsum([0] + [2 * len(d) for d in near]))
+        batches.append(pa.RecordBatch.from_arrays(
+            [pa.array([r[1] for r in some]), pa.array([r[2] for r in some], pa.int32()), pa.array([r[0] for r in some]),
+             pa.array([r[3] for r in some]), pa.array(packed, pa.binary())], names=["block", "code", "word", "n", "around"]))
+    monkeypatch.setattr(brown, "PLACES", 5)
+    out = [r for b in brown._fold(3)(batches) for r in b.to_pylist()]
+    word_of = {(r[1], r[2]): r[0] for r in rows}
+    assert sorted((b, c) for r in out for b, c in zip(r["blocks"], r["codes"])) == sorted(word_of)
+    firsts = Counter()
+    for r in out:
+        word, = {word_of[b, c] for b, c in zip(r["blocks"], r["codes"])}
+        own = [i for i, x in enumerate(rows) if x[0] == word]
+        assert r["n"] == sum(rows[i][3] for i in own) and len(r["blocks"]) <= max(5, 7)
+        assert dict(zip(r["bins"], r["counts"])) == dict(sum((Counter(around[i]) for i in own), Counter()))
+        firsts[word] += r["first"]
+    assert firsts == Counter({w: 1 for w in set(word_of.values())})
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(3)
     kind = np.arange(24) % 3  # three kinds of words, each followed by the next kind
@@ -459,3 +540,29 @@ def test_words_and_shingles():
     assert [[words[c].as_py() for c in codes[a:b]] for a, b in zip(offsets, offsets[1:])] == [["a", "b", "c"], [], ["É", "b"]]
     assert len(shingle_hashes(np.arange(4, dtype=np.uint64), 5)) == 0
     assert len(set(features.word_hashes(pa.array(["a", "b", "ab", "ba", "é", ""])).tolist())) == 6
+
+
+def test_jaccard_tells_colliding_words_apart(spark):
+    """The Thue-Morse word and its complement, which hashes by powers of an odd number cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ side] for x in bits) for side in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(40))
+    table = spark.createDataFrame([(1, f"{a} x y z"), (2, f"{b} x y z"), (3, " ".join([a] * 9)), (4, " ".join([b] * 9)), (5, f"{rest} {a}"),
+                                   (6, f"{rest} {b}"), (7, a), (8, b)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_components(table).collect()}
+    assert out == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (37, 5), 6: (37, 5), 7: (1, 7), 8: (1, 8)}
+
+
+def test_numbered_sets_equal_sets_of_words():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    for width in (1, 2, 3, 5, 8):
+        sets = jaccard.numbered_sets(pa.array(texts), width)
+        own = []
+        for t in texts:
+            w = t.split()
+            own.append({tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+        for s, o in zip(sets, own):
+            assert len(s) == len(o) and sorted(s.tolist()) == s.tolist()
+        for i, j in itertools.combinations(range(0, 200, 7), 2):
+            assert jaccard.overlap(sets[i], sets[j]) == len(own[i] & own[j])
