@@ -23,7 +23,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the quality rules, learned from the labels."""
+    """Keep documents that pass the quality rules, learned from the labels; a text that is null or empty has no words and fails them.
+
+    Each row is judged by its text alone, repeated rows and ids alike.
+    """
     prepare(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.judge(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
@@ -31,23 +34,37 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep one document of each group of near-duplicates: that of the smallest id (no id counts as larger than all).
+
+    Of several rows of that id in one group, the one of the smallest text
+    stays (of equal ones any).  Rows of one id that are not near-duplicates
+    are groups of their own; a text without words is near nothing and stays.
+    """
     prepare(spark)
-    grouped = jaccard.near_duplicate_components(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
-    first = grouped.where("n_shingles = 0 or component_id is null or doc_id = component_id")
-    single = first.where("n_shingles > 0 and component_id is not null").dropDuplicates(["component_id"])  # repeated rows
-    return single.union(first.where("n_shingles = 0 or component_id is null")).select("doc.*")
+    grouped = jaccard.near_duplicate_components(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"), group="group")
+    first = grouped.where(F.col("group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    single = first.groupBy("group").agg(F.min_by("doc", "text").alias("doc"))
+    return single.select("doc").union(grouped.where("group is null").select("doc")).select("doc.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every passage of 200 bytes or more that occurs again; the text that stays may be empty."""
+    """Cut every passage of 200 bytes or more that occurs again; the text that stays may be empty.
+
+    A null text stays null, and n_chars, where there is such a column, follows the text.
+    """
     prepare(spark)
-    cut = substrings.remove_repeats(docs).withColumn("text", substrings.as_text("kept"))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    cut = substrings.remove_repeats(docs.select(rest.alias("doc"), "text"))
+    cut = cut.withColumn("text", F.when(F.col("text").isNotNull(), substrings.as_text("kept")))
+    chars = lambda f: F.coalesce(F.length("text"), F.lit(0)).cast(f.dataType) if f.name == "n_chars" else F.col("doc")[f.name]
+    return cut.select(*[F.col("text") if f.name == "text" else chars(f).alias(f.name) for f in docs.schema.fields])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048: one row per piece of a document."""
+    """Token sequences of 2048: one row per piece of a document, with its doc_id; no other column is carried.
+
+    A null or empty text is its end token; repeated rows and ids are documents of their own.
+    """
     prepare(spark)
     return packing.pack(docs.select("doc_id", "text"), vocab.default_path("byte_bpe_50k.json"))
 
