@@ -150,11 +150,11 @@ def brute_brown(texts, train, clustered, classes):
     seen, n = np.array([near[w] for w in names]).reshape(-1, 2 * size), np.array([counts[w] for w in names])
     tables, before = np.hstack([table[:, :classes].T, table[:classes]]), None
     for _ in range(brown.ALL_ROUNDS):
-        now = brown.best_class(seen, n, tables)
+        now = np.argmax(seen @ brown.weights_of(tables), axis=1)
         if before is not None and n[now != before].sum() <= brown.MOVED * n.sum():
             break
         before, tables = now, np.array([seen[now == c].sum(axis=0) for c in range(classes)])
-    of = dict(zip(names, (size + brown.best_class(seen, n, tables)).tolist())) | {w: int(cls[i]) for w, i in place.items()}
+    of = dict(zip(names, (size + np.argmax(seen @ brown.weights_of(tables), axis=1)).tolist())) | {w: int(cls[i]) for w, i in place.items()}
     unknown = size + classes
     pairs = np.zeros((unknown + 1, unknown + 1))
     for t in learned:
