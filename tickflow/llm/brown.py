@@ -70,10 +70,10 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = ROUNDS
     n = len(bigrams) - fixed
     size = classes + fixed
     cls = np.concatenate([np.arange(n) % classes, classes + np.arange(fixed)])
-    member = np.zeros((len(bigrams), size))
-    member[np.arange(len(bigrams)), cls] = 1
-    before, after = bigrams.T @ member, bigrams @ member  # counts with each class to the left and to the right
-    table = member.T @ after
+    # counts with each class to the left and to the right
+    before = np.stack([bigrams[cls == c].sum(axis=0) for c in range(size)], axis=1)
+    after = np.stack([bigrams[:, cls == c].sum(axis=1) for c in range(size)], axis=1)
+    table = np.stack([after[cls == c].sum(axis=0) for c in range(size)])
     own = np.diag(bigrams)
     for _ in range(rounds):
         moved = 0
@@ -157,6 +157,13 @@ def _bigram_counts(frequent: pa.Array):
     return run
 
 
+def _as_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and counts of a batch as one row of bytes."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary())
+                                          for c in ("pair", "n")], names=["pair", "n"])
+
+
 def _word_rows(frequent: pa.Array, classes: np.ndarray, size: int):
     """(block, code, word, n, around) of the words that are not frequent: training count in the block, classes around as bin, count.
 
@@ -199,13 +206,12 @@ def _fold(size: int):
     """
     bins = 2 * size
 
-    def rows(n, seen, first, blocks, codes, cut) -> pa.RecordBatch:
-        word, place = np.nonzero(seen)
-        where = np.searchsorted(word, np.arange(len(n) + 1)).astype(np.int32)
+    def rows(n, first, owner, place, count, blocks, codes, cut) -> pa.RecordBatch:
+        where = np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)
         listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
         return pa.RecordBatch.from_arrays(
             [pa.array(n.astype(np.int64)), pa.array(first), listed(where, place.astype(np.int32)),
-             listed(where, seen[word, place].astype(np.int64)), listed(cut.astype(np.int32), blocks), listed(cut.astype(np.int32), codes)],
+             listed(where, count.astype(np.int64)), listed(cut.astype(np.int32), blocks), listed(cut.astype(np.int32), codes)],
             names=["n", "first", "bins", "counts", "blocks", "codes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,78 +220,95 @@ def _fold(size: int):
         def closed() -> Iterator[pa.RecordBatch]:
             _, n, seen, places = open_
             blocks, codes = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+            place = np.flatnonzero(seen)
             for at in range(0, len(blocks), PLACES):
                 part = slice(at, at + PLACES)
-                yield rows(np.array([n]), seen[None], np.array([at == 0]), blocks[part], codes[part], np.array([0, len(blocks[part])]))
+                yield rows(np.array([n]), np.array([at == 0]), np.zeros(len(place), np.int64), place, seen[place],
+                           blocks[part], codes[part], np.array([0, len(blocks[part])]))
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                block, code = part.column("block").to_numpy(), part.column("code").to_numpy()
-                word = part.column("word").dictionary_encode()
-                index = word.indices.to_numpy().astype(np.int64)
-                names = word.dictionary
-                n = np.bincount(index, part.column("n").to_numpy(), len(names))
-                flat, where = unpack_varints(part.column("around"))
-                owner = np.repeat(index, np.diff(where) // 2)
-                seen = np.bincount(owner * bins + flat[::2], flat[1::2], len(names) * bins).reshape(-1, bins)
-                cut = np.searchsorted(index, np.arange(len(names) + 1))
-                begin = 0
-                if open_ is not None and open_[0] == names[0].as_py():
-                    open_[1] += n[0]
-                    open_[2] += seen[0]
-                    open_[3].append((block[:cut[1]], code[:cut[1]]))
-                    begin = 1
-                if begin == len(names):
-                    continue
-                if open_ is not None:
-                    yield from closed()
-                last = len(names) - 1
-                if begin < last:
-                    inner = slice(begin, last)
-                    at = cut[begin:last + 1]
-                    yield rows(n[inner], seen[inner], np.ones(last - begin, bool), block[at[0]:at[-1]], code[at[0]:at[-1]], at - at[0])
-                open_ = [names[last].as_py(), n[last], seen[last].copy(), [(block[cut[last]:], code[cut[last]:])]]
+            block, code = batch.column("block").to_numpy(), batch.column("code").to_numpy()
+            word = batch.column("word").dictionary_encode()
+            index = word.indices.to_numpy().astype(np.int64)
+            names = word.dictionary
+            if not len(names):
+                continue
+            n = np.bincount(index, batch.column("n").to_numpy(), len(names))
+            flat, where = unpack_varints(batch.column("around"))
+            key, of = np.unique(np.repeat(index, np.diff(where) // 2) * bins + flat[::2], return_inverse=True)
+            count = np.bincount(of, flat[1::2], len(key))
+            owner, place = key // bins, key % bins
+            dense = lambda w: np.bincount(place[owner == w], count[owner == w], bins)
+            cut = np.searchsorted(index, np.arange(len(names) + 1))
+            begin, last = 0, len(names) - 1
+            if open_ is not None and open_[0] == names[0].as_py():
+                open_[1] += n[0]
+                open_[2] += dense(0)
+                open_[3].append((block[:cut[1]], code[:cut[1]]))
+                begin = 1
+            if begin > last:
+                continue
+            if open_ is not None:
+                yield from closed()
+            if begin < last:
+                at = cut[begin:last + 1]
+                low, high = np.searchsorted(owner, [begin, last])
+                yield rows(n[begin:last], np.ones(last - begin, bool), owner[low:high] - begin, place[low:high], count[low:high],
+                           block[at[0]:at[-1]], code[at[0]:at[-1]], at - at[0])
+            open_ = [names[last].as_py(), n[last], dense(last), [(block[cut[last]:], code[cut[last]:])]]
         if open_ is not None:
             yield from closed()
     return run
 
 
-def _contexts(batch: pa.RecordBatch, bins: int) -> np.ndarray:
-    """The counts around each word of a batch: a row a word."""
-    cut = batch.column("bins").offsets.to_numpy()
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(cut))
-    place = batch.column("bins").flatten().to_numpy().astype(np.int64)
-    return np.bincount(owner * bins + place, batch.column("counts").flatten().to_numpy(), batch.num_rows * bins).reshape(-1, bins)
+#: Words whose classes are weighed at once.
+WEIGHED = 8192
+
+
+def _contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the words of a batch in their bins, the bins, and the counts."""
+    bins = batch.column("bins")
+    offsets = bins.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], bins.flatten().to_numpy().astype(np.int64), batch.column("counts").flatten().to_numpy()
 
 
-def best_class(seen: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """The class that each word raises the likelihood of most.
+def weights_of(tables: np.ndarray) -> np.ndarray:
+    """(bins, classes): what one count around a word adds to the likelihood in each class.
 
-    ``tables`` (classes, bins) counts what stands around each class's words:
-    the likelihood's slope is the sum of log counts around, less both of the
-    class's own terms.
+    ``tables`` (classes, bins) counts what stands around each class's words.
+    The likelihood's slope is the log count around, less the class's own
+    term; a word has two neighbours a token, which makes both terms of it.
     """
-    smooth = np.log(tables + 0.1)
-    mass = np.log((tables + 0.1).sum(axis=1) / 2)
-    return np.argmax(seen @ smooth.T - 2 * n[:, None] * mass, axis=1)
+    smooth = tables + 0.1
+    return (np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True) / 2)).T.copy()
+
+
+def best_class(offsets: np.ndarray, bins: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The class that each word raises the likelihood of most (0 for a word without contexts)."""
+    gain = np.zeros((len(offsets) - 1, weights.shape[1]))
+    real = np.flatnonzero(np.diff(offsets))
+    if len(real):
+        gain[real] = np.add.reduceat(weights[bins] * counts[:, None], offsets[real], axis=0)
+    return np.argmax(gain, axis=1)
 
 
 def _exchange_round(tables: np.ndarray, before: np.ndarray | None):
     """Sums (bin of all classes' tables, n) of the words in their best classes; bin -1: tokens of words that moved."""
     classes, bins = tables.shape
+    now, then = weights_of(tables), None if before is None else weights_of(before)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, moved = np.zeros((classes, bins)), 0
+        total, moved = np.zeros(classes * bins), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                seen, n = _contexts(part, bins), part.column("n").to_numpy()
-                cls = best_class(seen, n, tables)
-                np.add.at(total, cls, seen)
-                moved += int(n.sum() if before is None else n[cls != best_class(seen, n, before)].sum())
+            for at in range(0, batch.num_rows, WEIGHED):
+                part = batch.slice(at, WEIGHED)
+                offsets, place, count = _contexts(part)
+                n = part.column("n").to_numpy()
+                cls = best_class(offsets, place, count, now)
+                total += np.bincount(np.repeat(cls, np.diff(offsets)) * bins + place, count, classes * bins)
+                moved += int(n.sum() if then is None else n[cls != best_class(offsets, place, count, then)].sum())
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total.ravel()[at], moved).astype(np.int64))],
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], moved).astype(np.int64))],
                                          names=["bin", "n"])
     return run
 
@@ -310,14 +333,14 @@ def _exchange_all(words: DataFrame, tables: np.ndarray, rounds: int = ALL_ROUNDS
 
 def _classify(tables: np.ndarray, first_class: int):
     """Rows of words to (block, code, n, cls): the word's count in the corpus, and its class (-1: not in training)."""
-    bins = tables.shape[1]
+    weights = weights_of(tables)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, WEIGHED):
+                part = batch.slice(at, WEIGHED)
                 n = part.column("n").to_numpy()
-                cls = np.where(n > 0, first_class + best_class(_contexts(part, bins), n, tables), -1)
+                cls = np.where(n > 0, first_class + best_class(*_contexts(part), weights), -1)
                 blocks, codes = part.column("blocks"), part.column("codes")
                 word = np.repeat(np.arange(len(n)), np.diff(blocks.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays(
@@ -414,17 +437,15 @@ def score(docs: DataFrame, train: Column, text: str = "text", clustered: int = C
     end_count = ends[0][0] if ends else 0
     frequent = pa.array(top["word"].tolist(), pa.string())
     size, k = classes + 2, len(frequent)  # classes of frequent words, of all others together, of the end
-    pairs = (learned.mapInArrow(_bigram_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-             .toPandas())  # (clustered + 2) squared rows at most
+    pairs = learned.mapInArrow(_bigram_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     bigrams = np.zeros((k + 2) ** 2)
-    bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy()
+    for part in written(pairs, "brown").mapInArrow(_as_bytes, "pair binary, n binary").toLocalIterator():  # (clustered + 2) squared pairs at most
+        bigrams[np.frombuffer(part["pair"], np.int64)] = np.frombuffer(part["n"], np.int64)
     around = bigrams.reshape(k + 2, k + 2)
     cls = exchange(around, classes, 2)
-    del bigrams
-    member = np.zeros((k + 2, size))
-    member[np.arange(k + 2), cls] = 1
-    table = member.T @ around @ member
-    del around
+    rows = np.stack([around[cls == c].sum(axis=0) for c in range(size)])
+    table = np.stack([rows[:, cls == c].sum(axis=1) for c in range(size)], axis=1)
+    del around, bigrams, rows
     unknown, end_class = size + classes, classes + 1
     near = written(source.select("text", "train").mapInArrow(
         _word_rows(frequent, cls, size), "block long, code int, word string, n long, around binary")
