@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,39 @@ ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, and put this checkout on the Python workers' path where it is not yet."""
+    """Bound Arrow batches by bytes, and see to it that the Python workers find this package.
+
+    A local session, and a cluster whose PYTHONPATH names the checkout, use
+    its path; another gets the package itself, as a zip file in the shared folder.
+    """
     own_folder_if_local(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+    package = Path(__file__).resolve().parents[1]
+    root, context = str(package.parent), spark.sparkContext
+    paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths or getattr(context, "_tickflow_shipped", False):
+        return
+    if context.master.startswith("local[") or context.master == "local" or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+    else:
+        _ship(spark, package)
+        context._tickflow_shipped = True
+
+
+def _ship(spark: SparkSession, package: Path) -> None:
+    """Add ``package`` to the session's Python files, by way of the shared folder."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    where = shared_path(spark, f"{package.name}-{uuid.uuid4().hex}.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    try:
+        stream.write(bytearray(raw.getvalue()))
+    finally:
+        stream.close()
+    spark.sparkContext.addPyFile(where)
 
 
 def outputs_last(df: DataFrame, row: str, **outputs) -> DataFrame:

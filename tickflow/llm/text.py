@@ -19,7 +19,7 @@ import xxhash
 #: Text bytes of one unit of work inside a task (bounds a Python worker's memory).
 BLOCK_BYTES = 16 << 20
 #: Bytes that a row counts for besides its text, so that many short texts fill a block too.
-ROW_BYTES = 64
+ROW_BYTES = 16
 
 U64 = np.uint64
 
