@@ -17,9 +17,10 @@ pass are exactly the repeated windows.  The passes are shuffles:
    run; only runs with equal first and different second digits are exploded
    into one row per window.  Both ways give the same windows.
 
-Counts are aggregated before they are shuffled, and members get them by plain
-joins, which adaptive execution splits where a digit is hot.  Texts are
-shuffled by their hash.
+Nothing is put in order but small groups: a pass brings equal digits together,
+which is what the order is needed for.  Counts are aggregated before they are
+shuffled and written; members get them by joins of two tables, which adaptive
+execution splits where a digit is hot.  Texts are shuffled by their hash.
 """
 
 from __future__ import annotations
@@ -245,12 +246,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
     source = source.withColumn("t", F.xxhash64("text")).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
     found = (source.where(F.col("n") >= width).select("t", "n", "text")
              .mapInArrow(tidy(_anchor_rows(width, block), forget_powers), "digit long, region long, t long, n int, place long"))
-    shared = found.groupBy("digit").agg(F.count("*").alias("count")).where("count > 1")
+    found = written(found, "substrings")  # anchors are made once
+    shared = written(found.groupBy("digit").agg(F.count("*").alias("count")).where("count > 1"), "substrings")
     equal = written(found.join(shared, "digit"), "substrings")
     regions = equal.groupBy("digit", "region").agg(
         F.count("*").alias("times"), F.max("count").alias("count"), F.min(F.struct("t", "n", "place")).alias("one"))
-    whole = (equal.join(regions.where("times > 1").select("digit", "region"), ["digit", "region"])
-             .select("t", "n", "place").distinct())
+    several = written(regions.where("times > 1").select("digit", "region"), "substrings")
+    whole = equal.join(several, ["digit", "region"]).select("t", "n", "place").distinct()
     open_ = (regions.where("times < count")
              .select(F.col("one.t").alias("t"), F.col("one.n").alias("n"),
                      F.struct("digit", "region", "count", (F.col("times") == 1).alias("alone"), F.col("one.place").alias("place")).alias("a"))
