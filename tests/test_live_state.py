@@ -248,3 +248,22 @@ def test_pooled_fit_equals_numpy(spark, sf_dir):
     with pytest.raises(ValueError, match="no rows"):
         fc.fit_pooled(training.limit(0))
     assert S.WINDOW_SIZE == len(coef)
+
+
+# -- C7 -------------------------------------------------------------------------------
+
+def test_result_documents_follow_the_fit(spark, sf_dir):
+    from tickflow.operators import workflow as wf
+
+    b = bars(spark, sf_dir)
+    symbols = sorted(r["symbol"] for r in b.select("symbol").distinct().collect())
+    coefs = fc.equal_weights(b).where(F.col("symbol") != symbols[0])  # one symbol was never fitted
+    asked = b.select("symbol").distinct().union(spark.createDataFrame([("NONE",)], "symbol string"))
+    docs = {r["symbol"]: r["document"] for r in wf.result_documents(asked, b, None, coefs, "2001-01-01 00:00:00").collect()}
+    assert sorted(docs) == symbols
+    for symbol, d in docs.items():
+        trained = symbol != symbols[0]
+        assert d["models_trained"].asDict() == {"lstm": trained, "prophet": False}
+        assert (d["predictions"]["lstm_predictions"] is not None) == trained
+        assert d["data"]["symbol"] == symbol and d["data"]["current_price"] > 0
+        assert list(d["data"].asDict()) == ["symbol", *S.FALLBACK_CURRENT_DATA]

@@ -101,6 +101,32 @@ def analysis_id(symbol: Column, asof: Column) -> Column:
     return deterministic_id(F.lit("analysis"), symbol, asof.cast("string"))
 
 
+def result_documents(requests: DataFrame, bars: DataFrame, quotes: DataFrame | None, coefs: DataFrame, asof: str,
+                     seed: int = 42, digits: int = 2) -> DataFrame:
+    """The result document (one struct per symbol) of every requested analysis that completes.
+
+    Data and forecast are the symbol's own; the trained flag says whether the
+    symbol has fitted coefficients.  A symbol without current data gets the
+    fallback row, one without coefficients no forecast.
+    """
+    done = outcomes(requests, bars).filter("predicted").select("symbol")
+    fitted = coefs.select("symbol").distinct().withColumn("_lstm", F.lit(True))
+    doc = fc.prediction_document(fc.forecast(bars, coefs, seed=seed)).select(
+        "symbol", F.struct("dates", "prices", "lower_bound", "upper_bound").alias("_lstm_predictions"))
+    cur = ind.current_data(bars, quotes, digits=digits)
+    data_fields = ["current_price", "change", "change_pct", "volume", F.col("data_source").alias("source")]
+    cur = cur.select("symbol", F.struct("symbol", *data_fields).alias("_data"))
+    default = S.FALLBACK_CURRENT_DATA | {"volume": F.lit(S.FALLBACK_CURRENT_DATA["volume"]).cast("bigint")}
+    fallback = F.struct("symbol", *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in default.items()])
+    j = done.join(cur, "symbol", "left").join(doc, "symbol", "left").join(fitted, "symbol", "left")
+    at = F.lit(asof).cast("timestamp_ntz")
+    return j.select("symbol", F.struct(
+        analysis_id(F.col("symbol"), at).alias("request_id"), F.col("symbol"), F.lit("completed").alias("status"),
+        iso(at).alias("timestamp"), F.lit(S.MODEL_TYPE_RESULT).alias("model_type"), F.coalesce("_data", fallback).alias("data"),
+        F.struct(F.col("_lstm_predictions").alias("lstm_predictions"), F.lit(None).cast("string").alias("prophet_predictions")).alias("predictions"),
+        F.struct(F.coalesce("_lstm", F.lit(False)).alias("lstm"), F.lit(False).alias("prophet")).alias("models_trained")).alias("document"))
+
+
 def workflow_events(requests: DataFrame, bars: DataFrame, quotes: DataFrame | None,
                     coefs: DataFrame, asof: str,
                     training: DataFrame | None = None) -> DataFrame:

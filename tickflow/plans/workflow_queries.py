@@ -120,6 +120,32 @@ def q_result_document(spark, sf_dir):
         total.alias("prices_sum"), F.lit(True).alias("lstm_trained"))
 
 
+@register("result_documents", ids=("C7", "M2", "P9"), sql=f"""
+    WITH fl AS ({_FLAGS_SQL}), cur AS ({_CURRENT_SQL}),
+    ends AS (SELECT o_orderpriority AS symbol, max(o_orderdate) AS last_ts FROM orders GROUP BY 1)
+    SELECT fl.symbol, substr(sha256('analysis|' || fl.symbol || '|{ASOF}'), 1, 32) AS request_id, 'completed' AS status,
+           '{S.MODEL_TYPE_RESULT}' AS model_type, c.current_price, c.change, c.change_pct, c.volume, 'hybrid_lstm_only' AS source,
+           CAST({S.DAYS_AHEAD} AS BIGINT) AS n_days, strftime(e.last_ts + INTERVAL 1 DAY, '%Y-%m-%d') AS first_date,
+           strftime(e.last_ts + INTERVAL {S.DAYS_AHEAD} DAY, '%Y-%m-%d') AS last_date, TRUE AS in_band,
+           TRUE AS lstm_trained, FALSE AS prophet_trained
+    FROM fl JOIN cur c ON c.symbol = fl.symbol JOIN ends e ON e.symbol = fl.symbol
+    WHERE fl.data_points - {S.WINDOW_SIZE} >= {S.MIN_ROWS}""")
+def q_result_documents(spark, sf_dir):
+    """Documents of every analysis that completes, forecast by the fitted models:
+    the fields that do not depend on the coefficients, and that the band holds its bounds."""
+    requests, all_bars = workflow_inputs(spark, sf_dir, materialized=True)
+    coefs = materialize(fc.fit_linear(fc.training_set(all_bars)))
+    docs = wf.result_documents(requests, all_bars, order_quotes(spark, sf_dir), coefs, ASOF, digits=6)
+    p, d = "document.predictions.lstm_predictions", "document.data"
+    band = F.arrays_zip(F.col(f"{p}.lower_bound").alias("lo"), F.col(f"{p}.upper_bound").alias("hi"))
+    return docs.select(
+        "symbol", "document.request_id", "document.status", "document.model_type",
+        *[F.col(f"{d}.{c}").alias(c) for c in ("current_price", "change", "change_pct", "volume", "source")],
+        F.size(f"{p}.dates").cast("bigint").alias("n_days"), F.element_at(f"{p}.dates", 1).alias("first_date"),
+        F.element_at(f"{p}.dates", -1).alias("last_date"), F.forall(band, lambda x: x["lo"] <= x["hi"]).alias("in_band"),
+        F.col("document.models_trained.lstm").alias("lstm_trained"), F.col("document.models_trained.prophet").alias("prophet_trained"))
+
+
 @register("chart_series", ids=("U1",), sql=_paths_with_ctes("""
     SELECT symbol, 'historical' AS series, CAST(ts AS DATE) AS date, round(close, 2) AS price,
            CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
