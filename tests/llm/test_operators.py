@@ -15,7 +15,7 @@ import tiktoken
 
 from tickflow.llm import bpe, brown, chat, features, jaccard, langid, packing, quality, sharding, substrings, suffixes, vectors, vocab
 from tickflow.llm.frames import components, prepare
-from tickflow.llm.text import pack_varints, shingle_hashes, unpack_varints, words_of
+from tickflow.llm.text import byte_hashes, pack_varints, shingle_hashes, unpack_varints, words_of
 
 DOCS = "doc_id long, text string, lang string, score double, n string"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -553,6 +553,17 @@ def test_jaccard_tells_colliding_words_apart(spark):
     assert out == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (37, 5), 6: (37, 5), 7: (1, 7), 8: (1, 8)}
 
 
+def test_byte_hashes():
+    rng = random.Random(6)
+    values = sorted({"".join(rng.choice("abé\x00中") for _ in range(rng.randint(0, 30))) for _ in range(4000)} | {"", "a", "a\x00", "a" * 8, "a" * 9})
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    values += ["".join("ab"[x ^ side] for x in bits) for side in (0, 1)]
+    hashes = byte_hashes(pa.array(["skip", *values])[1:])
+    assert len(set(hashes.tolist())) == len(values)
+    assert byte_hashes(pa.array(values[::-1])).tolist() == hashes[::-1].tolist()
+    assert len(byte_hashes(pa.array([], pa.string()))) == 0
+
+
 def test_numbered_sets_equal_sets_of_words():
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(200)]

@@ -22,7 +22,7 @@ Its product with itself is formed only where a pair can reach the threshold:
 Exact checks work on blocks of pairs: rows of the incidence matrix are made
 once for each distinct text of a block, with the shingles numbered by their
 words, not hashed, and overlaps are counted by merging.  Candidates come from
-64-bit hashes of the words' bytes (xxHash64), which equal shingles share.
+64-bit hashes of the words' bytes, which equal shingles share.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm.frames import components, outputs_last, written
-from tickflow.llm.text import U64, give_back, shingle_hashes, sliced, string_hashes, texts_of, tidy, words_of
+from tickflow.llm.text import U64, byte_hashes, give_back, shingle_hashes, sliced, texts_of, tidy, words_of
 
 #: Words in a shingle; percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
@@ -50,7 +50,7 @@ FREQUENT, MOST_FREQUENT = 24, 1_000_000
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle, a text without words none."""
     codes, offsets, words = words_of(texts)
-    hashes = string_hashes(words)[codes] if len(codes) else np.empty(0, U64)
+    hashes = byte_hashes(words)[codes] if len(codes) else np.empty(0, U64)
     every = shingle_hashes(hashes, width)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -171,22 +171,30 @@ def _prefix_rows(frequent, width: int, percent: int):
     return run
 
 
+def _reach(part: pa.RecordBatch, sets_of, percent: int) -> np.ndarray:
+    """Which pairs of texts reach the threshold, by the sets that ``sets_of`` makes of the distinct texts."""
+    left, right = (part.column(c).dictionary_encode() for c in ("left", "right"))
+    sets = sets_of(pa.concat_arrays([left.dictionary, right.dictionary]))
+    a, b = sets[:len(left.dictionary)], sets[len(left.dictionary):]
+    keep = []
+    for i, j in zip(left.indices.to_pylist(), right.indices.to_pylist()):
+        x, y = a[i], b[j]
+        least = -(-percent * max(len(x), len(y)) // 100)  # an intersection below cannot do
+        common = overlap(x, y) if min(len(x), len(y)) >= max(least, 1) else 0
+        keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+    return np.array(keep, bool)
+
+
 def _linked(width: int, percent: int):
-    """Pairs of texts to those that reach the threshold."""
+    """Pairs of texts to those that reach the threshold: by hashes, and those that do once more by numbered shingles."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                left, right = (part.column(c).dictionary_encode() for c in ("left", "right"))
-                sets = numbered_sets(pa.concat_arrays([left.dictionary, right.dictionary]), width)
-                a, b = sets[:len(left.dictionary)], sets[len(left.dictionary):]
-                keep = []
-                for i, j in zip(left.indices.to_pylist(), right.indices.to_pylist()):
-                    x, y = a[i], b[j]
-                    least = -(-percent * max(len(x), len(y)) // 100)  # an intersection below cannot do
-                    common = overlap(x, y) if min(len(x), len(y)) >= max(least, 1) else 0
-                    keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                part = part.filter(pa.array(_reach(part, lambda texts: shingle_sets(texts, width), percent)))
+                if part.num_rows:
+                    part = part.filter(pa.array(_reach(part, lambda texts: numbered_sets(texts, width), percent)))
+                yield part.select(["a", "b"])
     return run
 
 
