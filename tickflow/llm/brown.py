@@ -238,7 +238,7 @@ def _fold(size: int):
             key, of = np.unique(np.repeat(index, np.diff(where) // 2) * bins + flat[::2], return_inverse=True)
             count = np.bincount(of, flat[1::2], len(key))
             owner, place = key // bins, key % bins
-            dense = lambda w: np.bincount(place[owner == w], count[owner == w], bins)
+            dense = lambda w: np.bincount(place[owner == w], count[owner == w], bins).astype(np.int64)
             cut = np.searchsorted(index, np.arange(len(names) + 1))
             begin, last = 0, len(names) - 1
             if open_ is not None and open_[0] == names[0].as_py():
