@@ -262,7 +262,7 @@ def _fold(size: int):
 
 
 #: Words whose classes are weighed at once.
-WEIGHED = 8192
+WEIGHED = 1024
 
 
 def _contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,7 +288,9 @@ def best_class(offsets: np.ndarray, bins: np.ndarray, counts: np.ndarray, weight
     gain = np.zeros((len(offsets) - 1, weights.shape[1]))
     real = np.flatnonzero(np.diff(offsets))
     if len(real):
-        gain[real] = np.add.reduceat(weights[bins] * counts[:, None], offsets[real], axis=0)
+        each = weights[bins]
+        each *= counts[:, None]
+        gain[real] = np.add.reduceat(each, offsets[real], axis=0)
     return np.argmax(gain, axis=1)
 
 
