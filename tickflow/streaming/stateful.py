@@ -7,15 +7,12 @@ reads and writes the state of the keys it touches, and no other.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from tickflow import schemas as S
+from tickflow.functions.processors import BUFFERS, COMMAND, RingBuffer, StatusBefore
 from tickflow.operators import events as evo
 from tickflow.streaming.live import changelog_writer, read_changelog
 
@@ -37,35 +34,15 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-# -- T7: the last n trades per symbol ----------------------------------------------------
-
-TRADE = T.StructType([T.StructField("trade_id", T.LongType()), T.StructField("ts", T.TimestampType()),
-                      T.StructField("price", T.DoubleType()), T.StructField("size", T.LongType())])
-BUFFERS = T.StructType([T.StructField("symbol", T.StringType()), *TRADE.fields])
-
-
-class RingBuffer(StatefulProcessor):
-    """Per symbol a list state of its newest ``n`` trades, by (ts, trade_id); a touched symbol's buffer comes out whole."""
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp")).alias(column)
 
-    def __init__(self, n: int):
-        self.n = n
 
-    def init(self, handle) -> None:
-        self.buffer = handle.getListState("buffer", TRADE)
+def _time(column: str) -> Column:
+    return F.timestamp_micros(column).cast("timestamp_ntz").alias(column)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = TRADE.names
-        held = pd.DataFrame([tuple(row) for row in self.buffer.get()], columns=names)
-        for part in rows:  # never more than the buffer and one Arrow batch at a time
-            both = part[names] if held.empty else pd.concat([held, part[names]])
-            held = both.sort_values(["ts", "trade_id"]).tail(self.n)
-        self.buffer.put([(int(i), t.to_pydatetime() if hasattr(t, "to_pydatetime") else t, float(p), int(s))
-                         for i, t, p, s in held.itertuples(index=False)])
-        yield held.assign(symbol=key[0])[BUFFERS.names]
-
-    def close(self) -> None:
-        pass
 
+# -- T7: the last n trades per symbol ----------------------------------------------------
 
 def ring_buffer_stream(ticks_stream: DataFrame, path: str, checkpoint: str, n: int = S.RING_BUFFER):
     """T7 live: the buffers of the symbols of each micro-batch, appended to a changelog.
@@ -73,7 +50,7 @@ def ring_buffer_stream(ticks_stream: DataFrame, path: str, checkpoint: str, n: i
     Start it inside :func:`rocksdb_state`.  A trade without symbol, time or
     price is no trade and is left out.
     """
-    rows = ticks_stream.select("symbol", "trade_id", F.col("ts").cast("timestamp").alias("ts"), "price",
+    rows = ticks_stream.select("symbol", "trade_id", _micros("ts"), "price",
                                F.coalesce("size", F.lit(0)).cast("long").alias("size")).dropna()
     out = rows.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=RingBuffer(n), outputStructType=BUFFERS, outputMode="Update", timeMode="None")
@@ -86,49 +63,11 @@ def ring_buffer_table(spark: SparkSession, path: str) -> DataFrame:
     rows = read_changelog(spark, path)
     newest = rows.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
     return (rows.join(newest, ["symbol", "batch_id"], "left_semi")
-            .select("trade_id", "symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price", "size"))
+            .select("trade_id", "symbol", _time("ts"), "price", "size"))
 
 
 # -- C1: the status of an aggregate when a command comes --------------------------------
 
-COMMAND = T.StructType([
-    T.StructField("command_id", T.StringType()), T.StructField("aggregate_id", T.StringType()),
-    T.StructField("metadata", T.StringType()), T.StructField("timestamp", T.TimestampType()),
-    T.StructField("previous_status", T.StringType())])
-
-
-class StatusBefore(StatefulProcessor):
-    """Per aggregate a value state of its status; commands come out with the status before them.
-
-    Rows of a micro-batch are taken by time, events before commands of the
-    same instant; an event older than the newest seen does not change the
-    status (in-order input has none).
-    """
-
-    def init(self, handle) -> None:
-        self.status = handle.getValueState("status", "status string, ts timestamp, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["timestamp", "kind", "seq"])  # an aggregate's part of one micro-batch
-        status, at = S.STATUS_IDLE, None
-        if self.status.exists():
-            status, *at = self.status.get()
-            at = (pd.Timestamp(at[0]), at[1])
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.kind:
-                out.append((r.command_id, key[0], r.metadata, r.timestamp, status))
-            elif at is None or (r.timestamp, r.seq) >= at:
-                status, at = r.status, (r.timestamp, r.seq)
-        if at is not None:
-            self.status.update((status, at[0].to_pydatetime(), int(at[1])))
-        if out:
-            yield pd.DataFrame(out, columns=COMMAND.names)
-
-    def close(self) -> None:
-        pass
-
-
 def commands_stream(log_stream: DataFrame, command_stream: DataFrame, path: str, checkpoint: str):
     """C1 live: RequestAnalysis commands become AnalysisRequested events as they arrive, beside the log.
 
@@ -136,13 +75,13 @@ def commands_stream(log_stream: DataFrame, command_stream: DataFrame, path: str,
     """
     none = F.lit(None).cast("string")
     events = evo.status_changes(log_stream).select(
-        "aggregate_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "seq", F.lit(0).alias("kind"), "status",
+        "aggregate_id", _micros("timestamp"), "seq", F.lit(0).alias("kind"), "status",
         none.alias("command_id"), none.alias("metadata"))
     asked = command_stream.select(
-        "aggregate_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "seq", F.lit(1).alias("kind"),
+        "aggregate_id", _micros("timestamp"), "seq", F.lit(1).alias("kind"),
         none.alias("status"), "command_id", "metadata")
     told = events.unionByName(asked).groupBy("aggregate_id").transformWithStateInPandas(
-        statefulProcessor=StatusBefore(), outputStructType=COMMAND, outputMode="Append", timeMode="None")
-    out = evo.requested_events(told.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+        statefulProcessor=StatusBefore(S.STATUS_IDLE), outputStructType=COMMAND, outputMode="Append", timeMode="None")
+    out = evo.requested_events(told.withColumn("timestamp", _time("timestamp")))
     return (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .outputMode("append"))
