@@ -36,14 +36,14 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: that of the smallest id (no id counts as larger than all).
 
-    Of several rows of that id in one group, the one of the smallest text
-    stays (of equal ones any).  Rows of one id that are not near-duplicates
+    Of several rows of that id in one group, the one whose text has the
+    smallest hash stays (of equal ones any).  Rows of one id that are not near-duplicates
     are groups of their own; a text without words is near nothing and stays.
     """
     prepare(spark)
     grouped = jaccard.near_duplicate_components(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"), group="group")
     first = grouped.where(F.col("group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    single = first.groupBy("group").agg(F.min_by("doc", "text").alias("doc"))
+    single = first.groupBy("group").agg(F.min_by("doc", F.xxhash64("text")).alias("doc"))
     return single.select("doc").union(grouped.where("group is null").select("doc")).select("doc.*")
 
 
