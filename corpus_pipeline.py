@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     prepare(spark)
     grouped = jaccard.near_duplicate_components(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"), group="group")
     first = grouped.where(F.col("group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    single = first.groupBy("group").agg(F.min_by("doc", F.xxhash64("text")).alias("doc"))
+    single = first.groupBy("group").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc"))
     return single.select("doc").union(grouped.where("group is null").select("doc")).select("doc.*")
 
 
